@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("identify",)
+_MODULES = ("identify", "functions", "analysis")
 
 
 def load():
