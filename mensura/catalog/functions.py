@@ -54,11 +54,11 @@ def p04(v, spark, sf):
 
 @query("P05_feature_score", f"""select report_id, cand_rank, feature, round(s, 4) as sigma_eff, round(dd / s, 4) as z,
   round(-0.5e0 * (dd / s) * (dd / s), 4) as log_contrib
-from (select *, distance + 0.00001237e0 as dd, sqrt(sigma_enroll * sigma_enroll + fl * fl) as s from
+from (select *, distance + 0.0000311e0 as dd, sqrt(sigma_enroll * sigma_enroll + fl * fl) as s from
   (select *, {FLOOR_SQL.format(f='feature')} as fl from fx_feat))""")
 def p05(v, spark, sf):
     f = reports.features(v("fx_reports"))
-    sc = sizes.feature_score(F.col("distance") + 0.00001237, F.col("sigma_enroll"), sizes.sigma_floor(F.col("feature")))
+    sc = sizes.feature_score(F.col("distance") + 0.0000311, F.col("sigma_enroll"), sizes.sigma_floor(F.col("feature")))
     return f.select("report_id", "cand_rank", "feature", sc.alias("s")).select(
         "report_id", "cand_rank", "feature", "s.*")
 

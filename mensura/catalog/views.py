@@ -121,11 +121,11 @@ def feature_exprs(d) -> dict:
         "feature": d.el([f"'{f}'" for f in C.ALL_FEATURES], "f"),
         "measured": "case when f <= 3 then ((k * 17 + f) % 1000) / 10e0 end",
         "reference": f"case when f <= 3 then 60e0 + 1.9e0 * ({AID}) + f / 8e0 end",
-        "distance": f"round({z} * {eff} + 0.0000123e0, 4)",
+        "distance": f"round({z} * {eff} + 0.00001234567e0, 4)",
         "sigma_enroll": enroll,
         "sigma_eff": eff,
         "z": z,
-        "log_contrib": f"round(-0.5e0 * {z} * {z} + 0.0000123e0, 4)",
+        "log_contrib": f"round(-0.5e0 * {z} * {z} + 0.00001234567e0, 4)",
         "w_eff": wt,
         "weighted": "-((k * (7 + f) + j * (11 + f * 3)) % 900) / 1000e0",
     }
@@ -516,3 +516,13 @@ def _run(spark: SparkSession, sf_dir: str, body: str, keep: set) -> DataFrame:
             for t in TABLES if re.search(rf"\b{t}\b", used)}
     head = ", ".join(f"{n} as ({b})" for n, b in {**base, **ctes}.items())
     return spark.sql(f"with {head} {body}")
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table (statistics, leave-one-out rows) written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SPREAD:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _SPREAD[key] = path
+    return spark.read.parquet(_SPREAD[key])

@@ -56,12 +56,15 @@ def vector_diff(field: str, golden: Column, actual: Column) -> Column:
     empty = F.array().cast("array<double>")
     g, a = F.coalesce(golden, empty), F.coalesce(actual, empty)
     best = largest_component(g, a)
+
+    def one(b: Column) -> Column:
+        return _diff(field, b["golden"], b["actual"], b["actual"] - b["golden"],
+                     band(field, b["golden"], b["actual"]))
+
     return (F.when((F.size(g) == 0) & (F.size(a) == 0), F.lit(None).cast(DIFF))
             .when(F.size(g) != F.size(a),
                   _diff(field, F.size(g), F.size(a), F.lit(float("nan")), F.lit(C.FAIL)))
-            .otherwise(_diff(field, best["golden"], best["actual"],
-                             best["actual"] - best["golden"],
-                             band(field, best["golden"], best["actual"]))))
+            .otherwise(F.get(F.transform(F.array(best), one), 0)))       # best computed once
 
 
 def severity(b: Column) -> Column:

@@ -16,6 +16,7 @@ from ..functions import judge, sizes
 from ..functions.compare import rule_of_three, wilson
 from ..params import Params
 from . import reports as R
+from .enroll import sample_std
 from .order_stats import MEDIAN, UPPER_MEDIAN, lower, quantiles
 
 RID = R.RID
@@ -323,7 +324,7 @@ def test_vs_enroll(reports: DataFrame) -> DataFrame:
     sig = F.get(F.filter(own["features"], lambda f: f["feature"] == "diameter_mm"), 0)["sigma_enroll"]
     return lab.withColumn("_s", sig).groupBy("label").agg(
         F.min_by("_s", F.when(F.col("_s").isNotNull(), F.struct("stem", RID))).alias("sigma_enroll"),
-        F.stddev_samp("measured.circle_diameter_mm").alias("test_std"),
+        sample_std("measured.circle_diameter_mm").alias("test_std"),
         F.count(F.lit(1)).alias("n")).where("n >= 2 and sigma_enroll is not null")
 
 
@@ -430,7 +431,7 @@ def position_errors(reports: DataFrame, articles: DataFrame, camera_mm: float =
 def drift_spread(reports: DataFrame) -> DataFrame:
     lab = _labelled(reports).where("measured.circle_diameter_mm is not null")
     return lab.groupBy("label").agg(
-        F.coalesce(F.stddev_samp("measured.circle_diameter_mm"), F.lit(0.0)).alias("std"),
+        sample_std("measured.circle_diameter_mm").alias("std"),
         F.count(F.lit(1)).alias("n"))
 
 

@@ -19,6 +19,13 @@ from .order_stats import MEDIAN, _null_safe_join, loo_median, quantiles
 ARTICLE = "article_number"
 
 
+def sample_std(value: str | Column) -> Column:
+    """Sample deviation, 0 for one row. Merging partial moments can leave a residue
+    of rounding where all values are equal, so equality is asked for directly."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.when(F.min(c) == F.max(c), F.lit(0.0)).otherwise(F.stddev_samp(c))
+
+
 # --- scalars ----------------------------------------------------------------
 
 def scalar_long(shots: DataFrame, keys: Sequence[str] = (ARTICLE,),
@@ -34,7 +41,7 @@ def scalar_stats(shots: DataFrame) -> DataFrame:
     """article, feature, n, mean, std: sample spread, 0 for a single shot."""
     return scalar_long(shots).groupBy(ARTICLE, "feature").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+        sample_std("value").alias("std"))
 
 
 # --- vectors ----------------------------------------------------------------
@@ -192,7 +199,7 @@ def floor_estimate(samples: DataFrame, group: str = "series") -> DataFrame:
     scalar = F.col("floor_key").isin(*C.SCALAR_FEATURES)
     agg = samples.groupBy(group, "floor_key").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
+        sample_std("value").alias("std"),
         rms(F.col("value")).alias("rms"), F.min("value").alias("minimum"),
         F.max("value").alias("maximum"))
     return agg.select(group, "floor_key", "n", "mean", "std",
@@ -246,7 +253,7 @@ def loo_robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 
 def global_z(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Adds z_classic and z_robust of a distance set; NULL without spread."""
-    g = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    g = df.groupBy(*keys).agg(F.avg(value).alias("_m"), sample_std(value).alias("_s"))
     med = quantiles(df, keys, value, {"_med": MEDIAN})
     j = _null_safe_join(_null_safe_join(df, g, list(keys), "left"), med, list(keys), "left")
     j = j.withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
@@ -297,7 +304,7 @@ def enrollment_sheet(shots: DataFrame, shot_id: str, stored: DataFrame | None =
 
     agg = rows.groupBy(*keys, "kind").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
+        sample_std("value").alias("std"),
         F.min("value").alias("vmin"), F.max("value").alias("vmax"),
         has_robust.alias("_hr"), ext("z_robust").alias("_er"), ext("z_classic").alias("_ec"))
     pick = F.when(F.col("_hr") == 1, F.col("_er")).otherwise(F.col("_ec"))

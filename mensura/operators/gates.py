@@ -69,7 +69,8 @@ def check_against_baseline(results: DataFrame, quotas: DataFrame, baseline: Data
     b = baseline.select("metric", F.lit(True).alias("_known"), "wilson_lo", "wilson_hi")
     rate = F.col("metric").isin(*C.ERROR_RATES)
     bound = F.when(rate, F.col("wilson_hi")).otherwise(F.col("wilson_lo"))
-    q = quotas.where(~F.col("metric").isin(*C.INFO_ONLY) & F.col("p").isNotNull()).join(b, "metric")
+    q = quotas.select("metric", "p").where(
+        ~F.col("metric").isin(*C.INFO_ONLY) & F.col("p").isNotNull()).join(b, "metric")
     finding = (F.when(bound.isNull(), "bound missing")
                .when(rate & (F.col("p") > bound), "error rate above baseline")
                .when(~rate & (F.col("p") < bound), "below baseline"))

@@ -318,8 +318,9 @@ def new_by_content(batch: DataFrame, manifest: DataFrame, sha: str, order: str)
 def label_conflicts(batch: DataFrame, manifest: DataFrame, sha: str = "sha") -> DataFrame:
     """Rows of known hashes: same truth is a duplicate, another truth a conflict."""
     m = manifest.select(sha, F.col("truth").alias("_old"))
-    return batch.join(m, sha).select(sha, "truth", F.col("_old").alias("known_truth"), F.when(
-        F.col("truth").eqNullSafe(F.col("_old")), "dublette").otherwise("widerspruch_label").alias("status"))
+    same = F.col("truth").eqNullSafe(F.col("_old"))
+    return batch.join(m, sha).withColumn("status", F.when(same, "dublette").otherwise(
+        "widerspruch_label")).withColumnRenamed("_old", "known_truth")
 
 
 def unknown_labels(rows: DataFrame, articles: DataFrame, label: str = "truth") -> DataFrame:
