@@ -524,12 +524,12 @@ def scheme_params():
 
 
 @query("V10_weight_schemes", variant_sql(_V10, alpha=_A10, weight=_W10) + OUT + """select variant, count(*) as n, count_if(top1 = truth) as top1, count_if(decision = 'accept') as accept,
-  count_if(decision = 'ambiguous') as ambiguous, count_if(decision = 'reject') as reject, count_if(decision = 'accept' and top1 <> truth) as false_accept, round(median(llr_margin), 4) as llr_med from o group by 1""")
+  count_if(decision = 'ambiguous') as ambiguous, count_if(decision = 'reject') as reject, count_if(decision = 'accept' and top1 <> truth) as false_accept, round(median(llr_margin), 6) as llr_med from o group by 1""")
 def v10(v, spark, sf):
     ps = scheme_params()
     rows = whatif.case_rows(scoring.score(loo_base(v, spark, sf), ps), cases(v), [p.name for p in ps])
     m = whatif.run_measures(rows, P)
-    return m.select("variant", "n", "top1", "accept", "ambiguous", "reject", "false_accept", F.round("llr_p50", 4).alias("llr_med"))
+    return m.select("variant", "n", "top1", "accept", "ambiguous", "reject", "false_accept", F.round("llr_p50", 6).alias("llr_med"))
 
 
 _XD, _XS = "((report_id * 7 + strlen(cand) + cast(substr(cand, 5) as bigint) * 13) % 100) / 100e0", "0.2e0 + (report_id % 7) / 20e0"
@@ -603,8 +603,10 @@ def v14(v, spark, sf):
 
 
 def mode_rows(v, spark, sf):
-    ps = mode_params()
-    return whatif.case_rows(scoring.score(loo_base(v, spark, sf), ps), cases(v), [p.name for p in ps])
+    def build():
+        ps = mode_params()
+        return whatif.case_rows(scoring.score(loo_base(v, spark, sf), ps), cases(v), [p.name for p in ps])
+    return stored(spark, sf, "mode_rows", build)
 
 
 _MO = variant_sql(_MODES, contrib=_MODE_C) + OUT

@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SLICES = 64
 _V, _CNT, _BELOW, _N = "_value", "_cnt", "_below", "_n"
 
@@ -42,7 +44,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str,
     # A constant key stands for "no keys", so one code path serves both.
     base = df.select(F.lit(1).alias("_all"), *keys, value.alias(_V)).where(F.col(_V).isNotNull())
     gk = ["_all", *keys]
-    counts = base.groupBy(*gk, _V).agg(F.count(F.lit(1)).alias(_CNT))
+    # Read twice below, and much smaller than what it comes from: written once.
+    counts = cut_lineage(base.groupBy(*gk, _V).agg(F.count(F.lit(1)).alias(_CNT)))
     cuts = [F.lit(i / slices) for i in range(1, slices)]
     splits = counts.groupBy(*gk).agg(
         F.percentile_approx(_V, F.array(*cuts), F.lit(slices * 20)).alias("_splits"))

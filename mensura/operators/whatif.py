@@ -11,6 +11,7 @@ from .. import constants as C
 from ..functions import distances as dist
 from ..functions import judge
 from ..params import Params
+from ..session import cut_lineage
 from . import scoring as S
 from .analysis import _count_if
 from .order_stats import MEDIAN, _null_safe_join, average_ranks, linear, nth_largest, quantiles
@@ -147,6 +148,9 @@ def case_rows(scored: DataFrame, cases: DataFrame, variants: Sequence[str]) -> D
 
 
 def run_measures(rows: DataFrame, params: Params) -> DataFrame:
+    # The scoring run behind the rows is read three times: keep its outcome.
+    rows = cut_lineage(rows.select("variant", "correct", "in_top3", "decision", "llr_margin",
+                                   "max_z_winner", "n_candidates"))
     n = rows.groupBy("variant").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("top1"), F.count_if("in_top3").alias("top3"),
         *[_count_if(F.col("decision") == d).alias(d) for d in C.DECISIONS],
