@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("identify", "functions", "analysis", "regression", "enrollment", "shapes")
+_MODULES = ("identify", "functions", "analysis", "regression", "enrollment", "shapes", "stores")
 
 
 def load():

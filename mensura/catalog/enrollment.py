@@ -15,9 +15,9 @@ from .views import table
 R = F.round
 
 
-@query("A01_enrollment_scalar_stats", f"with {stats_ctes('fx_shots')} select article_number, feature, n, round(mean, 9) as mean, round(std, 6) as std from sc")
+@query("A01_enrollment_scalar_stats", f"with {stats_ctes('fx_shots')} select article_number, feature, n, round(mean, 11) as mean, round(std, 6) as std from sc")
 def a01(v, spark, sf):
-    return E.scalar_stats(v("fx_shots")).withColumns({"mean": R("mean", 9), "std": R("std", 6)})
+    return E.scalar_stats(v("fx_shots")).withColumns({"mean": R("mean", 11), "std": R("std", 6)})
 
 
 @query("A02_prototype_mean", f"with {stats_ctes('fx_shots')} select article_number, feature, list_transform(proto, lambda x: round(x, 11)) as proto from pr")

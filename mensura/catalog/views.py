@@ -381,8 +381,8 @@ def _fx_contour(d) -> str:
     """Closed polygons: every supplier is one outline of 60 points, blunt at one end."""
     ang = "(2e0 * pi() * (j - 1) / 60e0)"
     rad = f"(1e0 + 0.22e0 * cos({ang}) + 0.03e0 * cos(3e0 * {ang}))"
-    lx = f"((55e0 + s % 17) * {rad} * cos({ang}))"
-    ly = f"((11e0 + (s * 7) % 5) * {rad} * sin({ang}))"
+    lx = f"((55.137e0 + s % 17) * {rad} * cos({ang}))"
+    ly = f"((11.071e0 + (s * 7) % 5) * {rad} * sin({ang}))"
     rot = "(((s * 37) % 180) * pi() / 180e0)"
     return f"""select s as shape_id, cast(j as bigint) as pos,
   200e0 + {lx} * cos({rot}) - {ly} * sin({rot}) as x,
