@@ -60,8 +60,12 @@ def with_date(df: DataFrame, stem: str = "stem") -> DataFrame:
 
 
 def write_reports(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append reports, partitioned by the day of their name."""
-    with_date(df).write.mode("append").partitionBy("date").format(fmt).save(path)
+    """Append reports, partitioned by the day of their name.
+
+    The rebalance gathers the rows of a day before writing (few files per day) and
+    splits a day that is too large for one task.
+    """
+    with_date(df).hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").format(fmt).save(path)
 
 
 def _latest(feedback: DataFrame, key: str) -> DataFrame:
