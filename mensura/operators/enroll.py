@@ -95,11 +95,19 @@ def renormalise(feature: Column, proto: Column) -> Column:
 def prototype_spread(shots: DataFrame, protos: DataFrame | None = None) -> DataFrame:
     """article, feature, n, spread: RMS distance to the plain mean, 0 for one shot."""
     protos = prototypes(shots) if protos is None else protos
-    joined = vector_long(shots).join(protos, [ARTICLE, "feature"])
-    d = distance_to(F.col("feature"), F.col("vec"), F.col("proto"))
-    return joined.select(ARTICLE, "feature", d.alias("d")).groupBy(ARTICLE, "feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(F.count(F.lit(1)) < 2, F.lit(0.0)).otherwise(rms(F.col("d"))).alias("spread"))
+    # The five prototypes of an article side by side: a shot meets them in one row.
+    wide = protos.groupBy(ARTICLE).agg(*[F.max(F.when(F.col("feature") == f, F.col("proto"))).alias(f"_p_{f}")
+                                         for f in dist.REGISTRY])
+    d = {f: dist.proto_distance(f, F.col(src), F.col(f"_p_{f}")).alias(f"_d_{f}")
+         for f, (src, _) in dist.REGISTRY.items()}
+    per_shot = shots.select(ARTICLE, *{src for src, _ in dist.REGISTRY.values()}).join(wide, ARTICLE).select(
+        ARTICLE, *d.values())
+    g = per_shot.groupBy(ARTICLE).agg(
+        *[F.count(f"_d_{f}").alias(f"_n_{f}") for f in d],
+        *[rms(F.col(f"_d_{f}")).alias(f"_s_{f}") for f in d])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_n_{f}").alias("n"), F.when(
+        F.col(f"_n_{f}") < 2, F.lit(0.0)).otherwise(F.col(f"_s_{f}")).alias("spread")) for f in d])
+    return g.select(ARTICLE, F.inline(rows)).where("n > 0")
 
 
 def stats_long(shots: DataFrame) -> DataFrame:
