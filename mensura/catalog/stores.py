@@ -109,11 +109,11 @@ def s09(v, spark, sf):
     return r.select("report_id", "measured.solidity", F.size("measured.lab_rim").cast("long").alias("n_zone"), F.size("prefiltered").cast("long").alias("n_kills"))
 
 
-@query("S10_write_reports", "select substr(stem, 1, 8) as date, count(*) as n from fx_rep group by 1")
+@query("S10_write_reports", "select substr(stem, 1, 6) as date, count(*) as n from fx_rep group by 1")
 def s10(v, spark, sf):
     path = scratch_path(spark, "reports")
     days = v("fx_reports").select("report_id", "stem", "decision")
-    SR.write_reports(days, path)
+    SR.write_reports(days, path, unit="month")
     return spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
 
 

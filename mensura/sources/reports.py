@@ -53,19 +53,21 @@ def load_reports(spark: SparkSession, folder: str, *, sort_by: str = "mtime",
     return out
 
 
-def with_date(df: DataFrame, stem: str = "stem") -> DataFrame:
-    """Date partition from the millisecond name stem; foreign names go to 'other'."""
+def with_date(df: DataFrame, stem: str = "stem", unit: str = "day") -> DataFrame:
+    """Date partition (day or month) from the millisecond name stem; else 'other'."""
+    digits = {"day": 8, "month": 6}[unit]
     day = F.substring(stem, 1, 8)
-    return df.withColumn("date", F.when(F.regexp_like(day, F.lit(r"^\d{8}$")), day).otherwise("other"))
+    return df.withColumn("date", F.when(F.regexp_like(day, F.lit(r"^\d{8}$")),
+                                        F.substring(stem, 1, digits)).otherwise("other"))
 
 
-def write_reports(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append reports, partitioned by the day of their name.
+def write_reports(df: DataFrame, path: str, fmt: str = "parquet", unit: str = "day") -> None:
+    """Append reports, partitioned by the day (or month) of their name.
 
-    The rebalance gathers the rows of a day before writing (few files per day) and
-    splits a day that is too large for one task.
+    The rebalance gathers the rows of a date before writing (few files per date) and
+    splits a date that is too large for one task. Months suit sparse archives.
     """
-    with_date(df).hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").format(fmt).save(path)
+    with_date(df, unit=unit).hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").format(fmt).save(path)
 
 
 def _latest(feedback: DataFrame, key: str) -> DataFrame:
