@@ -28,8 +28,8 @@ _V, _CNT, _BELOW, _N = "_value", "_cnt", "_below", "_n"
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                     how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL, keeping the left columns once."""
-    renamed = right.select([F.col(k).alias(f"_r_{k}") for k in keys]
-                           + [c for c in right.columns if c not in keys])
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                           *[c for c in right.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
         cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
@@ -49,6 +49,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str,
     cuts = [F.lit(i / slices) for i in range(1, slices)]
     splits = counts.groupBy(*gk).agg(
         F.percentile_approx(_V, F.array(*cuts), F.lit(slices * 20)).alias("_splits"))
+    if not keys:
+        splits = F.broadcast(splits)        # a single row
     sliced = _null_safe_join(counts, splits, gk).select(
         *gk, _V, _CNT,
         F.size(F.filter("_splits", lambda s: s < F.col(_V))).alias("_slice"))

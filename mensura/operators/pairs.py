@@ -228,21 +228,22 @@ def embedding_knn(queries: DataFrame, index: DataFrame, k: int, *, key: str = "v
                              "_label": ix[label].to_numpy()[order].ravel(),
                              "_sim": np.take_along_axis(sims, order, 1).ravel()})
 
-    def search(q: DataFrame) -> DataFrame:
+    def search(q: DataFrame, ix: DataFrame) -> DataFrame:
         # A query part and an index block have at most _BLOCK expected rows each.
         qp = q.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(q_parts)).cast("int"))
-        ip = idx.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+        ip = ix.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
         return qp.groupBy("_block", "_part").cogroup(ip.groupBy("_block", "_part")).applyInPandas(best, found)
 
     base = qry.select("_id", "_v")
     first_schema = T.StructType(base.schema.fields + [T.StructField("_block", T.IntegerType())])
-    seen = search(base.mapInPandas(visit(True), first_schema))
+    first_blocks = idx.where(F.col("_block").isin(list(offs.values())))
+    seen = search(base.mapInPandas(visit(True), first_schema), first_blocks)
     kth = seen.groupBy("_q").agg(F.count(F.lit(1)).alias("_c"), F.min("_sim").alias("_s")).select(
         F.col("_q").alias("_id"), F.when(F.col("_c") >= k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("_s"))))
         .alias("_kth"))
     bounded = base.join(kth, "_id", "left").select("_id", "_v", F.coalesce("_kth", F.lit(4.0)).alias("_kth"))
     second_schema = T.StructType(bounded.schema.fields + [T.StructField("_block", T.IntegerType())])
-    hits = search(bounded.mapInPandas(visit(False), second_schema))
+    hits = search(bounded.mapInPandas(visit(False), second_schema), idx)
     # k rows per visited block and query
     w = Window.partitionBy("_q").orderBy(F.round("_sim", 12).desc(), F.col("_id"))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(

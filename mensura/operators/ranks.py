@@ -52,8 +52,8 @@ def k_safe(df: DataFrame, keys: Sequence[str], *, margin: str, correct: str, dec
         (-F.coalesce(F.col(margin), F.lit(float("inf")))).alias("m"), F.col(order).alias("o")))
     ok = F.coalesce(F.col(correct), F.lit(False))
     first_wrong = base.groupBy(*keys).agg(F.min(F.when(~ok, F.col("_key"))).alias("_stop"))
-    ahead = _null_safe_join(base, first_wrong, list(keys)) if keys else base.crossJoin(
-        F.broadcast(first_wrong))
+    ahead = _null_safe_join(base, first_wrong, list(keys)) if keys else base.join(
+        F.broadcast(first_wrong))           # a single row
     return ahead.groupBy(*keys).agg(
         F.count_if(F.col("_stop").isNull() | (F.col("_key") < F.col("_stop"))).alias("k_safe"),
         F.count(F.lit(1)).alias("n_cases"))
