@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, token_files
+from . import bpe, jaccard_join, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op6_ngram_join(spark, sf):
+    return jaccard_join.components(table(spark, sf, "documents"), percent=90, words=3)
+
+
 @query
 def op8_byte_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
