@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, jaccard_join, token_files
+from . import bpe, decontaminate, jaccard_join, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,5 +41,10 @@ def op9_token_files(spark, sf):
     return token_files.write_and_read(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+@query
+def op10_decontaminate(spark, sf):
+    return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     return dict(QUERIES), dict(ORACLES)
