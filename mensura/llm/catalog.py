@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, decontaminate, jaccard_join, token_files
+from . import bpe, decontaminate, jaccard_join, language, quality, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,21 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op4_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op6_ngram_join(spark, sf):
     return jaccard_join.components(table(spark, sf, "documents"), percent=90, words=3)
 
 
+@query
+def op7_language(spark, sf):
+    return language.identify(table(spark, sf, "documents"))
+
+
 @query
 def op8_byte_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
