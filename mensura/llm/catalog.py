@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, decontaminate, jaccard_join, language, quality, token_files
+from . import bpe, decontaminate, jaccard_join, language, neighbours, quality, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_neighbours(spark, sf):
+    return neighbours.search(table(spark, sf, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
 @query
 def op4_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))

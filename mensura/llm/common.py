@@ -7,6 +7,7 @@ share an entry of the byte table, so the hash lower-cases A-Z and nothing else.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 8) -> Iterator[None]:
+    """Small Arrow batches for jobs started inside, whose rows are whole blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null keys fall in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(0))

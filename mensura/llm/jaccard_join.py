@@ -121,26 +121,36 @@ def keys_of(sets: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """id, n_shingles, a 128-bit print of the set and its join keys."""
+def _digest(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """id, n and a 128-bit print of the set of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
-            n, one, two, keys = [], [], [], []
+            n, one, two = [], [], []
             for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
                 one.append(s.sum(dtype=np.uint64))
                 two.append(mix(s ^ _ODD).sum(dtype=np.uint64))
-                keys.append(keys_of(s, bands))
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)),
-                 pa.array(np.array(two, np.uint64).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
-                names=["id", "n", "fp1", "fp2", "keys"])
+                 pa.array(np.array(two, np.uint64).view(np.int64))], names=["id", "n", "fp1", "fp2"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(
-        run, "id long, n long, fp1 long, fp2 long, keys array<long>")
+        run, "id long, n long, fp1 long, fp2 long")
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """id and its join keys, for every row with an id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            keys = [keys_of(s, bands) for s in shingle_sets(batch.column(1), words)]
+            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(
+                    np.concatenate([np.zeros(0, np.int64), *keys])))], names=["id", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).where("id is not null").mapInArrow(
+        run, "id long, keys array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -180,16 +190,17 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    digest = kept(_digest(docs, id_col, text_col, words, percent), "digest")
+    digest = kept(_digest(docs, id_col, text_col, words), "digest")
     row = ["fp1", "fp2", "n"]
     classes = kept(digest.where("n > 0 and id is not null").groupBy(*row).agg(F.min("id").alias("rep")), "classes")
-    keyed = digest.select("id", "n", "keys").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    keyed = keyed.select(F.explode("keys").alias("key"), "id", "n")
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    keyed = _keys(docs, id_col, text_col, words, percent).join(sizes.select("id"), "id", "left_semi").select(
+        F.explode("keys").alias("key"), "id")
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top")
-    near = kept(keyed.join(shared.select("key", "pivot"), "key"), "near")      # members of keys with two classes or more
+    members = keyed.join(shared.select("key", "pivot"), "key").distinct()
+    near = kept(members.join(sizes, "id"), "near")          # members of keys with two classes or more
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
     sets = kept(_sets(docs, near.select("id").distinct(), id_col, text_col, words), "sets").dropDuplicates(["id"])
 
     first = near.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b"))
