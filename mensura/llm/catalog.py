@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, decontaminate, jaccard_join, language, neighbours, quality, token_files
+from . import bpe, decontaminate, jaccard_join, language, neighbours, quality, token_files, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: (verdict, host, path) of the query on pages.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,6 +33,11 @@ def op1_neighbours(spark, sf):
     return neighbours.search(table(spark, sf, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+@query
+def op3_link_propagation(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op4_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -61,5 +69,8 @@ def op10_decontaminate(spark, sf):
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+ORACLES["op3_link_propagation"] = url_filter.oracle(URL_RULES)
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     return dict(QUERIES), dict(ORACLES)
