@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontaminate, jaccard_join, language, neighbours, quality, token_files, url_filter
+from . import bpe, decontaminate, jaccard_join, language, neighbours, quality, quotes, secrets, token_files, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,11 @@ def op1_neighbours(spark, sf):
     return neighbours.search(table(spark, sf, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+@query
+def op2_quotation_links(spark, sf):
+    return quotes.conversations(table(spark, sf, "conversations"))
+
+
 @query
 def op3_link_propagation(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -43,6 +49,14 @@ def op4_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op5_secret_scan(spark, sf):
+    """One row per candidate; the string itself only as a digest."""
+    return secrets.scan(table(spark, sf, "documents")).select(
+        "doc_id", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"),
+        F.round("score", 6).alias("score"), "is_secret")
+
+
 @query
 def op6_ngram_join(spark, sf):
     return jaccard_join.components(table(spark, sf, "documents"), percent=90, words=3)
