@@ -16,7 +16,12 @@ only the component of a document is asked for. First each class is verified agai
 the smallest class that shares a key with it, and links are closed to components. Then,
 for keys that still hold several components, members are verified against the key's
 smallest class, and at last the pairs of different components that remain, where the
-sizes allow a link. Every pair that shares a key is thus verified or already connected.
+sizes allow a link: as rows in keys of few members, and block against block in larger
+ones, where a pair of blocks gives no more rows than it merges components. Every pair that
+shares a key is thus verified or already connected. Sets that are all close to each other but
+mostly not linked are compared with one another in any exact method; that work, inside such a
+group, is the one that grows with the square of its size, and it runs in bounded blocks over
+many tasks.
 
 Shingles are compared as 64-bit hashes (two different shingles of a pair of documents
 are taken for equal with a chance of about 1e-13 for sets of a thousand).
@@ -40,9 +45,12 @@ from pyspark.sql import functions as F
 
 from ..operators.pairs import clusters
 from ..session import scratch_path
-from .common import SPACE, mix, slices, text_buffers, word_hashes
+from .common import SPACE, few_rows_a_batch, mix, slices, text_buffers, word_hashes
 
 GROWTH = Fraction(3, 2)      # sizes of a band: from b to under b * GROWTH
+FEW = 32                     # members of a key that are compared pair by pair as rows
+BLOCK_SHINGLES = 1 << 16     # shingles of a block of members of a larger key
+VOCABULARY = 1 << 14         # shingles that one step of comparing two blocks takes
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,6 +185,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _merges(x: list[np.ndarray], cx: list[int], y: list[np.ndarray], cy: list[int], percent: int) -> list[tuple[int, int]]:
+    """Linked places (in x, in y) that join different components: a spanning forest of those links."""
+    nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
+    xs, ys = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(xs, ys)
+    both = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(common), VOCABULARY):
+        words = common[at:at + VOCABULARY]
+        dense = []
+        for values, sizes in ((xs, nx), (ys, ny)):
+            place = np.minimum(np.searchsorted(words, values), len(words) - 1)
+            hit = words[place] == values
+            m = np.zeros((len(sizes), len(words)), np.float32)
+            m[np.repeat(np.arange(len(sizes)), sizes)[hit], place[hit]] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    ok = (100 * both >= percent * (nx[:, None] + ny[None] - both)) & (np.array(cx)[:, None] != np.array(cy)[None])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(ok)):
+        a, b = root(cx[i]), root(cy[j])
+        if a != b:
+            parent[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components inside keys of many members.
+
+    A key's members are dealt to blocks of bounded size; each pair of blocks is one row, compared
+    at once, and gives no more links than it merges components.
+    """
+    rows = members.join(sets, "id").withColumn("_b", F.pmod(F.xxhash64("id"), "blocks"))
+    blocks = rows.groupBy("key", "_b").agg(F.collect_list(F.struct("id", "c", "shingles")).alias("m"))
+    left, right = blocks.alias("l"), blocks.alias("r")
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._b") <= F.col("r._b"))).select(
+        F.col("l.m").alias("x"), F.col("r.m").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                side = []
+                for c in (0, 1):
+                    ids, cs, lists = batch.column(c)[r].values.flatten()
+                    ends = lists.offsets.to_numpy()
+                    values = lists.values.to_numpy(zero_copy_only=False)
+                    side.append((ids.to_numpy(), cs.to_pylist(), [values[a:b] for a, b in zip(ends, ends[1:])]))
+                (ia, ca, xa), (ib, cb, xb) = side
+                got = _merges(xa, ca, xb, cb, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ia[i] for i, _ in got], pa.int64()), pa.array([ib[j] for _, j in got], pa.int64())], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links).
@@ -201,7 +271,7 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     near = kept(members.join(sizes, "id"), "near")          # members of keys with two classes or more
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    sets = kept(_sets(docs, near.select("id").distinct(), id_col, text_col, words), "sets").dropDuplicates(["id"])
+    sets = kept(_sets(docs, near.select("id").distinct(), id_col, text_col, words).dropDuplicates(["id"]), "sets")
 
     first = near.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b"))
     links = kept(_verified(first.select(F.col("id").alias("a"), "b"), sets, percent), "links1")
@@ -222,13 +292,16 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     links = kept(links.unionByName(_verified(tried, sets, percent)), "links2")
 
     open_ = kept(labelled(links), "open2")
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = open_.join(mixed, "key", "left_semi").where("id <> pivot")
-    one, two = rest.alias("p"), rest.alias("q")
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"),
+                                     F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("lo < hi")
+    rest = kept(open_.join(mixed.select("key", "size", "blocks"), "key").where("id <> pivot"), "rest")
+    one, two = rest.where(F.col("size") <= FEW).alias("p"), rest.where(F.col("size") <= FEW).alias("q")
     third = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") > F.col("q.id"))
                      & (F.col("p.c") != F.col("q.c")) & fits(F.col("p.n"), F.col("q.n"))).select(
         F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    links = kept(links.unionByName(_verified(third, sets, percent)), "links3")
+    links = links.unionByName(_verified(third, sets, percent))
+    with few_rows_a_batch(spark):
+        links = kept(links.unionByName(_in_blocks(rest.where(F.col("size") > FEW), sets, percent)), "links3")
 
     label = clusters(links).select(F.col("node").alias("rep"), F.col("cluster").alias("c"))
     named = classes.join(label, "rep", "left").select(*row, F.coalesce("c", "rep").alias("c"))
