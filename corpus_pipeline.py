@@ -17,15 +17,15 @@ from mensura.session import scratch_path, tune
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised: not ``und`` and a score of 0.5 or more.
+    """Keep documents in the learned languages: not ``und``, and half of the words or more can be scored.
 
-    Null, empty and letterless texts go. Without any labelled language nothing is known, and
+    A text between two learned languages stays; one in another script goes. Null, empty and letterless texts go. Without any labelled language nothing is known, and
     all documents stay.
     """
     model = language.learn(docs)
     if not model.languages:
         return docs
-    return language.predict(docs, model).where("_lang_pred <> 'und' and _lang_score >= 0.5").select(*docs.columns)
+    return language.predict(docs, model).where("_lang_pred <> 'und' and _lang_known >= 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,17 +93,19 @@ class Model:
                 return rows.mean(axis=0, dtype=np.float64).astype(np.float32).tobytes()
         return b""
 
-    def predict(self, text: str | None, memo: Bounded) -> tuple[str, float]:
+    def predict(self, text: str | None, memo: Bounded) -> tuple[str, float, float]:
+        """(language, score, share of words that could be scored)."""
         found = LETTERS.findall(text.lower()) if text and self.languages else ()
         if not found:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         rows = np.frombuffer(b"".join(map(memo.__getitem__, found)), np.float32).reshape(-1, len(self.languages))
         if not len(rows):
-            return "und", 0.0
+            return "und", 0.0, 0.0
         total = rows.sum(axis=0, dtype=np.float64)
         best = int(np.argmax(total))
         share = 1.0 / float(np.exp(total - total[best]).sum())
-        return self.languages[best], share * len(rows) / len(found)
+        known = len(rows) / len(found)
+        return self.languages[best], share * known, known
 
 
 def _scores(rows: list[tuple[str, str, int]], languages: list[str], totals: dict) -> dict[str, bytes]:
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: all its columns, and ``_lang_pred`` and ``_lang_score``."""
+    """Per row of ``docs``: all its columns, and ``_lang_pred``, ``_lang_score`` and ``_lang_known``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -160,11 +162,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             got = [m.predict(t.as_py(), memo) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*names, "_lang_pred", "_lang_score"])
+                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
+                 pa.array([g[2] for g in got], pa.float64())], names=[*names, "_lang_pred", "_lang_score", "_lang_known"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lang_pred", StringType()),
-                                            StructField("_lang_score", DoubleType())]))
+                                            StructField("_lang_score", DoubleType()), StructField("_lang_known", DoubleType())]))
 
 
 def identify(docs: DataFrame, parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text",

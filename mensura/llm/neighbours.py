@@ -193,8 +193,11 @@ def _tiles(index: DataFrame, queries: DataFrame, dim: int, k: int, spare: int) -
                 if not len(mine):
                     continue
                 left, right = (part[i].to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for i in (5, 2))
-                s = left[mine] @ right.T
-                s[~open_[mine][:, slot]] = -np.inf
+                order = np.argsort(cids, kind="stable")              # one class may be here by several tables
+                cids, start = np.unique(cids[order], return_index=True)
+                seen = np.logical_or.reduceat(open_[mine][:, slot[order]], start, axis=1)
+                s = left[mine] @ right[order[start]].T
+                s[~seen] = -np.inf
                 n = min(k + spare, s.shape[1])
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 got = np.take_along_axis(s, top, 1).ravel()

@@ -1,0 +1,285 @@
+"""The dealt operators against brute force, on small tables with the awkward rows."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from mensura.llm import (bpe, decontaminate, jaccard_join, language, neighbours, quality, quotes, secrets, token_files,
+                         url_filter)
+from mensura.llm.catalog import ORACLES, QUERIES, URL_RULES
+
+RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string, lang string, ids string, score string"       # the last two clash with result names
+TEXTS = ["", None, "   ", "a", "The cat.\nSat  on\tthe mat", "x" * 3000, "é ñ ß 日本 😀", "one two three " * 2000, "it's 12345 !!!", "a", "a"]
+
+
+def docs(spark, texts=TEXTS):
+    return spark.createDataFrame([(i, t, "en", "x", "y") for i, t in enumerate(texts)] + [(None, "null id", None, None, None)], DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def reference():
+    import tiktoken
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_merging(spark):
+    enc = reference()
+    _, texts = bpe.load(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "a", "the", "é", "123", "!!", "　", "\x85", "\x1c", "日本", "😀", "'s", "'ll", "Th", "zqxj" * 9]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert np.frombuffer(texts(text), np.uint32).tolist() == enc.encode_ordinary(text), repr(text)
+    rows = bpe.round_trip(docs(spark), RANKS, public_tokenizers.PATTERN).collect()
+    assert len(rows) == len(TEXTS) + 1
+    want = {i: (t or "") for i, t in enumerate(TEXTS)} | {None: "null id"}
+    for r in rows:
+        ids = enc.encode_ordinary(want[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
+    assert bpe.round_trip(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+    one = bpe.encode(docs(spark), RANKS, public_tokenizers.PATTERN).where("doc_id = 4").first()
+    assert one.ids == enc.encode_ordinary(TEXTS[4])
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
+def test_blocks_round_trip(n):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, 50257, n).astype(np.uint32) >> rng.integers(0, 16, n).astype(np.uint32)
+    if n > 300:
+        ids[100], ids[300:600] = 2 ** 32 - 1, 7
+    data = token_files.to_bytes([5, None], [n, 0], ids, 0.9)
+    names, counts, back = token_files.from_bytes(data)
+    assert names == [5, None] and counts.tolist() == [n, 0] and back.tolist() == ids.tolist()
+
+
+def test_token_files(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(JSON)
+    tok.encode_special_tokens = True
+    got = token_files.write_and_read(docs(spark), JSON, 2).collect()
+    at, by = 0, {r.doc_id: r for r in got}
+    for i, text in [(None, "null id"), *enumerate(TEXTS)]:
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (by[i].start, by[i].n_tokens, by[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert token_files.write_and_read(empty(spark), JSON, 2).count() == 0
+
+
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("percent,words", [(90, 3), (80, 5)])
+def test_jaccard_components(spark, monkeypatch, percent, words):
+    monkeypatch.setattr(jaccard_join, "FEW", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 2000)
+    rng = random.Random(5)
+    vocabulary, texts = [f"w{i}" for i in range(60)], []
+    base = [rng.choice(vocabulary) for _ in range(90)]
+    for _ in range(120):                                    # one large group around the threshold
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary[:8])
+        texts.append(" ".join(w))
+    for n in (1, 2, 3, 4, 9, 11, 13, 21):
+        b = [rng.choice(vocabulary) for _ in range(n)]
+        texts += [" ".join([*b, "zz"] if i % 4 == 3 else b) for i in range(6)]
+    texts += [*TEXTS, *texts[:9], "A B C", "a b c"]
+    got = {r.doc_id: r for r in jaccard_join.components(docs(spark, texts), percent, words).collect()}
+    sets, parent = {i: shingles(t, words) for i, t in enumerate(texts)}, list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert got.pop(None).component_id is None
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_empty(spark):
+    assert jaccard_join.components(empty(spark)).count() == 0
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    words = [f"v{i}" for i in range(400)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (40, 20, 9, 12, 4)]
+    bench = spark.createDataFrame([(i, " ".join(w), 1) for i, w in enumerate(items)] + [(9, None, 1), (None, "x", 1)],
+                                  "item_id long, text string, doc_id int")
+    noise = lambda n: [rng.choice(words) for _ in range(n)]
+    changed = list(items[0])
+    changed[7] = changed[23] = changed[31] = "other"
+    texts = [noise(50) + items[0] + noise(9), noise(5) + changed, items[1], [w.upper() + "," for w in items[2]], noise(3) + items[3],
+             items[4], noise(500), items[0][:12] + noise(30), [], items[1]]
+    rows = [" ".join(t) for t in texts] + [None]
+    got = {(r.doc_id, r.item_id): (r.n_words, r.at) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (9, 1)}
+    assert got[0, 0] == (16, 50) and got[4, 3] == (12, 3)
+    assert decontaminate.overlaps(empty(spark), bench).count() == 0
+    assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_language(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = language.identify(d).join(d, "doc_id").where("held_out").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.97
+    model = language.learn(d)
+    odd = {r.doc_id: (r._lang_pred, r._lang_score) for r in language.predict(docs(spark), model).collect()}
+    assert odd[0] == odd[1] == odd[2] == ("und", 0.0) and odd[3] == odd[9]
+    assert language.identify(empty(spark)).count() == 0
+    unlabelled = language.identify(docs(spark, ["a b"]).selectExpr("doc_id", "text", "cast(null as string) lang"))
+    assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
+
+
+def test_quality(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(d, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.9 and got.score.between(0, 1).all()
+    none = quality.classify(docs(spark), labels.limit(0)).collect()
+    assert len(none) == len(TEXTS) + 1 and {r.score for r in none} == {0.5}
+    assert quality.classify(empty(spark), labels).count() == 0
+
+
+def test_forest_walk_equals_trees():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    forest = quality.fit(x, y, trees=20, least=2)
+    assert ((forest.score(x) >= 0.5) == y).mean() > 0.95
+    for row in x[:50]:
+        total = forest.base
+        for at in forest.roots:
+            while forest.child[at] != at:
+                at = forest.child[at] + (row[forest.feature[at]] > forest.cut[at])
+            total += forest.value[at]
+        assert abs(1 / (1 + np.exp(-total)) - forest.score(row[None])[0]) < 1e-12
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
+    v[100:260] = v[100]                                     # a third are copies: ties go to the smaller id
+    rows = [(i, x.astype(np.float32).tolist(), 1, 2) for i, x in enumerate(v)]
+    rows += [(1000, None, 1, 2), (1001, [0.0] * 16, 1, 2), (1002, [float("nan")] * 16, 1, 2), (1003, [1.0], 1, 2), (1004, [None] * 16, 1, 2)]
+    df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<float>, rank int, score int")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, lambda i: i % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = v.astype(np.float32).astype(float)
+    hits = total = 0
+    assert set(got) == set(range(0, 600, 20))
+    for q, found in got.items():
+        s = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(600), -np.round(s, 9))) if i != q][:20]
+        assert len(found) == 20 and found == sorted(found, key=lambda e: (-e[1], e[0]))
+        assert all(abs(s[i] - e) < 1e-9 for i, e in found)
+        hits += len({i for i, _ in found} & set(order))
+        total += 20
+    assert hits / total >= 0.9
+    assert neighbours.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
+    assert neighbours.search(df.where("vec_id in (0, 1, 2)"), lambda i: i % 20 == 0).count() == 2
+
+
+def test_perturbations_are_the_cheapest():
+    over = np.random.default_rng(0).uniform(size=(1, 1, 4))
+    got = neighbours.perturbations(over, 20)[0, 0]
+    cost = lambda s: sum(0 if d == 0 else o ** 2 if d < 0 else (1 - o) ** 2 for o, d in zip(over[0, 0], s))
+    every = sorted(cost(s) for s in np.ndindex(3, 3, 3, 3) for s in [tuple(i - 1 for i in s)])
+    assert np.allclose([cost(s) for s in got], every[:20])
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "a", "Hello world\nsecond line"), (1, 1, "b", "Other topic"), (1, 2, "a", "> hello  World\n> second line\nI agree"),
+            (1, 3, "c", ">> Hello world\n> I agree\nmore"), (1, 4, "a", "> nothing known\nx"), (2, 0, "a", None),
+            (2, 1, "b", "> Hello world\n"), (None, None, None, ">x"), (3, 0, "a", "same"), (3, 1, "a", "same"), (3, 2, "b", ">same\nok"), (3, 2, "b", ">same\nok")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, position int")
+    got = [(r.conv_id, r.position, r.turn, r.reply_to, r.root_turn, r.depth, r.text)
+           for r in quotes.conversations(df).orderBy("conv_id", "position").collect()]
+    assert got == [(None, 1, None, None, None, 0, ""), (1, 1, 0, None, 0, 0, "Hello world\nsecond line"), (1, 2, 2, 0, 0, 1, "I agree"),
+                   (1, 3, 3, 2, 0, 2, "more"), (1, 4, 1, None, 1, 0, "Other topic"), (1, 5, 4, None, 4, 0, "x"),
+                   (2, 1, 0, None, 0, 0, ""), (2, 2, 1, None, 1, 0, ""), (3, 1, 0, None, 0, 0, "same"), (3, 2, 1, None, 1, 0, "same"),
+                   (3, 3, 2, 1, 1, 1, "ok"), (3, 4, 2, 1, 1, 1, "ok")]
+    assert quotes.conversations(df.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    texts = [f'see token = "{key()}" here' for _ in range(20)] + [f"commit {key()} fixed it" for _ in range(20)]
+    texts += [f"card 49{rng.randrange(10 ** 13, 10 ** 14)} paid" for _ in range(20)] + [f"in /usr/local/share/python3/site-packages/x{i}" for i in range(9)]
+    texts += TEXTS
+    d = docs(spark, texts)
+    clean = {r.doc_id: r for r in secrets.redact(d).collect()}
+    assert secrets.redact(d).columns == d.columns and len(clean) == len(texts) + 1
+    for i, text in enumerate(texts):
+        want = re.sub('(?<=token = ")[0-9a-f]{40}', "<SECRET>", text) if text else text
+        assert clean[i].text == want
+    assert secrets.scan(empty(spark)).count() == 0 and secrets.redact(empty(spark)).count() == 0
+    assert secrets.redact(docs(spark)).where("text like '%<SECRET>%'").count() == 0
+
+
+def test_url_filter(spark):
+    rows = [(1, "http://a.com/x", '<a href="http://C.org/q">x</a><a href=//d.org>'), (2, "http://b.net/es/x", None), (3, "http://c.org/", "<a href='https://b.net/'>z</a>"),
+            (4, "HTTP://D.org", '<A HREF = "http://b.net?x">'), (5, None, "x"), (6, "nourl", ""), (7, "http://e.org/", '<a href="/rel">'),
+            (7, "http://b.net/es/y", None), (8, "://", ""), (9, "http://f.org/a", '<a href="http://b.net/">'), (10, "http://www.example.com/en/1?x", ""), (11, "http://m.example.com/en/1", "")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, verdict string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, URL_RULES).collect()}
+    assert (1, "a.com", "/x", "com/", "allow") in got and (9, "f.org", "/a", None, "block") in got
+    assert (10, "www.example.com", "/en/1", "www.example.com/en/", "allow") in got and (11, "m.example.com", "/en/1", "example.com/en/", "block") in got
+    assert (8, "", "", None, "allow") in got and (6, "", "", None, "allow") in got and len(got) == len(rows)
+    import duckdb
+    import pandas as pd
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    cur = con.execute(ORACLES["op3_link_propagation"])
+    at = [[c[0] for c in cur.description].index(n) for n in ("page_id", "host", "path", "rule", "verdict")]
+    assert {tuple(r[i] for i in at) for r in cur.fetchall()} == got
+    assert url_filter.judge(df.limit(0), URL_RULES).count() == 0
+
+
+def test_each_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, sf, tmp_path):
+    import corpus_pipeline as p
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = p.identify_language(spark, d, sf)
+    assert kept.columns == d.columns and kept.count() == d.where("text rlike '[A-Za-z]'").count()
+    once = p.drop_near_duplicates(spark, d, sf).toPandas()
+    texts = dict(d.select("doc_id", "text").toPandas().values.tolist())
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    left = set(once.doc_id)
+    assert not any(near(sets[a], sets[b]) for a in left for b in left if a < b)
+    assert all(any(near(sets[i], sets[j]) for j in texts if j != i) for i in texts if i not in left)
+    out = p.run(spark, sf)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() <= len(left)
+    for _, stage in p.STAGES:
+        assert stage(spark, d.limit(0), sf).count() == 0
+    odd = docs(spark)
+    for name, stage in p.STAGES[1:4]:
+        rows = stage(spark, odd, sf)
+        assert rows.columns == odd.columns and rows.where("doc_id is null").count() == 1, name
