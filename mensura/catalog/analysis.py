@@ -395,9 +395,9 @@ def t02(v, spark, sf):
 
 
 @query("T04_worst_first", f"""select label, k, n, {_PA['p']} as p from (select label, count_if(ok) as k, count(*) as n from fx_judged where coalesce(label, '') <> '' and ok is not null group by 1)
-order by 4, label limit 25""")
+order by 4, label""")
 def t04(v, spark, sf):
-    return A.worst_first(A.per_article_quota(v("fx_reports")), 25).select("label", "k", "n", "p")
+    return A.worst_first(A.per_article_quota(v("fx_reports"))).select("label", "k", "n", "p")
 
 
 @query("T05_top_confusions", """select coalesce(nullif(label, ''), '?') as truth, pred as predicted, count(*) as n from fx_judged where ok = false group by 1, 2 order by n desc, truth, predicted limit 8""")
@@ -405,6 +405,11 @@ def t05(v, spark, sf):
     return A.top_confusions(v("fx_reports"), 8)
 
 
+@query("T05_all_confusions", """select coalesce(nullif(label, ''), '?') as truth, pred as predicted, count(*) as n from fx_judged where ok = false group by 1, 2""")
+def t05_all(v, spark, sf):
+    return A.confusion_pairs(v("fx_reports")).select("truth", "predicted", "n")
+
+
 @query("W15_capture_order", """select report_id, session, row_number() over (partition by session order by stem, report_id) - 1 as capture_order from fx_rep""")
 def w15(v, spark, sf):
     return A.capture_order(v("fx_reports")).select("report_id", "session", "capture_order")

@@ -25,8 +25,7 @@ def slug(name: Column) -> Column:
 def natural_sort_key(text: Column) -> Column:
     """Sortable struct: text and number parts in turn, then the folded raw text.
 
-    Digit runs compare as numbers (decimal(38,0) holds 38 digits), other parts
-    case-folded. A text always starts with a (possibly empty) text part.
+    Digit runs of any length compare as numbers, other parts case-folded. A text always starts with a (possibly empty) text part.
     """
     s = F.coalesce(text.cast("string"), F.lit(""))
     parts = F.regexp_extract_all(s, F.lit(r"(\d+|\D+)"), F.lit(1))
@@ -34,8 +33,9 @@ def natural_sort_key(text: Column) -> Column:
         F.array().cast("array<string>"))
     key = F.transform(F.concat(lead, parts), lambda t: F.struct(
         F.when(F.regexp_like(t, F.lit(r"^\d")), F.lit(1)).otherwise(F.lit(0)).alias("kind"),
-        F.when(F.regexp_like(t, F.lit(r"^\d")), t.try_cast("decimal(38,0)"))
-        .otherwise(F.lit(0).cast("decimal(38,0)")).alias("num"),
+        # a number of any length: its digits without leading zeros, longer ones after shorter ones
+        F.when(F.regexp_like(t, F.lit(r"^\d")), F.length(F.ltrim(t, F.lit("0")))).otherwise(F.lit(0)).alias("digits"),
+        F.when(F.regexp_like(t, F.lit(r"^\d")), F.ltrim(t, F.lit("0"))).otherwise(F.lit("")).alias("num"),
         F.when(F.regexp_like(t, F.lit(r"^\d")), "").otherwise(F.lower(t)).alias("txt")))
     return F.struct(key.alias("parts"), F.lower(s).alias("raw"))
 

@@ -210,9 +210,9 @@ def per_article_quota(reports: DataFrame) -> DataFrame:
                     F.round(w["lo"], 4).alias("wilson_lo"), F.round(w["hi"], 4).alias("wilson_hi"))
 
 
-def worst_first(quota: DataFrame, n: int) -> DataFrame:
-    """Top-n report of the articles with the lowest accuracy."""
-    return quota.orderBy("p", "label").limit(n)
+def worst_first(quota: DataFrame) -> DataFrame:
+    """All articles, the lowest accuracy first."""
+    return quota.orderBy("p", "label")
 
 
 def verdict_by_prediction(reports: DataFrame) -> DataFrame:

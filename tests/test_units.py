@@ -64,6 +64,13 @@ def test_natural_order(spark):
     assert got == ["2-A", "LOEFFEL-02", "LOEFFEL-2", "loeffel-2", "LOEFFEL-11", "TELLER"]
 
 
+def test_natural_order_of_long_numbers(spark):
+    names = ["a" + "9" * 45, "a1" + "0" * 45, "a" + "0" * 60 + "7", "a8", "a"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(text.natural_sort_key(F.col("n")), "n").collect()]
+    assert got == ["a", "a" + "0" * 60 + "7", "a8", "a" + "9" * 45, "a1" + "0" * 45]
+
+
 @pytest.mark.parametrize("n,z,m,refs,want", [
     (0, None, None, None, "reject"), (2, 3.5, 2.0, True, "accept"), (2, 3.5001, 9.0, True, "reject"),
     (2, 1.0, 1.9999, True, "ambiguous"), (1, 1.0, None, True, "accept"), (1, 1.0, None, False, "ambiguous")])
