@@ -10,7 +10,8 @@ inner product of the original vectors in double precision.
 
 The number of hashes and of probes is fitted on ``probe_sample`` queries, whose true
 neighbours are found against all rows, and on ``row_sample`` rows: of the settings that reach ``target``
-recall there, over a few slot widths, the one that visits the smallest share of rows. All rows are indexed. A query that
+recall there, over a few slot widths, the one that visits the smallest share of rows. All rows are indexed. A candidate that scores below 2 (k + 1) of the sampled
+rows can't be among the nearest and does not leave its task. A query that
 still finds fewer than k rows is searched against all rows, so short buckets lose nothing.
 
 Equal vectors are one class with its k + 1 smallest ids (no query can need more of them).
@@ -173,12 +174,12 @@ def _blocks(rows: DataFrame, size: int, by: str) -> DataFrame:
 
 def _tiles(index: DataFrame, queries: DataFrame, dim: int, k: int, spare: int) -> DataFrame:
     """q, cid, s: candidates, the best k of each query within each joined pair of blocks."""
-    pairs = index.join(queries, "shard").select("keys", "cids", "vs", "qs", "qkeys", "qvs")
+    pairs = index.join(queries, "shard").select("keys", "cids", "vs", "qs", "qkeys", "qvs", "floors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                part = [batch.column(c)[r].values for c in range(6)]
+                part = [batch.column(c)[r].values for c in range(7)]
                 keys, cids, qs = (part[i].to_numpy(zero_copy_only=False) for i in (0, 1, 3))
                 known, slot = np.unique(keys, return_inverse=True)
                 ask = part[4]
@@ -197,7 +198,7 @@ def _tiles(index: DataFrame, queries: DataFrame, dim: int, k: int, spare: int) -
                 cids, start = np.unique(cids[order], return_index=True)
                 seen = np.logical_or.reduceat(open_[mine][:, slot[order]], start, axis=1)
                 s = left[mine] @ right[order[start]].T
-                s[~seen] = -np.inf
+                s[~seen | (s < part[6].to_numpy(zero_copy_only=False)[mine][:, None])] = -np.inf
                 n = min(k + spare, s.shape[1])
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 got = np.take_along_axis(s, top, 1).ravel()
@@ -213,7 +214,7 @@ def _tiles(index: DataFrame, queries: DataFrame, dim: int, k: int, spare: int) -
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding",
-           target: float = 0.96, probe_sample: int = 64, row_sample: int = 4096) -> DataFrame:
+           target: float = 0.96, probe_sample: int = 64, row_sample: int = 16384) -> DataFrame:
     """The k nearest rows found for every row where ``is_query(id column)`` holds.
 
     Columns: query_id, rank (from 1), vec_id, score (inner product of the original vectors).
@@ -251,7 +252,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
     truth: list[list] = [[] for _ in q]
     for r in _exact_top(classes, q, k + 1).toArrow().to_pylist():
         truth[r["q"]].append(r["v"])
-    hashes = fit(rows, q, [np.array(t, float) for t in truth], norm, target, n)
+    shown = spark.sparkContext.broadcast(rows)
+    hashes = fit(rows[:4096], q, [np.array(t, float) for t in truth], norm, target, n)
 
     shards = max(1, -(-n * TABLES // INDEX_BLOCK))
 
@@ -264,11 +266,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
                     [pa.array(keys.ravel() % shards), pa.array(keys.ravel()), batch.column(0).take(at),
                      batch.column(1).take(at)], names=["shard", "keys", "cids", "vs"])
 
+    def floor(x: np.ndarray) -> np.ndarray:
+        """A score that the k + 1 nearest classes of each query reach, as 2 (k + 1) sampled rows do."""
+        s, at = x @ shown.value.T, 2 * (k + 1)
+        if s.shape[1] <= at:
+            return np.full(len(x), -np.inf)
+        return np.partition(s, s.shape[1] - at, axis=1)[:, s.shape[1] - at] - 1e-9
+
     def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                probes = hashes.probe_keys(_matrix(part.column(1), dim)).reshape(len(part), -1)
+                mine_all = _matrix(part.column(1), dim)
+                probes = hashes.probe_keys(mine_all).reshape(len(part), -1)
+                floors = floor(mine_all)
                 out: list[list] = [[], [], []]
                 for i, mine in enumerate(probes):
                     mine = np.unique(mine)
@@ -282,12 +293,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
                 take = pa.array(out[1], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), part.column(0).take(take), pa.array(out[2], pa.list_(pa.int64())),
-                     part.column(1).take(take)], names=["shard", "qs", "qkeys", "qvs"])
+                     part.column(1).take(take), pa.array(floors).take(take)], names=["shard", "qs", "qkeys", "qvs", "floors"])
 
     index = _blocks(classes.select("cid", "v").mapInArrow(
         index_rows, "shard long, keys long, cids long, vs array<float>"), INDEX_BLOCK, "cids")
     index = kept(index.withColumn("vs", F.flatten("vs")), "index")
-    probing = _blocks(queries.mapInArrow(query_rows, "shard long, qs long, qkeys array<long>, qvs array<float>"), QUERY_BLOCK, "qs")
+    probing = _blocks(queries.mapInArrow(query_rows, "shard long, qs long, qkeys array<long>, qvs array<float>, floors double"), QUERY_BLOCK, "qs")
     spare = 4
     with few_rows_a_batch(spark):
         top = kept(_tiles(index, probing.withColumn("qvs", F.flatten("qvs")), dim, k + 1, spare), "top")
@@ -311,7 +322,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
     if not short.limit(1).count():
         return got.select(*shape_out)
     again = queries.join(short.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi")
-    everywhere = again.select(F.col("cid").alias("qs"), F.col("v").alias("qvs"), F.array().cast("array<long>").alias("qkeys"),
+    everywhere = again.select(F.col("cid").alias("qs"), F.col("v").alias("qvs"), F.array().cast("array<long>").alias("qkeys"), F.lit(float("-inf")).alias("floors"),
                               F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).withColumn("shard", F.col("shard").cast("long"))
     rest = _tiles(index, _blocks(everywhere, QUERY_BLOCK, "qs").withColumn("qvs", F.flatten("qvs")), dim, k + 1, spare)
     with few_rows_a_batch(spark):
