@@ -40,6 +40,7 @@ from .pretokens import TextEncoder
 
 BLOCK = 256
 FILE_IDS = 4 << 20
+MEMO = 400_000              # pieces kept in each of two generations
 _LOADED: dict[str, TextEncoder] = {}
 
 
@@ -128,7 +129,7 @@ def encoder(path: str) -> TextEncoder:
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _LOADED[path] = TextEncoder(lambda t: array("I", tok.encode(t, add_special_tokens=False).ids).tobytes())
+        _LOADED[path] = TextEncoder(lambda t: array("I", tok.encode(t, add_special_tokens=False).ids).tobytes(), MEMO)
     return _LOADED[path]
 
 
