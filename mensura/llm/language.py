@@ -38,6 +38,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 SMOOTH = 0.5
 MEMO = 250_000
+HELD = 200_000               # distinct keys of a language that a task counts before it passes them on
+ONE = np.float32(1).tobytes()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -45,34 +47,59 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i:i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
+def words_of(token: str) -> list[str]:
+    """The words of a lower-cased run of visible characters."""
+    return [token] if token.isalpha() else LETTERS.findall(token)
+
+
+def _rows(seen: dict[str, dict[str, int]], key: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang for lang, c in seen.items() for _ in c], pa.string()),
+         pa.array([k for c in seen.values() for k in c], pa.string()),
+         pa.array([n for c in seen.values() for n in c.values()], pa.int64())], names=["lang", key, "n"])
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """lang, word, n over the rows (text, lang)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part, seen = batch.slice(at, 256), Counter()
-                for text, lang in zip(*(c.to_pylist() for c in part.columns)):
-                    seen.update((lang, w) for w in LETTERS.findall(text.lower()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
-                     pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+            for text, lang in zip(*batch.columns):
+                tokens = seen.setdefault(lang.as_py(), Counter())
+                tokens.update(text.as_py().lower().split())
+                if len(tokens) >= HELD:
+                    yield _rows(_words(seen), "word")
+                    seen = {}
+        yield _rows(_words(seen), "word")
 
     return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _words(seen: dict[str, Counter]) -> dict[str, dict[str, int]]:
+    """Counts of the words in counted tokens."""
+    out: dict[str, dict[str, int]] = {}
+    for lang, tokens in seen.items():
+        mine = out[lang] = {}
+        for token, n in tokens.items():
+            for word in words_of(token):
+                mine[word] = mine.get(word, 0) + n
+    return out
+
+
 def _gram_counts(counted: DataFrame) -> DataFrame:
     """lang, gram, n from the word counts; a gram's length is part of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, dict[str, int]] = {}
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                seen = Counter()
-                for lang, word, n in zip(*(c.to_pylist() for c in batch.slice(at, 4096).columns)):
-                    for size in range(1, LONGEST + 1):
-                        for g in grams(word, size):
-                            seen[lang, g] += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
-                     pa.array(list(seen.values()), pa.int64())], names=["lang", "gram", "n"])
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = seen.setdefault(lang, {})
+                for size in range(1, LONGEST + 1):
+                    for g in grams(word, size):
+                        mine[g] = mine.get(g, 0) + n
+                if len(mine) >= HELD:
+                    yield _rows(seen, "gram")
+                    seen = {}
+        yield _rows(seen, "gram")
 
     return counted.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long").groupBy(
         "lang", "gram").agg(F.sum("n").alias("n"))
@@ -87,24 +114,30 @@ class Model:
     def unseen(self, word: str) -> bytes:
         """Scores of a word that the model does not know; empty if no n-gram helps."""
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [self.grams[g] for g in grams(word, size) if g in self.grams]
+            known = [row for row in map(self.grams.get, grams(word, size)) if row]
             if known:
                 rows = np.frombuffer(b"".join(known), np.float32).reshape(len(known), -1)
-                return rows.mean(axis=0, dtype=np.float64).astype(np.float32).tobytes()
+                return (np.add.reduce(rows, axis=0, dtype=np.float64) / len(rows)).astype(np.float32).tobytes()
         return b""
 
+    def token(self, token: str) -> bytes:
+        """A packed row for each word of a lower-cased token: its scores and a 1, or zeros if it can't be scored."""
+        out = []
+        for word in words_of(token):
+            row = self.words.get(word) or self.unseen(word)
+            out.append(row + ONE if row else bytes(4 * len(self.languages) + 4))
+        return b"".join(out)
+
     def predict(self, text: str | None, memo: Bounded) -> tuple[str, float, float]:
-        """(language, score, share of words that could be scored)."""
-        found = LETTERS.findall(text.lower()) if text and self.languages else ()
-        if not found:
-            return "und", 0.0, 0.0
-        rows = np.frombuffer(b"".join(map(memo.__getitem__, found)), np.float32).reshape(-1, len(self.languages))
-        if not len(rows):
-            return "und", 0.0, 0.0
+        """(language, score, share of words that could be scored); ``memo`` keeps ``token``."""
+        packed = b"".join(map(memo.__getitem__, text.lower().split())) if text and self.languages else b""
+        rows = np.frombuffer(packed, np.float32).reshape(-1, len(self.languages) + 1)
         total = rows.sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        share = 1.0 / float(np.exp(total - total[best]).sum())
-        known = len(rows) / len(found)
+        if not total[-1]:
+            return "und", 0.0, 0.0
+        best = int(np.argmax(total[:-1]))
+        share = 1.0 / float(np.exp(total[:-1] - total[best]).sum())
+        known = float(total[-1]) / len(rows)
         return self.languages[best], share * known, known
 
 
@@ -158,7 +191,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        memo = Bounded(lambda w: m.words.get(w) or m.unseen(w), MEMO)
+        memo = Bounded(m.token, MEMO)
         for batch in batches:
             got = [m.predict(t.as_py(), memo) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
