@@ -89,7 +89,7 @@ def _bits(seeds_table: DataFrame, count: int) -> tuple[np.ndarray, int]:
 
     The bits are set by a grouped job: each group is one 64-bit word of the table.
     """
-    power = int(min(27, max(20, np.ceil(np.log2(max(count, 1) * 64)))))
+    power = int(min(27, max(20, np.ceil(np.log2(max(count, 1) * 1024)))))
     slot = F.shiftrightunsigned("seed", 64 - power)
     words = seeds_table.select(slot.alias("slot")).select(
         F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b"))
