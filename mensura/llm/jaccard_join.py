@@ -18,11 +18,16 @@ for keys that still hold several components, members are verified against the ke
 smallest class, and at last the pairs of different components that remain, where the
 sizes allow a link: as rows in keys of few members, and block against block in larger
 ones, where a pair of blocks gives no more rows than it merges components. Every pair that
-shares a key is thus verified or already connected. Sets that are all close to each other but
+shares a key is thus verified, ruled out by its counts or already connected. Sets that are all close to each other but
 mostly not linked are compared with one another in any exact method; that work, inside such a
 group, is the one that grows with the square of its size, and it runs in bounded blocks over
 many tasks.
 
+Counts before sets. Each set has a row of counts, a bin for about four shingles. The counts of
+two sets differ, summed over the bins, by no more than the sets do, so a pair whose counts differ
+by more than a link allows is no link. Pairs, and members of large keys, are tried by
+their counts first; only what these leave open is compared by the sets themselves.
+
 Shingles are compared as 64-bit hashes (two different shingles of a pair of documents
 are taken for equal with a chance of about 1e-13 for sets of a thousand).
 
@@ -51,6 +56,8 @@ GROWTH = Fraction(3, 2)      # sizes of a band: from b to under b * GROWTH
 FEW = 32                     # members of a key that are compared pair by pair as rows
 BLOCK_SHINGLES = 1 << 16     # shingles of a block of members of a larger key
 VOCABULARY = 1 << 14         # shingles that one step of comparing two blocks takes
+BLOCK_COUNTS = 1 << 17       # bins of a block of members whose counts are compared
+LEAST_BINS = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,19 +168,63 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         run, "id long, keys array<long>")
 
 
+def counts_of(sets: np.ndarray) -> bytes:
+    """Shingles by the low bits of their hashes, a byte for each bin (255: or more)."""
+    bins = max(LEAST_BINS, 1 << (max(1, len(sets) // 4) - 1).bit_length())
+    at = (sets & np.uint64(bins - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _narrowed(counts: np.ndarray, bins: int) -> np.ndarray:
+    """Rows of counts in fewer bins: those of equal low bits are added."""
+    return counts.reshape(len(counts), -1, bins).sum(axis=1, dtype=np.int32)
+
+
+def _table(rows: list[bytes]) -> np.ndarray:
+    """Counts of one width as rows of a matrix."""
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
+def may_link(nx: np.ndarray, ny: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """False where sets of these sizes, whose counts are so far apart, can't be linked."""
+    return 100 * (nx + ny - apart) >= percent * (nx + ny + apart)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, the shingle hashes, of the documents in ``ids``."""
+    """id, n, the shingle hashes and their counts, of the documents in ``ids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = list(shingle_sets(batch.column(1), words))
             ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)))],
-                names=["id", "shingles"])
+                    pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64))),
+                 pa.array(list(map(len, got)), pa.int64()), pa.array(map(counts_of, got), pa.binary())],
+                names=["id", "shingles", "n", "counts"])
+
+    few = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
+        ids, "id", "left_semi").dropDuplicates(["id"])
+    return few.mapInArrow(run, "id long, shingles array<long>, n long, counts binary")
 
-    few = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return few.mapInArrow(run, "id long, shingles array<long>")
+
+def _near_by_counts(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts do not rule out a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            ok = np.zeros(len(batch), bool)
+            width = np.array([list(map(len, x)), list(map(len, y))])
+            for wx, wy in np.unique(width, axis=1).T.tolist() if len(batch) else ():
+                rows = np.flatnonzero((width[0] == wx) & (width[1] == wy))
+                w = min(wx, wy)
+                apart = np.abs(_narrowed(_table([x[i] for i in rows]), w) - _narrowed(_table([y[i] for i in rows]), w)).sum(axis=1)
+                ok[rows] = may_link(nx[rows], ny[rows], apart, percent)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +232,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(
+    return _near_by_counts(pairs, sets, percent).join(left, "a").join(right, "b").where(
         100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
@@ -218,17 +269,59 @@ def _merges(x: list[np.ndarray], cx: list[int], y: list[np.ndarray], cy: list[in
     return out
 
 
+def _block_pairs(rows: DataFrame, *columns: str) -> DataFrame:
+    """key, x, y: the ``columns`` of the members of two of a key's blocks, for each pair of its blocks.
+
+    A key's members are dealt to ``blocks`` blocks, so that none is larger than about the bound
+    that number was made for.
+    """
+    blocks = rows.withColumn("_b", F.pmod(F.xxhash64("id"), "blocks")).groupBy("key", "_b").agg(
+        F.collect_list(F.struct(*columns)).alias("m"))
+    left, right = blocks.alias("l"), blocks.alias("r")
+    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._b") <= F.col("r._b"))).select(
+        F.col("l.key"), F.col("l.m").alias("x"), F.col("r.m").alias("y"))
+
+
+def _by_width(cell: pa.Scalar) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, components, sizes and counts of a block's members, by the width of the counts."""
+    ids, cs, ns, counts = (c.to_pylist() for c in cell.values.flatten())
+    out: dict[int, list[int]] = {}
+    for i, row in enumerate(counts):
+        out.setdefault(len(row), []).append(i)
+    return {w: (np.array(ids)[rows], np.array(cs)[rows], np.array(ns)[rows], _table([counts[i] for i in rows]))
+            for w, rows in out.items()}
+
+
+def _open_by_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id) of members that have a partner in the key, of another component, that counts do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                found: set[int] = set()
+                left, right = _by_width(batch.column(1)[r]), _by_width(batch.column(2)[r])
+                for wx, (ix, cx, nx, x) in left.items():
+                    for wy, (iy, cy, ny, y) in right.items():
+                        w = min(wx, wy)
+                        xs, ys = _narrowed(x, w), _narrowed(y, w)
+                        for i in range(len(ix)):
+                            try_ = np.flatnonzero((cy != cx[i]) & may_link(nx[i], ny, np.abs(ny - nx[i]), percent))
+                            hit = try_[may_link(nx[i], ny[try_], np.abs(ys[try_] - xs[i]).sum(axis=1), percent)]
+                            if len(hit):
+                                found.add(int(ix[i]))
+                                found.update(iy[hit].tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[r].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["key", "id"])
+
+    rows = members.join(sets.select("id", "counts"), "id")
+    return _block_pairs(rows, "id", "c", "n", "counts").mapInArrow(run, "key long, id long").distinct()
+
+
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components inside keys of many members.
 
-    A key's members are dealt to blocks of bounded size; each pair of blocks is one row, compared
-    at once, and gives no more links than it merges components.
+    Each pair of blocks is one row, compared at once, and gives no more links than it merges components.
     """
-    rows = members.join(sets, "id").withColumn("_b", F.pmod(F.xxhash64("id"), "blocks"))
-    blocks = rows.groupBy("key", "_b").agg(F.collect_list(F.struct("id", "c", "shingles")).alias("m"))
-    left, right = blocks.alias("l"), blocks.alias("r")
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._b") <= F.col("r._b"))).select(
-        F.col("l.m").alias("x"), F.col("r.m").alias("y"))
+    pairs = _block_pairs(members.join(sets.select("id", "shingles"), "id"), "id", "c", "shingles").select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,37 +364,42 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     near = kept(members.join(sizes, "id"), "near")          # members of keys with two classes or more
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    sets = kept(_sets(docs, near.select("id").distinct(), id_col, text_col, words).dropDuplicates(["id"]), "sets")
+    sets = kept(_sets(docs, near.select("id").distinct(), id_col, text_col, words), "sets")
 
     first = near.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b"))
     links = kept(_verified(first.select(F.col("id").alias("a"), "b"), sets, percent), "links1")
 
-    def labelled(found: DataFrame) -> DataFrame:
-        """near with the component of each member."""
+    def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+        """``members`` with the component of each, those of keys with several components."""
         label = clusters(found)
-        return near.join(label.select(F.col("node").alias("id"), "cluster"), "id", "left").select(
+        named = members.join(label.select(F.col("node").alias("id"), "cluster"), "id", "left").select(
             "key", "id", "n", "pivot", F.coalesce("cluster", "id").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        return named.join(mixed, "key", "left_semi")
 
-    open_ = labelled(links)
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = kept(open_.join(mixed, "key", "left_semi"), "open")
+    open_ = kept(labelled(near, links), "open")
     pivots = open_.where("id = pivot").select("key", F.col("c").alias("pc"), F.col("n").alias("pn"))
     second = open_.join(pivots, "key").where((F.col("c") != F.col("pc")) & fits(F.col("n"), F.col("pn"))).select(
         F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = kept(second, "tried")
-    links = kept(links.unionByName(_verified(tried, sets, percent)), "links2")
-
-    open_ = kept(labelled(links), "open2")
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"),
-                                     F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("lo < hi")
-    rest = kept(open_.join(mixed.select("key", "size", "blocks"), "key").where("id <> pivot"), "rest")
-    one, two = rest.where(F.col("size") <= FEW).alias("p"), rest.where(F.col("size") <= FEW).alias("q")
+    links = kept(links.unionByName(_verified(second, sets, percent)), "links2")
+
+    def sized(members: DataFrame, bound: int) -> DataFrame:
+        """``members`` with the number of members and of blocks of their key."""
+        of = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / bound).alias("blocks"))
+        return members.join(of, "key")
+
+    rest = kept(sized(labelled(open_.drop("c"), links).where("id <> pivot").drop("pivot"), BLOCK_COUNTS), "rest")
+    with few_rows_a_batch(spark):
+        tried = _open_by_counts(rest.where(F.col("size") > FEW), sets, percent)
+        large = kept(sized(rest.drop("size", "blocks").join(tried, ["key", "id"], "left_semi"), BLOCK_SHINGLES), "large")
+    few = rest.where(F.col("size") <= FEW).unionByName(large.where(F.col("size") <= FEW))
+    one, two = few.alias("p"), few.alias("q")
     third = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") > F.col("q.id"))
                      & (F.col("p.c") != F.col("q.c")) & fits(F.col("p.n"), F.col("q.n"))).select(
         F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     links = links.unionByName(_verified(third, sets, percent))
     with few_rows_a_batch(spark):
-        links = kept(links.unionByName(_in_blocks(rest.where(F.col("size") > FEW), sets, percent)), "links3")
+        links = kept(links.unionByName(_in_blocks(large.where(F.col("size") > FEW), sets, percent)), "links3")
 
     label = clusters(links).select(F.col("node").alias("rep"), F.col("cluster").alias("c"))
     named = classes.join(label, "rep", "left").select(*row, F.coalesce("c", "rep").alias("c"))
