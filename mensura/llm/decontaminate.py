@@ -3,7 +3,9 @@
 A seed is a fixed mask over consecutive words; the words at its open positions are
 hashed, those under its zeros ignored, so a hit survives changed words there. Seeds
 of all benchmark positions form a table that the seeds of the documents are joined
-to. A hit names a diagonal (place in the document less place in the item), and the item
+to. The masks of an item are made for the substitutions it is allowed: every pattern of so many
+changed words in the narrowest window of that number leaves one mask a place (``masks``), so no
+passage that ``share`` accepts is missed. A hit names a diagonal (place in the document less place in the item), and the item
 laid along it is verified word by word: the passage counts when, in some window of
 ``window`` item words (the whole item, if shorter), at least ``share`` of the words agree.
 
@@ -13,16 +15,18 @@ of word hashes around them leave the scan; false passes fall out in the join. Hi
 document, item and diagonal are one row before they are verified.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters,
-compared without regard to the case of A-Z, as 64-bit hashes. Items of fewer words than the longest mask
-are found by a mask of their own length without zeros; items of fewer than ``least`` words
+compared without regard to the case of A-Z, as 64-bit hashes. Items of fewer than ``least`` words
 are never found, for so few words prove nothing. Null or empty texts and empty tables match
-nothing. Rows that share an id are judged together; a row with a null id is judged by
-the pipeline's filter like any other row. Columns other than id and text are not read.
+nothing. Rows that share an id are judged together; rows and items with a null id are told
+apart by their texts. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import NOT_WORD, mix, slices, text_buffers, word_hashes
 
-MASKS = ("1101100101101", "1011010011011", "1110010111")
+HEAVIEST, MOST_MASKS = 8, 6  # open positions of a mask at most, and masks that are worth a heavier one
+SEARCH = 1 << 24             # masks times patterns that are tried; beyond it a run of words is the mask
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -48,12 +53,45 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def _short_mask(n: int) -> str:
-    return "1" * n
+@lru_cache
+def masks(width: int, allowed: int) -> tuple[str, ...]:
+    """Masks of which one fits between any ``allowed`` changed words of ``width`` words.
+
+    Greedy, for the most open positions that MOST_MASKS masks do with. A run without zeros as
+    long as the longest unchanged one must be always suffices.
+    """
+    run = math.ceil((width - allowed) / (allowed + 1))
+    for weight in range(min(HEAVIEST, width - allowed), run, -1):
+        if math.comb(width, allowed) * math.comb(width - 1, weight - 1) > SEARCH:
+            continue
+        patterns = np.array([sum(1 << i for i in c) for c in combinations(range(width), allowed)])
+        tried = [sum(1 << i for i in (0, *c)) for c in combinations(range(1, width), weight - 1)]
+        free = np.array([np.any([patterns & (m << i) == 0 for i in range(width - m.bit_length() + 1)], axis=0) for m in tried])
+        left, out = np.ones(len(patterns), bool), []
+        while left.any() and len(out) < MOST_MASKS:
+            best = int(np.argmax((free & left).sum(axis=1)))
+            left &= ~free[best]
+            out.append(f"{tried[best]:b}")
+        if not left.any():
+            return tuple(out)
+    return ("1" * run,)
+
+
+def allowed_changes(width: int, share: float) -> int:
+    """Most words of ``width`` that may differ where ``share`` of them must agree."""
+    return max(k for k in range(width + 1) if width - k >= share * width or k == 0)
+
+
+def mask_table(window: int, share: float, least: int) -> dict[int, tuple[str, ...]]:
+    """Masks by the width of an item's window; widths with equal allowance share those of the narrowest."""
+    narrowest: dict[int, int] = {}
+    for width in range(max(1, least), window + 1):
+        narrowest.setdefault(allowed_changes(width, share), width)
+    return {width: masks(narrowest[k], k) for width in range(max(1, least), window + 1) for k in [allowed_changes(width, share)]}
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> DataFrame:
-    """item, words: hashed words of the benchmark texts."""
+    """item, words, ikey: hashed words of the benchmark texts and a key of the row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = []
@@ -64,24 +102,24 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item", "words"])
 
     got = benchmark.select(F.col(item_col).cast("long").alias("item"), text_col).mapInArrow(run, "item long, words array<long>")
-    return got.where(F.size("words") >= least).distinct()
+    return got.where(F.size("words") >= max(1, least)).distinct().withColumn("ikey", F.xxhash64("item", "words"))
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
-    """seed, item, at: every seed of every item."""
-    longest = max(map(len, MASKS))
+def _item_seeds(items: DataFrame, by_width: dict[int, tuple[str, ...]]) -> DataFrame:
+    """seed, ikey, at: every seed of every item."""
+    window = max(by_width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for mask in MASKS if len(words) >= longest else (_short_mask(len(words)),):
+                for mask in by_width[min(window, len(words))]:
                     got = seeds(words, mask)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(got.view(np.int64)), pa.array([item] * len(got), pa.int64()),
-                         pa.array(np.arange(len(got), dtype=np.int64))], names=["seed", "item", "at"])
+                        [pa.array(got.view(np.int64)), pa.array([key] * len(got), pa.int64()),
+                         pa.array(np.arange(len(got), dtype=np.int64))], names=["seed", "ikey", "at"])
 
-    return items.mapInArrow(run, "seed long, item long, at long")
+    return items.select("ikey", "words").mapInArrow(run, "seed long, ikey long, at long")
 
 
 def _bits(seeds_table: DataFrame, count: int) -> tuple[np.ndarray, int]:
@@ -99,21 +137,20 @@ def _bits(seeds_table: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return table.view(np.uint64), power
 
 
-def _stretches(docs: DataFrame, table: np.ndarray, power: int, lengths: list[int], reach: int) -> DataFrame:
-    """doc, first, words, seed, place: a stretch of words around hits, a row for each hit."""
+def _stretches(docs: DataFrame, table: np.ndarray, power: int, used: list[str], reach: int) -> DataFrame:
+    """doc, row, first, words, seed, place: a stretch of words around hits, a row for each hit."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    masks = [*MASKS, *map(_short_mask, lengths)]
     down, six = np.uint64(64 - power), np.uint64(6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(2))
             rows, firsts, stretches, hits, places = [], [], [], [], []
             for a, b in slices(offsets):
                 words, first = word_hashes(data, offsets[a:b + 1], NOT_WORD)
                 found = []
-                for mask in masks:
+                for mask in used:
                     got = seeds(words, mask)
                     slot = got >> down
                     at = np.flatnonzero(bits[slot >> six] >> (slot & np.uint64(63)) & np.uint64(1))
@@ -133,11 +170,11 @@ def _stretches(docs: DataFrame, table: np.ndarray, power: int, lengths: list[int
                     hits.append(got[i:j].view(np.int64))
                     places.append(at[i:j] - lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(firsts, pa.int64()),
+                [*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]), pa.array(firsts, pa.int64()),
                  pa.array(stretches, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.int64())),
-                 pa.array(places, pa.list_(pa.int64()))], names=["doc", "first", "words", "hits", "places"])
+                 pa.array(places, pa.list_(pa.int64()))], names=["doc", "row", "first", "words", "hits", "places"])
 
-    return docs.mapInArrow(run, "doc long, first long, words array<long>, hits array<long>, places array<long>")
+    return docs.mapInArrow(run, "doc long, row string, first long, words array<long>, hits array<long>, places array<long>")
 
 
 def best_window(text: np.ndarray, item: np.ndarray, shift: int, window: int) -> tuple[int, int]:
@@ -162,20 +199,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 16, share:
     path = scratch_path(spark, "benchmark")
     _items(benchmark, item_col, item_text, least).write.parquet(path)
     items = spark.read.parquet(path)
-    by_seed = _item_seeds(items)
-    longest = max(map(len, MASKS))
-    sizes = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("words")), F.lit(0)), F.collect_set(
-        F.when(F.size("words") < longest, F.size("words"))), F.sum(F.size("words"))).first()
-    table, power = _bits(by_seed, 3 * (sizes[3] or 0))
-    found = _stretches(docs.select(F.col(id_col).cast("long").alias("doc"), text_col), table, power, sorted(sizes[2]), sizes[1])
+    window = max(window, least, 1)
+    by_width = mask_table(window, share, least)
+    by_seed = _item_seeds(items, by_width)
+    width = F.least(F.size("words"), F.lit(window))
+    sizes = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0)), F.collect_set(width), F.sum(F.size("words"))).first()
+    used = sorted({mask for w in sizes[1] for mask in by_width[w]}) or ["1"]
+    table, power = _bits(by_seed, max((len(by_width[w]) for w in sizes[1]), default=0) * (sizes[2] or 0))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).select(
+        "doc", F.when(F.col("doc").isNull(), F.sha2("text", 256)).alias("row"), "text")
+    found = _stretches(rows, table, power, used, sizes[0])
     path = scratch_path(spark, "stretches")
     found.write.parquet(path)
-    found = spark.read.parquet(path).withColumn("key", F.xxhash64("doc", "first", "words"))
+    found = spark.read.parquet(path).withColumn("key", F.xxhash64("doc", "row", "first", "words"))
     hits = found.select("key", F.explode(F.arrays_zip("hits", "places")).alias("h")).select(
         "key", F.col("h.hits").alias("seed"), F.col("h.places").alias("place")).distinct()
-    lines = hits.join(by_seed, "seed").select("key", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    laid = lines.groupBy("key", "item").agg(F.collect_set("shift").alias("shifts"))
-    both = laid.join(items, "item").join(found.select("key", "doc", "first", F.col("words").alias("text")), "key")
+    lines = hits.join(by_seed, "seed").select("key", "ikey", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    laid = lines.groupBy("key", "ikey").agg(F.collect_set("shift").alias("shifts"))
+    both = laid.join(items, "ikey").join(found.select("key", "doc", "row", "first", F.col("words").alias("text")), "key")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def array(x: pa.Scalar) -> np.ndarray:
@@ -183,17 +224,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 16, share:
 
         for batch in batches:
             out = []
-            for item, words, shifts, doc, first, text in zip(*batch.columns):
+            for item, ikey, words, shifts, doc, row, first, text in zip(*batch.columns):
                 mine, theirs, width = array(text), array(words), min(window, len(words.values))
                 best = max((*best_window(mine, theirs, s, window), s) for s in array(shifts).tolist())
                 if best[0] >= share * width:
-                    out.append((doc.as_py(), item.as_py(), best[0], width, first.as_py() + best[1] + best[2]))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["doc", "item", "n_words", "window", "at"])
-
-    verified = both.select("item", "words", "shifts", "doc", "first", "text").mapInArrow(
-        check, "doc long, item long, n_words long, window long, at long")
-    return verified.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(
+                    out.append((doc.as_py(), row.as_py(), item.as_py(), ikey.as_py(), best[0], width, first.as_py() + best[1] + best[2]))
+            cols = list(zip(*out)) or [[]] * 7
+            names = ["doc", "row", "item", "ikey", "n_words", "window", "at"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "row" else pa.int64()) for n, c in zip(names, cols)], names=names)
+
+    verified = both.select("item", "ikey", "words", "shifts", "doc", "row", "first", "text").mapInArrow(
+        check, "doc long, row string, item long, ikey long, n_words long, window long, at long")
+    apart = F.when(F.col("item").isNull(), F.col("ikey")).alias("_ikey")
+    return verified.groupBy(F.col("doc").alias(id_col), F.col("row").alias("_row"), F.col("item").alias(item_col), apart).agg(
         F.max(F.struct("n_words", "window", (-F.col("at")).alias("at"))).alias("b")).select(
         id_col, item_col, "b.n_words", "b.window", (-F.col("b.at")).alias("at"))

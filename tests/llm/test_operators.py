@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -141,6 +142,34 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", range(8, 17))
+def test_masks_leave_a_hit(width):
+    masks, allowed = decontaminate.mask_table(16, 0.8, 8)[width], decontaminate.allowed_changes(width, 0.8)
+    assert allowed == int(width * 0.2 + 1e-9)
+    laid = [{at + i for i, on in enumerate(m) if on == "1"} for m in masks for at in range(width - len(m) + 1)]
+    assert all(any(not here & set(changed) for here in laid) for changed in itertools.combinations(range(width), allowed))
+
+
+def test_decontamination_of_changed_and_null_items(spark):
+    rng = random.Random(6)
+    items = [[f"u{n}x{i}" for i in range(n)] for n in (8, 10, 12, 13, 15, 16, 24, 48)]
+    bench = spark.createDataFrame([(n or None, " ".join(w)) for n, w in enumerate(items)] + [(None, " ".join(f"k{i}" for i in range(20)))],
+                                  "item_id long, text string")
+    texts, want = [], set()
+    for n, words in enumerate(items):
+        for _ in range(6):
+            w = list(words)
+            for i in rng.sample(range(min(16, len(w))), int(min(16, len(w)) * 0.2 + 1e-9)) if len(w) <= 16 else range(0, len(w), 5):
+                w[i] = "other"
+            want.add((len(texts), n or None))
+            texts.append("a b " + " ".join(w) + " c")
+    want |= {(len(texts), None), (None, None), (None, 1)}
+    texts.append(" ".join(f"k{i}" for i in range(20)))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(items[0])), (None, " ".join(items[1])), (None, "clean"), (None, texts[-1])]
+    got = [(r.doc_id, r.item_id) for r in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()]
+    assert set(got) == want and got.count((None, None)) == 2 and len(got) == len(want) + 1
+
+
 def test_language(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = language.identify(d).join(d, "doc_id").where("held_out").toPandas()
