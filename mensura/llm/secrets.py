@@ -1,11 +1,13 @@
 """Secret scan: key-like strings judged by a random forest that removes false positives.
 
-A candidate is a run of 16 or more key characters that holds a digit or a change from lower to
-upper case. What the forest sees of it: length, digits, changes between kinds of characters,
+A candidate is a web token (three parts joined by dots), a value of 4 or more visible characters
+assigned to a name that speaks of secrets, one of 8 or more assigned with ``=`` to any name, or a
+run of 16 or more key characters. What the forest sees of it: length, digits, changes between kinds of characters,
 distinct characters, how much of it dictionary words cover, whether it looks like a path or
 stands in one, and the words and signs beside it. The forest is trained from labelled
 findings: ``label_by_rule`` labels those whose form and neighbours leave little doubt, in the table itself
-(the forest then judges all, also those without a label), or a table of reviewed findings is passed in.
+(the forest then judges all, also those without a label; a string in the published form of a
+provider's key needs no judge and is a secret wherever it stands), or a table of reviewed findings is passed in.
 ``sample`` bounds the findings it is fitted on (smallest hashes); every candidate is judged.
 
 Only DataFrame functions and Spark's own forest are used. A text is cut at its candidates once, so
@@ -31,10 +33,21 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: Names of secrets, without regard to case.
+NAMES = r"token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credential|auth(?:orization)?|bearer"
+_VALUE = r"[^\s\"'`<>]"
+CANDIDATE = (
+    r"eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]*)?"
+    rf"|(?<=(?i:{NAMES})[\"'`]?\s{{0,2}}(?:[=:]|:=|=>)\s{{0,2}}[\"'`]?){_VALUE}{{4,}}(?<![,;.)\]}}])"
+    rf"|(?<=[A-Za-z0-9_\"'`]\s{{0,2}}(?:=|:=)\s{{0,2}}[\"'`]?)(?![=>\s]){_VALUE}{{8,}}(?<![,;.)\]}}])"
+    r"|[A-Za-z0-9+/_\-]{16,}={0,2}")
+#: Published forms of providers' keys.
+KNOWN = (r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
+         r"|[prs]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}"
+         r"|eyJ[A-Za-z0-9_\-]{5,}\.eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]*)?)$")
 LEFT, RIGHT = 64, 32
 #: Words that stand beside a secret that is assigned, and beside numbers and digests that are none.
-SECRET_WORDS = r"(?i)(token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credential|auth(?:orization)?|bearer)"
+SECRET_WORDS = f"(?i)({NAMES})"
 OTHER_WORDS = r"(?i)(sha\d*|md5|commit|checksum|digest|revision|uuid|guid|isbn|card|iban|account|order|phone|tel|etag|version|hash)\W*$"
 DICTIONARY = ("about", "account", "admin", "after", "app", "article", "background", "base", "blog", "class", "client", "color", "com",
               "config", "content", "copy", "data", "default", "demo", "div", "doc", "dummy", "edit", "en", "error", "example",
@@ -55,12 +68,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each = cut.select("id", F.posexplode(F.zip_with(
         F.arrays_zip(F.col("_c").alias("c"), F.slice("_p", 1, F.size("_c")).alias("l")), F.slice("_p", 2, F.size("_c")),
         lambda x, r: F.struct(x["c"].alias("c"), F.right(x["l"], F.lit(LEFT)).alias("l"), F.left(r, F.lit(RIGHT)).alias("r")))).alias("nth", "x"))
-    return each.select("id", "nth", F.col("x.c").alias("candidate"), F.col("x.l").alias("left"), F.col("x.r").alias("right")).where(
-        _is_candidate(F.col("candidate")))
-
-
-def _is_candidate(c: Column) -> Column:
-    return c.rlike("[0-9]|[a-z][A-Z]")
+    return each.select("id", "nth", F.col("x.c").alias("candidate"), F.col("x.l").alias("left"), F.col("x.r").alias("right"))
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -90,14 +98,20 @@ def with_features(found: DataFrame) -> DataFrame:
 def label_by_rule(found: DataFrame) -> DataFrame:
     """Findings with ``label`` (1.0 secret, 0.0 not) where form and neighbours leave little doubt, else null.
 
-    Secret: a mixed or hexadecimal string assigned to a name that says so. Not: digits only, few kinds
-    of characters, mostly dictionary words, paths, and strings after a word that names a digest or a number.
+    Secret: a mixed or hexadecimal string assigned to a name that says so, a provider's key, and a bare string of
+    digits, small and capital letters of high entropy. Not: digits only, few kinds of characters, mostly dictionary
+    words, paths, words, and strings after a word that names a digest or a number. Other bare strings have no label.
     """
+    c = F.col("candidate")
     mixed = (F.col("digits") > 0.05) & (F.col("digits") < 0.95) & (F.col("covered") < 0.4)
-    secret = (F.col("secret_word") == 1) & (F.col("assigned") == 1) & mixed
+    signs = c.rlike("[^A-Za-z0-9+/_=.:\\-]") & c.rlike("[A-Za-z]") & ~c.contains("://") & (F.col("covered") < 0.4)
+    secret = (F.col("secret_word") == 1) & (F.col("assigned") == 1) & (mixed | signs)
+    entropy = (mixed & (F.col("length") >= 20) & c.rlike("[a-z]") & c.rlike("[A-Z]") & (F.col("slashes") < 3) & (F.col("dashes") < 3)
+               & (F.col("switches") >= 0.5) & (F.col("distinct") >= 0.4) & (F.col("path") == 0))
     plain = (F.col("digits") >= 0.95) | (F.col("covered") >= 0.6) | (F.col("slashes") >= 3) | (F.col("distinct") < 0.2)
-    other = (F.col("other_word") == 1) | (plain & (F.col("secret_word") == 0)) | ((F.col("secret_word") + F.col("assigned")) == 0)
-    return found.withColumn("label", F.when(secret, 1.0).when(other, 0.0))
+    word = c.rlike(r"^[A-Z]?[a-z]+(?:[\-_/.:][A-Za-z]?[a-z]+)*$") & (F.col("vowels") >= 0.2) & (F.col("assigned") == 0)
+    other = (F.col("other_word") == 1) | ((plain | word) & (F.col("secret_word") == 0))
+    return found.withColumn("label", F.when(c.rlike(KNOWN), 1.0).when(secret, 1.0).when(other, 0.0).when(entropy, 1.0))
 
 
 def train(labelled: DataFrame, sample: int = 20_000, trees: int = 40, depth: int = 8, seed: int = 7):
@@ -118,7 +132,7 @@ def judged(found: DataFrame, model) -> DataFrame:
     if model is None:
         return found.withColumn("score", F.coalesce("label", F.lit(0.0))).withColumn("is_secret", F.col("score") >= 0.5)
     out = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
-    return out.withColumn("score", vector_to_array("probability")[1]).withColumn("is_secret", F.col("score") >= 0.5)
+    return out.withColumn("score", F.when(F.col("candidate").rlike(KNOWN), 1.0).otherwise(vector_to_array("probability")[1])).withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text",

@@ -269,6 +269,24 @@ def test_secrets(spark):
     assert secrets.redact(docs(spark)).where("text like '%<SECRET>%'").count() == 0
 
 
+def test_secrets_of_other_forms(spark):
+    rng = random.Random(9)
+    hexes = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    some = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=k))
+    texts = [f'see token = "{hexes()}" here' for _ in range(20)] + [f"commit {hexes()} fixed it" for _ in range(20)]
+    texts += [f"card 49{rng.randrange(10 ** 13, 10 ** 14)} paid" for _ in range(20)] + [f"in /usr/local/share/python3/site-packages/x{i}" for i in range(9)]
+    texts += ["Donaudampfschifffahrtsgesellschaft und internationalisation", "see http://www.example.com/a/b/page.html?x=1"]
+    keys = ["AKIA" + "QX7ZP2LM9RT4VW8K", "ghp_" + some(36), "sk_live_" + some(24), f"eyJ{some(20)}.eyJ{some(30)}.{some(43)}"]
+    hidden = [(f, k) for k in keys for f in ("we used {} in prose", "| name | {} | x |", "{}", "12:01 INFO got {}, retry")]
+    hidden += [(f, k) for k in ("p@ss!w0rd#1", "hunter22", "a$9Kx!qQ2") for f in ('password = "{}"', "pwd: {}")]
+    rows = texts + [f.format(k) for f, k in hidden]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows)).collect()}
+    assert [clean[len(texts) + i] for i in range(len(hidden))] == [f.format("<SECRET>") for f, _ in hidden]
+    assert all(clean[i] == texts[i] for i in range(20, len(texts)))
+    bare = secrets.label_by_rule(secrets.with_features(secrets.candidates(docs(spark, [f"it was {hexes()} there"])))).first()
+    assert bare.label is None                               # the forest decides
+
+
 def test_url_filter(spark):
     rows = [(1, "http://a.com/x", '<a href="http://C.org/q">x</a><a href=//d.org>'), (2, "http://b.net/es/x", None), (3, "http://c.org/", "<a href='https://b.net/'>z</a>"),
             (4, "HTTP://D.org", '<A HREF = "http://b.net?x">'), (5, None, "x"), (6, "nourl", ""), (7, "http://e.org/", '<a href="/rel">'),
