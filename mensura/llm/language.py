@@ -10,7 +10,9 @@ relative frequency in each language. An unseen word is scored by the mean over i
 (word ends marked) of the longest length of which the model knows any; a word without
 any known letter adds nothing. The prediction is the language of the largest sum, ties to
 the name that sorts first; its score is the posterior under equal priors times the share of
-words that were scored, so text in an unknown script scores low.
+words that were scored, so text in an unknown script scores low. ``_lang_known`` is stricter: it is the
+share of words that the model knows, or of whose three-letter n-grams it knows KNOWN_GRAMS or more, so it
+is low for another language in a learned script and for random letters as well.
 
 Null, empty and letterless texts are ``und`` with score 0, as is everything when there is
 nothing to learn from or no word could be scored. Repeated rows get equal results; rows
@@ -37,6 +39,7 @@ from .pretokens import Bounded
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 SMOOTH = 0.5
+KNOWN_GRAMS = 0.75
 MEMO = 250_000
 HELD = 200_000               # distinct keys of a language that a task counts before it passes them on
 ONE = np.float32(1).tobytes()
@@ -120,25 +123,31 @@ class Model:
                 return (np.add.reduce(rows, axis=0, dtype=np.float64) / len(rows)).astype(np.float32).tobytes()
         return b""
 
+    def familiar(self, word: str) -> bool:
+        """Whether the model knows the word or most of its three-letter n-grams."""
+        if word in self.words:
+            return True
+        three = grams(word, 3)
+        return bool(three) and sum(g in self.grams for g in three) >= KNOWN_GRAMS * len(three)
+
     def token(self, token: str) -> bytes:
-        """A packed row for each word of a lower-cased token: its scores and a 1, or zeros if it can't be scored."""
+        """A packed row for each word of a lower-cased token: its scores, a 1, and a 1 if it is familiar; or zeros if it can't be scored."""
         out = []
         for word in words_of(token):
             row = self.words.get(word) or self.unseen(word)
-            out.append(row + ONE if row else bytes(4 * len(self.languages) + 4))
+            out.append(row + ONE + (ONE if self.familiar(word) else bytes(4)) if row else bytes(4 * len(self.languages) + 8))
         return b"".join(out)
 
     def predict(self, text: str | None, memo: Bounded) -> tuple[str, float, float]:
-        """(language, score, share of words that could be scored); ``memo`` keeps ``token``."""
+        """(language, score, share of familiar words); ``memo`` keeps ``token``."""
         packed = b"".join(map(memo.__getitem__, text.lower().split())) if text and self.languages else b""
-        rows = np.frombuffer(packed, np.float32).reshape(-1, len(self.languages) + 1)
+        rows = np.frombuffer(packed, np.float32).reshape(-1, len(self.languages) + 2)
         total = rows.sum(axis=0, dtype=np.float64)
-        if not total[-1]:
+        if not total[-2]:
             return "und", 0.0, 0.0
-        best = int(np.argmax(total[:-1]))
-        share = 1.0 / float(np.exp(total[:-1] - total[best]).sum())
-        known = float(total[-1]) / len(rows)
-        return self.languages[best], share * known, known
+        best = int(np.argmax(total[:-2]))
+        share = 1.0 / float(np.exp(total[:-2] - total[best]).sum())
+        return self.languages[best], share * (float(total[-2]) / len(rows)), float(total[-1]) / len(rows)
 
 
 def _scores(rows: list[tuple[str, str, int]], languages: list[str], totals: dict) -> dict[str, bytes]:

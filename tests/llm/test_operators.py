@@ -330,3 +330,14 @@ def test_pipeline(spark, sf, tmp_path):
     for name, stage in p.STAGES[1:4]:
         rows = stage(spark, odd, sf)
         assert rows.columns == odd.columns and rows.where("doc_id is null").count() == 1, name
+
+
+def test_language_stage_drops_other_languages(spark, sf):
+    import corpus_pipeline as p
+    rng = random.Random(1)
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 10))) for _ in range(60)) for _ in range(5)]
+    other = ["wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+             "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"]
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(letters + other)], "doc_id long, text string")
+    assert p.identify_language(spark, d.unionByName(odd, allowMissingColumns=True), sf).where("doc_id < 0").count() == 0
