@@ -5,8 +5,9 @@ blocked seeds; a host's seed weight is its number of such pages. Links of the pa
 host edges, weighted by their number; links within a host don't count. Trust is a
 personalised PageRank from the trusted seeds along the edges; distrust one from the blocked
 seeds against them: who links to a blocked host is suspect. Rank that reaches a host without
-edges ends there. With x the seeds and P the row-stochastic edges, ``rounds`` steps of
-``r = x + damping * P'r`` are taken, so a host that no link touches keeps its seed weight. A
+edges ends there. With x the seeds and P the row-stochastic edges, ``r = x + damping * P'r`` is solved by
+steps until what is still to come, over all hosts, is below ``tolerance`` (a step keeps at most ``damping`` of
+the rank in motion); a host that no link touches keeps its seed weight. The SQL form takes 10 steps. A
 host is blocked when (distrust - trust) / pages is ``limit`` or more; a page without a
 rule gets its host's verdict. Hosts nothing is known of are allowed.
 
@@ -64,7 +65,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust; ``hosts`` has host, good and bad (the seed weights)."""
     seeds = hosts.select("host", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad"))
     ends = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
@@ -77,19 +78,22 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     flow = cut_lineage(shares.select(F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("n") / F.col("out")).alias("t"),
                                      F.lit(0.0).alias("d")).unionByName(
         shares.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("into")).alias("d"))))
-    rank = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for step in range(rounds):
-        moved = flow.join(rank, flow["at"] == rank["host"]).groupBy("to").agg(
-            F.sum(F.col("t") * F.col("trust")).alias("mt"), F.sum(F.col("d") * F.col("distrust")).alias("md"))
-        rank = seeds.join(moved, seeds["host"] == moved["to"], "left").select(
-            "host", (F.col("good") + damping * F.coalesce("mt", F.lit(0.0))).alias("trust"),
-            (F.col("bad") + damping * F.coalesce("md", F.lit(0.0))).alias("distrust"))
-        if step % 4 == 3:
-            rank = cut_lineage(rank)
-    return rank
-
-
-def judge(pages: DataFrame, rules: Sequence[Rule], *, damping: float = 0.85, rounds: int = 10, limit: float = 0.5,
+    rank = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"), F.col("good").alias("mt"), F.col("bad").alias("md"))
+    most = seeds.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0.0
+    while most * damping / (1 - damping) >= tolerance:           # ``most``: rank in motion at most, in all hosts
+        for _ in range(4):
+            moved = flow.join(rank.where("mt > 0 or md > 0").select("host", "mt", "md"), F.col("at") == F.col("host")).groupBy("to").agg(
+                F.sum(damping * F.col("t") * F.col("mt")).alias("mt"), F.sum(damping * F.col("d") * F.col("md")).alias("md"))
+            rank = rank.drop("mt", "md").join(moved, F.col("host") == F.col("to"), "left").select(
+                "host", (F.col("trust") + F.coalesce("mt", F.lit(0.0))).alias("trust"),
+                (F.col("distrust") + F.coalesce("md", F.lit(0.0))).alias("distrust"),
+                F.coalesce("mt", F.lit(0.0)).alias("mt"), F.coalesce("md", F.lit(0.0)).alias("md"))
+        rank = cut_lineage(rank)
+        most = rank.agg(F.sum(F.col("mt") + F.col("md"))).first()[0]
+    return rank.drop("mt", "md")
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], *, damping: float = 0.85, tolerance: float = 1e-6, limit: float = 0.5,
           id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, host, path, rule, verdict, and the host's trust and distrust a page."""
     spark = pages.sparkSession
@@ -103,7 +107,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, damping: float = 0.85, rou
     seeds.write.parquet(f"{folder}/seeds")
     host_edges(rows).write.parquet(f"{folder}/edges")
     seeds, edges = spark.read.parquet(f"{folder}/seeds"), spark.read.parquet(f"{folder}/edges")
-    rank = propagate(seeds, edges, damping, rounds)
+    rank = propagate(seeds, edges, damping, tolerance)
     verdicts = seeds.join(rank, "host").select(
         "host", (F.col("trust") / F.col("pages")).alias("trust"), (F.col("distrust") / F.col("pages")).alias("distrust"))
     judged = rows.select("id", "host", "path").join(verdicts, "host", "left").withColumn("_f", found)

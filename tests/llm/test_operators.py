@@ -341,3 +341,16 @@ def test_language_stage_drops_other_languages(spark, sf):
              "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"]
     odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(letters + other)], "doc_id long, text string")
     assert p.identify_language(spark, d.unionByName(odd, allowMissingColumns=True), sf).where("doc_id < 0").count() == 0
+
+
+def test_rank_reaches_the_end_of_a_chain(spark):
+    n = 14
+    hosts = spark.createDataFrame([(f"h{i}", 1, 0, 1000 if i == 0 else 0) for i in range(n)], "host string, pages long, good long, bad long")
+    edges = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(n - 1)] + [("h0", "h1", 1)], "src string, dst string, n long")
+    got = {r.host: r.distrust for r in url_filter.propagate(hosts, edges).collect()}
+    back = np.zeros((n, n))                                 # distrust flows from a link's end to its start
+    for a, b in [(i + 1, i) for i in range(n - 1)] + [(0, 1)]:
+        back[a, b] = 1
+    back /= back.sum(axis=0).clip(1)
+    want = np.linalg.solve(np.eye(n) - 0.85 * back, np.array([1000.0] + [0.0] * (n - 1)))
+    assert want[11:].min() > 1 and all(abs(got[f"h{i}"] - want[i]) < 1e-6 for i in range(n))
