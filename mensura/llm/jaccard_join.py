@@ -9,7 +9,8 @@ Allocation by cost. Each segment may miss one difference (a key of its content),
 (no key) or two (its content and every content with one element deleted). An empty
 segment's key would be shared by all sets that are empty there, the costliest list of all, so it
 gets no key, and its partner segment gets the one-deletion neighbourhood in turn: the
-bound still holds. Only where both partners are empty, the pair has a key of its own.
+bound still holds. Where both partners are empty, the pair has the keys of one element deleted to
+nothing, which all sets have that are empty in one partner and hold one element in the other.
 
 Work per key stays linear in the group: equal sets are one class from the start, and
 only the component of a document is asked for. First each class is verified against
@@ -107,6 +108,23 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def segment_keys(value: np.ndarray, segment: np.ndarray, m: int, seed: np.uint64) -> list[np.ndarray]:
+    """Keys of one set in one band, of whose hashes each lies in a segment of m."""
+    order = np.argsort(segment, kind="stable")
+    size = np.bincount(segment, minlength=m)
+    total = np.zeros(m, np.uint64)
+    np.add.at(total, segment, value)
+    name = mix(np.arange(m, dtype=np.uint64) * _ODD + seed)
+    out = [mix(total + name)[size > 0]]
+    ends = np.cumsum(size)
+    for s in np.flatnonzero(size == 0).tolist():
+        partner = s ^ 1
+        members = value[order[ends[partner] - size[partner]:ends[partner]]]
+        extra = np.append(total[partner] - members, total[partner])      # an empty partner: as one element less of one
+        out.append(mix(extra + name[partner] + np.uint64(13 + s)))
+    return out
+
+
 def keys_of(sets: np.ndarray, bands: Bands) -> np.ndarray:
     """Join keys of one sorted set in all bands where it may find a partner."""
     out = []
@@ -118,21 +136,7 @@ def keys_of(sets: np.ndarray, bands: Bands) -> np.ndarray:
         seed = np.uint64((band * 0x2545F4914F6CDD1D + 1) & (1 << 64) - 1)
         value = mix(sets ^ mix(np.array([seed]))[0])
         segment = ((value >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        size = np.bincount(segment, minlength=m)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, segment, value)
-        name = mix(np.arange(m, dtype=np.uint64) * _ODD + seed)
-        out.append(mix(total + name)[size > 0])
-        ends = np.cumsum(size)
-        for s in np.flatnonzero(size == 0).tolist():
-            partner = s ^ 1
-            if not size[partner]:
-                out.append(mix(name[[s]] + np.uint64(7)))
-                continue
-            members = value[order[ends[partner] - size[partner]:ends[partner]]]
-            extra = np.append(total[partner] - members, total[partner])
-            out.append(mix(extra + name[partner] + np.uint64(13 + s)))
+        out += segment_keys(value, segment, m, seed)
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 

@@ -354,3 +354,19 @@ def test_rank_reaches_the_end_of_a_chain(spark):
     back /= back.sum(axis=0).clip(1)
     want = np.linalg.solve(np.eye(n) - 0.85 * back, np.array([1000.0] + [0.0] * (n - 1)))
     assert want[11:].min() > 1 and all(abs(got[f"h{i}"] - want[i]) < 1e-6 for i in range(n))
+
+
+def test_linked_sets_share_a_key_in_all_segmentings():
+    rng = np.random.default_rng(3)
+    value = rng.integers(1, 1 << 63, 64).astype(np.uint64)
+    for m, cases in ((2, itertools.product(itertools.product(range(3), repeat=2), itertools.product(range(4), repeat=1))),
+                     (4, itertools.product(itertools.product(range(3), repeat=4), itertools.combinations_with_replacement(range(8), 3)))):
+        for common, changes in cases:                       # a difference lies in a segment and in one of the two sets
+            both = np.repeat(np.arange(m), common)
+            keys = []
+            for side in (0, 1):
+                mine = [i for i, c in enumerate(changes) if c % 2 == side]
+                segment = np.append(both, [changes[i] // 2 for i in mine]).astype(np.int64)
+                own = np.append(value[:len(both)], value[[40 + i for i in mine]])
+                keys.append(set(np.concatenate(jaccard_join.segment_keys(own, segment, m, np.uint64(5))).tolist()))
+            assert keys[0] & keys[1], (common, changes)
