@@ -33,22 +33,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.predict(docs, model).where("_lang_pred <> 'und'").where(F.col("_lang_known") >= FAMILIAR).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, ``_row_key``: a 64-bit digest of id and text, the same for equal rows only
+    (but for a chance of n * n / 2**65 that any two of n rows clash)."""
+    return docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each component of five-word Jaccard 0.8 or more.
+    """Keep the document of the smallest id (null: last) of each component of five-word Jaccard 0.8 or more.
 
-    Of repeated rows with one id one stays. Rows with a null id can't be compared and stay.
+    Of rows with equal id and text one stays. Different texts that share an id, also a null one, are
+    documents of their own.
     """
-    found = jaccard_join.components(docs, percent=80, words=5)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
-        docs.where("doc_id is null"))
+    rows = _keyed(docs)
+    found = jaccard_join.components(rows, percent=80, words=5, id_col="_row_key").select("_row_key", "component_id").distinct()
+    named = found.join(rows.select("_row_key", "doc_id").distinct(), "_row_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_key")).alias("m"))
+    return rows.join(first.select("m._row_key"), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of a benchmark item. Rows with a null id go together."""
+    """Drop documents that hold a passage of a benchmark item. Each row is judged by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    rows = _keyed(docs)
+    found = decontaminate.overlaps(rows, benchmark, id_col="_row_key").select("_row_key").distinct()
+    return rows.join(found, "_row_key", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

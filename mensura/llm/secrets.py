@@ -153,12 +153,12 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "d
 def redact(docs: DataFrame, mark: str = "<SECRET>", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every string judged a secret replaced by ``mark``; all columns, all rows.
 
-    Rows that share an id are redacted by the strings found in any of them; a row with a null id as
-    well, as null ids are one id here.
+    Each row is redacted by the strings found in itself: rows are told apart by a digest of id and text.
     """
-    bad = scan(docs, id_col=id_col, text_col=text_col, **options).where("is_secret").groupBy(
-        F.col(id_col).alias("_secret_id")).agg(F.collect_set("candidate").alias("_secret_found"))
-    both = docs.join(bad, F.col(id_col).eqNullSafe(F.col("_secret_id")), "left")
+    rows = docs.withColumn("_secret_row", F.xxhash64(id_col, text_col))
+    bad = scan(rows, id_col="_secret_row", text_col=text_col, **options).where("is_secret").groupBy("_secret_row").agg(
+        F.collect_set("candidate").alias("_secret_found"))
+    both = rows.join(bad, "_secret_row", "left")
     parts, runs = F.split(text_col, CANDIDATE, -1), F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))
     hidden = F.transform(runs, lambda c: F.when(F.array_contains("_secret_found", c), F.lit(mark)).otherwise(c))
     text = F.array_join(F.zip_with(parts, F.array_append(hidden, F.lit("")), lambda p, c: F.concat(p, c)), "")
