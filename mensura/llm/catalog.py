@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontaminate, jaccard_join, language, neighbours, quality, quotes, secrets, token_files, url_filter
+from . import bpe, decontaminate, jaccard_join, language, merkle, neighbours, quality, quotes, secrets, token_files, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,15 @@ def op10_decontaminate(spark, sf):
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op11_merkle_manifest(spark, sf):
+    """Every fifth document (by crc32 of its id) is checked with its text's A-Z lower-cased."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.manifest(table(spark, sf, "documents"), {"text": F.when(chosen, lower)})
+
+
+ORACLES["op11_merkle_manifest"] = merkle.oracle()
 ORACLES["op3_link_propagation"] = url_filter.oracle(URL_RULES)
 
 
