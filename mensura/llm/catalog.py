@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import align, bpe, decontaminate, jaccard_join, language, merkle, neighbours, quality, quotes, secrets, token_files, url_filter
+from . import align, bpe, decontaminate, html_crf, jaccard_join, language, merkle, neighbours, quality, quotes, secrets, token_files, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,12 @@ def op11_merkle_manifest(spark, sf):
     return merkle.manifest(table(spark, sf, "documents"), {"text": F.when(chosen, lower)})
 
 
+@query
+def op12_html_crf(spark, sf):
+    pages = table(spark, sf, "pages")
+    return html_crf.extract(pages, html_crf.learn(pages))
+
+
 @query
 def op13_align(spark, sf):
     return align.score(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
