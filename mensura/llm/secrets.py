@@ -36,11 +36,16 @@ from ..session import scratch_path
 #: Names of secrets, without regard to case.
 NAMES = r"token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credential|auth(?:orization)?|bearer"
 _VALUE = r"[^\s\"'`<>]"
+_SIGN = r"(?::=|=>|[=:])\s{0,2}[\"'`]?"
+_END = r"(?<![,;.)\]}])"
+#: What may be a secret. A value is found from the sign before it, which is rare, and only there is the name looked at; the
+#: sign belongs to the match and is cut off again (``_LEAD``). All else starts at the string itself.
 CANDIDATE = (
     r"eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]*)?"
-    rf"|(?<=(?i:{NAMES})[\"'`]?\s{{0,2}}(?:[=:]|:=|=>)\s{{0,2}}[\"'`]?){_VALUE}{{4,}}(?<![,;.)\]}}])"
-    rf"|(?<=[A-Za-z0-9_\"'`]\s{{0,2}}(?:=|:=)\s{{0,2}}[\"'`]?)(?![=>\s]){_VALUE}{{8,}}(?<![,;.)\]}}])"
-    r"|[A-Za-z0-9+/_\-]{16,}={0,2}")
+    rf"|{_SIGN}(?<=(?i:{NAMES})[\"'`]?\s{{0,2}}{_SIGN}){_VALUE}{{4,}}{_END}"
+    rf"|(?::=|=)\s{{0,2}}[\"'`]?(?<=[A-Za-z0-9_\"'`]\s{{0,2}}(?:=|:=)\s{{0,2}}[\"'`]?)(?![=>\s]){_VALUE}{{8,}}{_END}"
+    r"|[A-Za-z0-9+/_\-]{16,}(?:==?(?=[,;.)\]}\"'`<>]|$)|==(?=\s))?")
+_LEAD = f"^{_SIGN}"
 #: Published forms of providers' keys.
 KNOWN = (r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
          r"|[prs]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}"
@@ -68,7 +73,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each = cut.select("id", F.posexplode(F.zip_with(
         F.arrays_zip(F.col("_c").alias("c"), F.slice("_p", 1, F.size("_c")).alias("l")), F.slice("_p", 2, F.size("_c")),
         lambda x, r: F.struct(x["c"].alias("c"), F.right(x["l"], F.lit(LEFT)).alias("l"), F.left(r, F.lit(RIGHT)).alias("r")))).alias("nth", "x"))
-    return each.select("id", "nth", F.col("x.c").alias("candidate"), F.col("x.l").alias("left"), F.col("x.r").alias("right"))
+    lead = F.regexp_extract("x.c", _LEAD, 0)
+    return each.select("id", "nth", F.regexp_replace("x.c", _LEAD, "").alias("candidate"),
+                       F.right(F.concat("x.l", lead), F.lit(LEFT)).alias("left"), F.col("x.r").alias("right"))
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -160,7 +167,8 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", id_col: str = "doc_id", text
         F.collect_set("candidate").alias("_secret_found"))
     both = rows.join(bad, "_secret_row", "left")
     parts, runs = F.split(text_col, CANDIDATE, -1), F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))
-    hidden = F.transform(runs, lambda c: F.when(F.array_contains("_secret_found", c), F.lit(mark)).otherwise(c))
+    hidden = F.transform(runs, lambda c: F.when(
+        F.array_contains("_secret_found", F.regexp_replace(c, _LEAD, "")), F.concat(F.regexp_extract(c, _LEAD, 0), F.lit(mark))).otherwise(c))
     text = F.array_join(F.zip_with(parts, F.array_append(hidden, F.lit("")), lambda p, c: F.concat(p, c)), "")
     clean = F.when(F.col("_secret_found").isNull(), F.col(text_col)).otherwise(text)
     return both.withColumn(text_col, clean).select(*docs.columns)
