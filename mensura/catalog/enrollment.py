@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import distances as dist
-from ..operators import enroll as E, master_sync, pairs
+from ..operators import enroll as E, master_sync, pairs, ranks
 from .base import query
 from .identify import (FLOOR_SQL, NOM, bhatta_sql, dist_sql, euclid_sql, l1_sql, scal_long_sql, shot_stats,
                        stats_ctes, vec_long_sql)
@@ -174,6 +174,15 @@ def v15b(v, spark, sf):
     return out.withColumns({c: R(c, 5) for c in ("diff_mean", "diff_min", "diff_max")})
 
 
+@query("T04_sync_worst_first", f"""select article_number, n_shots, nominal_old, nominal_new, round(nominal_new - nominal_old, 4) as diff_mm, row_number() over (order by abs(nominal_new - nominal_old) desc, article_number) as place
+from (select article_number, n_shots, round(nom, 2) as nominal_old, round(mean, 2) as nominal_new from {_SY} t where skipped is null)""")
+def t04_sync(v, spark, sf):
+    """Sync rows by absolute difference, with their place in that order."""
+    rows = master_sync.worst_first(_proposal(v, spark, sf)).select("article_number", "n_shots", "nominal_old", "nominal_new", "diff_mm")
+    placed = ranks.global_position(rows, [], [F.abs("diff_mm").desc(), F.col("article_number")], "place")
+    return placed.withColumns({"diff_mm": R("diff_mm", 4), "place": F.col("place") + 1})
+
+
 def _rms(a, b):
     return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) / len({a}))"
 
@@ -209,7 +218,7 @@ def v16(v, spark, sf):
 @query("W14_gap_candidates", f"""with {_PROF}, l as (select d_sigma, row_number() over (order by d_sigma, a, b) as below, lead(d_sigma) over (order by d_sigma, a, b) as upper_, count(*) over () as n from pr_ qualify below <= 25)
 select below, round(d_sigma, 5) as "lower", round(upper_, 5) as "upper", round(upper_ / d_sigma, 5) as factor, round(below / n, 5) as share from l where below < least(25, n) and d_sigma > 0 order by upper_ / d_sigma desc, below limit 3""")
 def w14(v, spark, sf):
-    out = pairs.gap_candidates(pairs.all_pairs(_profiles(v)), 25, 3)
+    out = pairs.gap_candidates(_profiles(v), 25, 3)
     return out.withColumns({c: R(c, 5) for c in ("lower", "upper", "factor", "share")})
 
 

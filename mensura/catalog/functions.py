@@ -493,11 +493,10 @@ def u01(v, spark, sf):
   from (select article_number, hu_moments, unnest(range(1, 8)) as pos from fx_shots) group by 1, 2)
 select article_number, list(round(m, 9) order by pos) as mean, list(round(r, 9) order by pos) as rms from e group by 1""")
 def u02(v, spark, sf):
-    long = v("fx_shots").select("article_number", F.posexplode("hu_moments"))
-    per = long.groupBy("article_number", "pos").agg(F.avg("col").alias("m"), enroll.rms(F.col("col")).alias("r"))
-    arr = F.sort_array(F.collect_list(F.struct("pos", F.round("m", 9).alias("m"), F.round("r", 9).alias("r"))))
-    return per.groupBy("article_number").agg(arr.alias("a")).select(
-        "article_number", F.col("a.m").alias("mean"), F.col("a.r").alias("rms"))
+    hu, rounded = F.col("hu_moments"), lambda c: F.transform(c, lambda x: F.round(x, 9))
+    n = enroll.vector_lengths(v("fx_shots"), ["hu_moments"])["hu_moments"]
+    g = v("fx_shots").groupBy("article_number").agg(enroll.mean_of(hu, n).alias("mean"), enroll.rms_of(hu, n).alias("rms"))
+    return g.select("article_number", rounded(F.col("mean")).alias("mean"), rounded(F.col("rms")).alias("rms"))
 
 
 @query("U03_feature_rows", f"""with {CAT}, {stats_ctes('fx_emb')}, {rows_ctes('fx_emb')}

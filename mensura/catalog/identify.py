@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import distances as dist
+from ..operators import analysis as A
 from ..operators import enroll, joins, loo, ranks, scoring, whatif
 from ..params import Params
 from .base import query
@@ -174,17 +175,61 @@ select m.report_id, m.label, {DECIDE.format(gate='3.5e0', mm='2e0')} as decision
   coalesce(n_candidates, 0) as n_candidates, coalesce(max_z_winner <= 3.5e0, false) as gate_passed
 from fx_measured m left join (select rep.*, top1 in (select article_number from ns) as refs from rep) r using (report_id)""")
 def v01(v, spark, sf):
-    out = scoring.identify(v("fx_measured"), v("fx_articles"), shot_stats(v, spark, sf), P, nested=False,
-                           keep=["label"])
+    stats = shot_stats(v, spark, sf)
+    out = scoring.identify(v("fx_measured"), v("fx_articles"), stats, P, nested=False, keep=["label"],
+                           lengths=scoring.vector_lengths(stats))
     return out.select("report_id", "label", "decision", "top1", "llr_margin", "max_z_winner",
                       "n_candidates", "gate_passed")
 
 
-@query("V01_identify_nested")
+NAMED = "(select article_number, cast(substr(article_number, 5) as bigint) as art from fx_articles)"
+REASON = "case why when 1 then 'diameter' when 2 then 'area' end"
+#: Measurements of which some lie 4 or 12 mm beyond the tolerance of their own article.
+OFF = """(select report_id, label, area_mm2, circle_diameter_mm + case when report_id % 10 = 0 then 10e0 when report_id % 10 = 1 then 18e0
+  else 0e0 end as circle_diameter_mm from fx_measured)"""
+ALL_PAIRS = f"""select *, case when geo_err > 6e0 then 1 when not ({{PASSING}}) then 2 end as why, round(geo_err - 6e0, 2) as over_mm from (
+  select m.report_id, m.art, a.art as cand, a.diameter_mm as nom_d, abs({{corr}} - a.nominal_mm) as geo_err,
+  abs(m.area_mm2 * {{f}} * {{f}} - pi() * power(a.nominal_mm / 2e0, 2)) / (pi() * power(a.nominal_mm / 2e0, 2)) as area_rel
+  from (select *, cast(substr(label, 5) as bigint) as art from {OFF} o) m cross join (select *, cast(substr(article_number, 5) as bigint) as art from cat) a where a.nominal_mm is not null)""".format(
+    PASSING=PASSING, corr="m.circle_diameter_mm * (300e0 - least(a.h, 240e0)) / 300e0", f="((300e0 - least(a.h, 240e0)) / 300e0)")
+
+
+_SHIFT = "case when report_id % 10 = 0 then 10e0 when report_id % 10 = 1 then 18e0 else 0e0 end"
+OFF_WIDE = f"(select * replace (circle_diameter_mm + {_SHIFT} as circle_diameter_mm) from fx_measured)"
+
+
+def off_measured(v):
+    m, r = v("fx_measured").select("report_id", "label", "area_mm2", "circle_diameter_mm"), F.col("report_id") % 10
+    return m.withColumn("circle_diameter_mm", F.col("circle_diameter_mm") + F.when(r == 0, 10.0).when(r == 1, 18.0).otherwise(0.0))
+
+
+@query("V01_identify_nested", f"""{V01_BODY}, ap as ({ALL_PAIRS.replace(OFF, 'fx_measured')}),
+kn as (select report_id, count(why) as n_kills, count(*) filter (where why = 2) as n_kills_area, count(*) filter (where why = 1 and over_mm > 6e0) as n_kills_far from ap group by 1),
+kp as (select report_id, string_agg(article_number || ' ' || {REASON}, ',' order by article_number) as prefiltered
+  from (select * from ap where why = 2 or (why = 1 and (over_mm <= 6e0 or cand = ap.art))) k join {NAMED} a on a.art = k.cand group by 1),
+kl as (select * from kn left join kp using (report_id)),
+bf as (select report_id, cand, string_agg(feature, ',' order by feature) as features, round(sum(wt), 4) as weighted from fs group by 1, 2),
+cl as (select k.report_id, string_agg(concat_ws(' ', k.cand, features), ',' order by rank_) as candidates,
+    round(max(case when rank_ = 1 then weighted end), 4) as top1_weighted, max(case when rank_ = 1 then coalesce(n_shots, 0) end) as top1_shots,
+    round(max(case when rank_ = 1 then round(p.geo_err, 2) end), 2) as top1_geometry_error_mm
+  from rk k join bf using (report_id, cand) join (select pairs.report_id, pairs.cand, geo_err, n_shots from pairs left join ns on ns.article_number = pairs.cand) p using (report_id, cand)
+  group by 1)
+select m.report_id, m.label, {DECIDE.format(gate='3.5e0', mm='2e0')} as decision, top1, llr_margin, candidates, top1_weighted, top1_shots, top1_geometry_error_mm,
+  kl.prefiltered, n_kills, n_kills_area, n_kills_far
+from fx_measured m left join (select rep.*, top1 in (select article_number from ns) as refs from rep) r using (report_id)
+left join cl using (report_id) join kl using (report_id)""")
 def v01n(v, spark, sf):
-    """Full report rows with candidates, feature scores, weights, message and near kills."""
-    return scoring.identify(v("fx_measured"), v("fx_articles"), shot_stats(v, spark, sf), P,
-                            keep=["label"], kill_reach_mm=3.0)
+    """Nested report rows (candidates, feature scores, weights, message, kills), shown as one line of text and numbers each."""
+    out = scoring.identify(v("fx_measured"), v("fx_articles"), shot_stats(v, spark, sf), P,
+                           keep=["label"], kills=True)
+    names = F.transform("candidates", lambda c: F.concat_ws(" ", c["article_number"], F.array_join(F.array_sort(c["features"]["feature"]), ",")))
+    kills = F.transform("prefiltered", lambda k: F.concat_ws(" ", k["article_number"], k["reason"]))
+    best = F.get("candidates", 0)
+    weighted = F.aggregate(best["features"]["weighted"], F.lit(0.0), lambda a, x: a + x)
+    return out.select("report_id", "label", "decision", "top1", "llr_margin", F.array_join(names, ",").alias("candidates"),
+                      F.round(weighted, 4).alias("top1_weighted"), best["n_shots"].alias("top1_shots"),
+                      F.round(best["geometry_error_mm"], 2).alias("top1_geometry_error_mm"),
+                      F.nullif(F.array_join(kills, ","), F.lit("")).alias("prefiltered"), "n_kills", "n_kills_area", "n_kills_far")
 
 
 # --- joins ------------------------------------------------------------------
@@ -203,14 +248,33 @@ def j02(v, spark, sf):
         "report_id", "article_number", F.round("area_rel", 5).alias("area_rel"), "area_ok")
 
 
-@query("J03_prefilter_kills", f"""with {CAT}, p as ({pairs_sql('fx_measured', tol='9e0')})
-select report_id, cand as article_number, case when geo_err > 6e0 then 'diameter' else 'area' end as reason, round(geo_err, 2) as geometry_error_mm,
-  round(geo_err - 6e0, 2) as over_tolerance_mm, case when geo_err <= 6e0 then round(area_rel * 100e0, 1) end as area_error_pct
-from p where geo_err > 6e0 or not ({PASSING})""")
+@query("J03_prefilter_kills", f"""with {CAT}, ap as ({ALL_PAIRS})
+select report_id, article_number, {REASON} as reason, round(geo_err, 2) as geometry_error_mm, over_mm as over_tolerance_mm,
+  case when why = 2 then round(area_rel * 100e0, 1) end as area_error_pct, cand = own as true_article
+from (select *, ap.art as own from ap where why = 2 or (why = 1 and (over_mm <= 6e0 or cand = ap.art))) k join {NAMED} a on a.art = k.cand""")
 def j03(v, spark, sf):
-    m = v("fx_measured").select("report_id", "circle_diameter_mm", "area_mm2")
-    return joins.prefilter_kills(m, v("fx_articles"), 6.0, 12.0, reach_mm=3.0).select(
-        "report_id", "article_number", "reason", "geometry_error_mm", "over_tolerance_mm", "area_error_pct")
+    kills = joins.prefilter_kills(off_measured(v), v("fx_articles"), 6.0, 12.0, label="label")
+    return kills.select("report_id", "article_number", "reason", "geometry_error_mm", "over_tolerance_mm", "area_error_pct",
+                        (F.col("article_number") == F.col("label")).alias("true_article"))
+
+
+@query("J03_kill_counts", f"""with {CAT}, ap as ({ALL_PAIRS})
+select report_id, count(why) as n_kills, count(*) filter (where why = 1) as n_kills_diameter, count(*) filter (where why = 2) as n_kills_area,
+  count(*) filter (where why = 1 and over_mm > 6e0) as n_kills_far from ap group by 1""")
+def j03b(v, spark, sf):
+    """All kills of every report, counted without listing the far ones."""
+    return joins.kill_summary(off_measured(v), v("fx_articles"), 6.0, 12.0).drop("prefiltered")
+
+
+@query("A29_identified_funnel", f"""{V01_BODY.replace("from fx_measured m join", "from " + OFF_WIDE + " m join")}, ap as (select * from ({ALL_PAIRS}) where cand = art),
+c as (select m.report_id, m.label, case when rank_ = 1 then 'rank_1' when rank_ is not null then 'in_set' when why = 2 then 'kill_area'
+    when why = 1 and over_mm <= 6e0 then 'kill_near' when why = 1 then 'kill_far' else 'not_in_set' end as cat
+  from {OFF} m left join (select report_id, cand, rank_ from rk) k on k.report_id = m.report_id and k.cand = m.label left join ap on ap.report_id = m.report_id)
+select label, """ + ", ".join(f"count_if(cat = '{c}') as {c}" for c in A.FUNNEL) + " from c group by 1")
+def a29b(v, spark, sf):
+    """The funnel of freshly identified reports, where own articles are killed 4 and 12 mm beyond the tolerance."""
+    seen = v("fx_measured").drop("circle_diameter_mm").join(off_measured(v).select("report_id", "circle_diameter_mm"), "report_id")
+    return A.prefilter_funnel(scoring.identify(seen, v("fx_articles"), shot_stats(v, spark, sf), P, keep=["label"], kills=True))
 
 
 @query("J04_candidate_stats_join", f"""with {CAT}, p as (select * from ({pairs_sql('fx_measured')}) where {PASSING}), n as (select article_number, count(*) as n_shots from fx_emb group by 1)

@@ -66,6 +66,32 @@ def g06(v, spark, sf):
     return h.select("shape_id", F.round(F.get("hu", 0), 5).alias("h1"), F.round(F.get("hu", 1), 5).alias("h2"))
 
 
+_CM = {"20": "m20 - cx * m10", "02": "m02 - cy * m01", "11": "m11 - cx * m01", "30": "m30 - 3 * cx * m20 + 2 * cx * cx * m10",
+       "03": "m03 - 3 * cy * m02 + 2 * cy * cy * m01", "21": "m21 - 2 * cx * m11 - cy * m20 + 2 * cx * cx * m01",
+       "12": "m12 - 2 * cy * m11 - cx * m02 + 2 * cy * cy * m10"}
+_RAW = ("00", "10", "01", "20", "02", "11", "30", "03", "21", "12")
+_ORDER = {k: "2e0" if k in ("20", "02", "11") else "2.5e0" for k in _CM}
+
+
+@query("G06_all_hu_invariants", f"""with {EDGE}, c as (select shape_id, avg(x) as cx, avg(y) as cy from fx_contour group by 1), e as (select shape_id, x - cx as x, y - cy as y, x1 - cx as u, y1 - cy as v from ed join c using (shape_id)),
+m0 as (select shape_id, sum(a / 2) as m00, sum(a * (x + u) / 6) as m10, sum(a * (y + v) / 6) as m01, sum(a * (x * x + x * u + u * u) / 12) as m20, sum(a * (y * y + y * v + v * v) / 12) as m02,
+  sum(a * (x * (2 * y + v) + u * (y + 2 * v)) / 24) as m11, sum(a * (x * x * x + x * x * u + x * u * u + u * u * u) / 20) as m30, sum(a * (y * y * y + y * y * v + y * v * v + v * v * v) / 20) as m03,
+  sum(a * (x * x * (3 * y + v) + 2 * x * u * (y + v) + u * u * (y + 3 * v)) / 60) as m21, sum(a * (y * y * (3 * x + u) + 2 * y * v * (x + u) + v * v * (x + 3 * u)) / 60) as m12
+  from (select *, x * v - u * y as a from e) group by 1),
+m as (select shape_id, {', '.join(f'm{k} * sign(m00) as m{k}' for k in _RAW)}, m10 / m00 as cx, m01 / m00 as cy from m0),
+n as (select shape_id, {', '.join(f'({body}) / power(m00, {_ORDER[k]}) as n{k}' for k, body in _CM.items())} from m),
+h as (select shape_id, n20 + n02 as h1, power(n20 - n02, 2) + 4 * n11 * n11 as h2, r * r + s * s as h3, p * p + q * q as h4, r * p * (p * p - 3 * q * q) + s * q * (3 * p * p - q * q) as h5,
+  (n20 - n02) * (p * p - q * q) + 4 * n11 * p * q as h6, s * p * (p * p - 3 * q * q) - r * q * (3 * p * p - q * q) as h7
+  from (select *, n30 + n12 as p, n21 + n03 as q, n30 - 3 * n12 as r, 3 * n21 - n03 as s from n))
+select shape_id, {', '.join(f'round(-sign(h{i}) * log10(abs(h{i})), 4) as h{i}' for i in range(1, 7))}, abs(h7) < 1e-12 as h7_vanishes from h""")
+def g06_all(v, spark, sf):
+    """All seven invariants; the outlines are mirror images of themselves, so the seventh is 0 but for rounding."""
+    h = G.hu_moments_log(v("fx_contour"))
+    seventh = F.abs(F.get("hu", 6))
+    return h.select("shape_id", *[F.round(F.get("hu", i), 4).alias(f"h{i + 1}") for i in range(6)],
+                    ((seventh == 0) | (seventh > 12)).alias("h7_vanishes"))
+
+
 PROF = f"""{AXES}, ln as (select shape_id, min(t) as t0, max(t) - min(t) as len_ from pj group by 1), nb as (select *, cast(floor(len_) as bigint) + 1 as nb from ln),
 rb as (select shape_id, cast(least(floor(t - t0), floor(len_)) as bigint) as bin, max(n) - min(n) as w from pj join ln using (shape_id) group by 1, 2 having count(*) >= 2),
 al as (select shape_id, len_, nb, unnest(range(0, nb)) as bin from nb where nb >= 5),

@@ -83,22 +83,26 @@ def s07(v, spark, sf):
 
 
 def _json_folder(v, spark):
-    """Reports as JSON lines files, plus one foreign and one broken document."""
+    """Reports as JSON lines files, plus a foreign and a broken document in lines of their own."""
     path = scratch_path(spark, "reports-json")
-    v("fx_reports").select("decision", "candidates", "llr_margin", "max_z_winner", "gate_passed", "timestamp", "label", "verdict", "prefiltered", "image_path").write.mode("append").json(path)
-    bad = spark.range(1).select(F.lit('{"foreign": 1}').alias("value")).union(spark.range(1).select(F.lit('{"decision": ').alias("value")))
-    bad.coalesce(1).write.mode("append").format("text").save(path + "-bad")
+    fields = ("decision", "candidates", "llr_margin", "max_z_winner", "gate_passed", "timestamp", "label", "verdict", "prefiltered", "image_path")
+    reports = v("fx_reports").select(F.to_json(F.struct(*fields)).alias("value"))
+    bad = spark.range(1).select(F.explode(F.array(F.lit('{"foreign": 1}'), F.lit('{"decision": '))).alias("value"))
+    reports.unionByName(bad).write.text(path)
     return path
 
 
 @query("S08_load_reports", "select decision, count(*) as n, count(label) as n_labels from fx_rep group by 1")
 def s08(v, spark, sf):
-    from pyspark.sql import types as T
-    path = _json_folder(v, spark)
-    schema = T.StructType(schemas.REPORT.fields + [T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json([path, path + "-bad"])
-    ok = raw.where("_corrupt_record is null and decision is not null")
-    return SR._defaults(ok.drop("_corrupt_record")).groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labels"))
+    """Report folder in lines, with broken and foreign documents among them."""
+    out = SR.load_reports(spark, _json_folder(v, spark), layout="lines")
+    return out.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labels"))
+
+
+@query("S08_newest_reports", "select stem, decision, label from (select stem, decision, label, row_number() over (order by stem desc) as n from fx_rep) where n <= 200")
+def s08_newest(v, spark, sf):
+    """The newest reports by name, limited after sorting."""
+    return SR.load_reports(spark, _json_folder(v, spark), sort_by="name", limit=200, layout="lines").select("stem", "decision", "label")
 
 
 @query("S09_schema_evolution_defaults", "select report_id, 0e0 as solidity, 0::bigint as n_zone, 0::bigint as n_kills from fx_rep")
@@ -157,14 +161,16 @@ def s15(v, spark, sf):
     return SR.current_reports(r, spark.read.parquet(root)).select("report_id")
 
 
-@query("S16_content_hash_manifest")
+@query("S16_content_hash_manifest", """select folder, sha256(string_agg(line, chr(10) order by doc_id) || chr(10)) as sha, cast(sum(strlen(line) + 1) as bigint) as length
+from (select doc_id, doc_id // 500 as folder, doc_id || ' ' || sha256(text) as line from documents where text is not null) group by 1""")
 def s16(v, spark, sf):
-    """Files written from the documents table, hashed by content."""
+    """Files written from the documents table, one for 500 documents, hashed by content."""
     path = scratch_path(spark, "files")
-    docs = table(spark, sf, "documents")
-    docs.select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(path)
+    docs = table(spark, sf, "documents").where("text is not null")
+    lines = docs.select("doc_id", F.floor(F.col("doc_id") / 500).alias("folder"), F.concat_ws(" ", "doc_id", F.sha2("text", 256)).alias("value"))
+    lines.repartition("folder").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder").text(path)
     out = runs.content_hash_manifest(spark, path, "*.txt")
-    return out.agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("sha").alias("n_hashes"), F.sum("length").alias("n_bytes"))
+    return out.select(F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("folder"), "sha", "length")
 
 
 @query("S17_load_accepted_deltas", """select sha8, case when image_id % 6 = 0 then 'b.json' else 'a.json' end as source, case when image_id % 6 = 0 then 'fixb' else 'fixa' end as fix_commit, decision from fx_replay where image_id % 2 = 0""")
@@ -175,7 +181,9 @@ def s17(v, spark, sf):
     one = F.concat(F.lit('{"version":1,"fix_commit":"'), F.col("fix"), F.lit('","images":{"'), F.col("sha8"), F.lit('":'), entry, F.lit("}}"))
     a = r.where("image_id % 2 = 0").withColumns({"file_name": F.lit("a.json"), "fix": F.lit("fixa")})
     b = r.where("image_id % 6 = 0").withColumns({"file_name": F.lit("b.json"), "fix": F.lit("fixb")})
-    out = runs.parse_deltas(a.unionByName(b).select("file_name", one.alias("value")))
+    path = scratch_path(spark, "deltas")
+    a.unionByName(b).select(F.col("file_name").alias("source"), one.alias("value")).write.partitionBy("source").text(path)
+    out = runs.load_accepted_deltas(spark, path, bundled=True)
     return out.select("sha8", "source", "fix_commit", "expected.decision")
 
 
@@ -266,6 +274,21 @@ def t06(v, spark, sf):
     return out.select("session", "article_number", "ts", "n_shots", F.round("age_s", 2).alias("age_s"))
 
 
+@query("T06_resumable_sessions", f"""select h.session, h.ts, n_shots, state, session % 3 = 0 and session % 5 <> 1 as fingerprint_ok from {_HEADS} h join (select session, count(distinct slot) as n_shots from {_JL} t group by 1) using (session) join (
+  select session, case when sum(case when session % 4 >= 1 and (session % 4 > 1 or slot < 4) then 1 else 0 end) = 0 then 'offen'
+  when sum(case when session % 4 < 2 then 1 else 0 end) = 0 and sum(case when session % 4 = 2 or slot < 3 then 1 else 0 end) = count(*) then 'gebucht_aufraeumen_offen' else 'umzug_unterbrochen' end as state
+  from (select session, slot from fx_journal group by session, slot) t group by 1) using (session) where h.article_number = (select min(article_number) from {_HEADS} x)""")
+def t06_full(v, spark, sf):
+    """Open sessions of one article with their state and whether the present fingerprint is theirs."""
+    heads = v(f"select * from {_HEADS} t")
+    first = heads.agg(F.min("article_number")).first()[0]
+    heads = heads.withColumns({"calibration_sha256": F.when(F.col("session") % 3 == 0, "cal").otherwise("old"),
+                               "background_sha256": F.when(F.col("session") % 5 != 1, "bg"), "features_cfg_sha256": F.lit("cfg")})
+    out = runs.open_sessions(runs.latest_per_slot(journal(v)), heads, F.lit("2024-02-01"), states=q09(v, spark, sf), article=first,
+                             fingerprint={"calibration_sha256": "cal", "background_sha256": "bg", "features_cfg_sha256": "cfg"})
+    return out.select("session", "ts", "n_shots", "state", "fingerprint_ok")
+
+
 _REQ = f"(select user_id as request, {art('user_id % 55')} as article_number, case when user_id % 3 = 0 then user_id end as ts from events group by user_id)"
 
 
@@ -339,7 +362,7 @@ def r04(v, spark, sf):
 @query("R05_stream_decision_rates", """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type as decision, count(*) as n from events group by 1, 2""")
 def r05(v, spark, sf):
     e = events(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
-    t = ST.run_to_table(ST.decision_rates(e, "at", "event_type"), "rates", mode="complete", each=ST.snapshot)
+    t = ST.run_to_table(ST.decision_rates(e, "at", "event_type"), "rates", mode="complete", each=ST.ledger)
     return ST.latest_snapshot(t).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "decision", "n")
 
 
@@ -348,5 +371,28 @@ g as (select user_id, ts, sum(st) over (partition by user_id order by ts rows un
 select user_id, sid_start as start_s, n_shots, n_shots >= 8 as complete from (select user_id, sid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as sid_start, count(*) as n_shots from g group by 1, 2)""")
 def r06(v, spark, sf):
     e = events(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
-    t = ST.run_to_table(ST.enroll_sessions(e, "user_id", "at"), "sessions", mode="complete", each=ST.snapshot)
+    t = ST.run_to_table(ST.enroll_sessions(e, "user_id", "at"), "sessions", mode="complete", each=ST.ledger)
     return ST.latest_snapshot(t).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_s"), "n_shots", "complete")
+
+
+_MARK = "(select max(ts) - interval 1 hour as mark from events)"
+
+
+@query("R05_closed_windows", f"""select strftime(day, '%Y-%m-%d') as day, event_type as decision, n from (select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2)
+where day + interval 1 day <= (select mark from {_MARK})""")
+def r05_closed(v, spark, sf):
+    """Append mode: each day once, when the watermark has passed it; its state is dropped."""
+    e = events(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
+    t = ST.run_to_table(ST.decision_rates(e, "at", "event_type"), "closed-rates")
+    return t.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "decision", "n")
+
+
+@query("R06_closed_sessions", f"""with o as (select user_id, ts, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 6 hour then 1 else 0 end as st from events window w as (partition by user_id order by ts, event_id)),
+g as (select user_id, ts, sum(st) over (partition by user_id order by ts rows unbounded preceding) as sid from o)
+select user_id, strftime(a, '%Y-%m-%d %H:%M:%S') as start_s, n_shots, n_shots >= 8 as complete from (select user_id, sid, min(ts) as a, max(ts) as b, count(*) as n_shots from g group by 1, 2)
+where b + interval 6 hour <= (select mark from {_MARK})""")
+def r06_closed(v, spark, sf):
+    """Append mode: each session once, when the watermark has passed its gap."""
+    e = events(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
+    t = ST.run_to_table(ST.enroll_sessions(e, "user_id", "at"), "closed-sessions")
+    return t.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_s"), "n_shots", "complete")

@@ -7,6 +7,7 @@ reads its inputs as 32-bit floats, as the published results do.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +20,53 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def delta_e_cie76(a: Column, b: Column) -> Column:
-    return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+def _fold(a: Column, b: Column, term: Callable[[Column, Column], Column], n: int | None) -> Column:
+    """Sum of ``term`` over the positions of both arrays.
+
+    With a known length the terms are written out, which compiles to plain arithmetic; the
+    higher-order form is interpreted element by element. Both add in the same order.
+    """
+    if n is None:
+        return _sum(F.zip_with(a, b, term))
+    terms = [term(F.get(a, i), F.get(b, i)) for i in range(n)]
+    return reduce(lambda x, y: x + y, terms)
+
+
+def delta_e_cie76(a: Column, b: Column, n: int | None = None) -> Column:
+    return F.sqrt(_fold(a, b, lambda x, y: (x - y) * (x - y), n))
 
 
 def _f32(arr: Column) -> Column:
     return arr.cast("array<float>").cast("array<double>")
 
 
-def bhattacharyya_distance(a: Column, b: Column) -> Column:
-    a, b = _f32(a), _f32(b)
-    mass = _sum(a) * _sum(b)
-    scale = F.when(mass > _FLT_EPSILON, F.lit(1.0) / F.sqrt(mass)).otherwise(F.lit(1.0))
-    overlap = _sum(F.zip_with(a, b, lambda x, y: F.sqrt(x * y)))
+def mass(a: Column) -> Column:
+    """Sum of a histogram, read as 32-bit floats."""
+    return _sum(_f32(a))
+
+
+def roots(a: Column) -> Column:
+    """Square roots of a histogram: made once a side, they turn the overlap of a pair into a dot product."""
+    return F.transform(_f32(a), lambda x: F.sqrt(x))
+
+
+def _bhattacharyya(overlap: Column, product: Column) -> Column:
+    scale = F.when(product > _FLT_EPSILON, F.lit(1.0) / F.sqrt(product)).otherwise(F.lit(1.0))
     return F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - overlap * scale))
 
 
-def hu_log_distance(a: Column, b: Column) -> Column:
-    return F.try_divide(_sum(F.zip_with(a, b, lambda x, y: F.abs(x - y))),
-                        F.size(a).cast("double"))
+def bhattacharyya_distance(a: Column, b: Column, n: int | None = None) -> Column:
+    a, b = _f32(a), _f32(b)
+    both = (_sum(a) * _sum(b)) if n is None else _fold(a, a, lambda x, _: x, n) * _fold(b, b, lambda x, _: x, n)
+    return _bhattacharyya(_fold(a, b, lambda x, y: F.sqrt(x * y), n), both)
+
+
+def bhattacharyya_of_roots(a: Column, mass_a: Column, b: Column, mass_b: Column, n: int | None = None) -> Column:
+    return _bhattacharyya(_fold(a, b, lambda x, y: x * y, n), mass_a * mass_b)
+
+
+def hu_log_distance(a: Column, b: Column, n: int | None = None) -> Column:
+    return F.try_divide(_fold(a, b, lambda x, y: F.abs(x - y), n), F.size(a).cast("double"))
 
 
 def rms_difference(a: Column, b: Column) -> Column:
@@ -60,7 +89,7 @@ def shape_distance(hu_a: Column, hu_b: Column, circ_a: Column, circ_b: Column) -
 
 
 # Feature -> (vector column of a measurement, distance). The one extension point.
-REGISTRY: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
+REGISTRY: dict[str, tuple[str, Callable[..., Column]]] = {
     "delta_e_center": ("lab_center", delta_e_cie76),
     "delta_e_rim": ("lab_rim", delta_e_cie76),
     "hist_center": ("hs_hist_center", bhattacharyya_distance),
@@ -78,12 +107,23 @@ def scalar_value(feature: str, prefix: str = "") -> Column:
     return F.when(c > 0, c) if feature == "solidity" else c
 
 
-def proto_distance(feature: str, vec: Column, proto: Column) -> Column:
-    """NULL when either side is missing, empty or of another length."""
+def usable(vec: Column, proto: Column) -> Column:
+    """Neither side missing or empty, and both of one length."""
+    return vec.isNotNull() & proto.isNotNull() & (F.size(vec) > 0) & (F.size(vec) == F.size(proto))
+
+
+def by_length(vec: Column, proto: Column, n: int | None, fn: Callable[[int | None], Column]) -> Column:
+    """``fn(n)`` for vectors of the expected length, the general form for others, NULL for unusable pairs."""
+    if not n:
+        return F.when(usable(vec, proto), fn(None))
+    fit = vec.isNotNull() & proto.isNotNull() & (F.size(vec) == n) & (F.size(proto) == n)
+    return F.when(fit, fn(n)).when(usable(vec, proto), fn(None))
+
+
+def proto_distance(feature: str, vec: Column, proto: Column, n: int | None = None) -> Column:
+    """NULL when either side is missing, empty or of another length. ``n``: the length most vectors have."""
     fn = REGISTRY[feature][1]
-    usable = vec.isNotNull() & proto.isNotNull() & (F.size(vec) > 0) & (
-        F.size(vec) == F.size(proto))
-    return F.when(usable, fn(vec, proto))
+    return by_length(vec, proto, n, lambda k: fn(vec, proto, k))
 
 
 def register_sql(spark: SparkSession) -> None:

@@ -53,19 +53,33 @@ def vector_long(shots: DataFrame, keys: Sequence[str] = (ARTICLE,)) -> DataFrame
     return shots.select(*keys, F.inline(items)).where("vec is not null and size(vec) > 0")
 
 
-def vector_mean(vectors: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
-    """Element-wise mean; groups with vectors of different lengths are dropped.
+def vector_lengths(rows: DataFrame, columns: Sequence[str] | None = None) -> dict[str, int]:
+    """Longest length of each vector column (0: none), from one aggregate."""
+    columns = list(columns or sorted({src for src, _ in dist.REGISTRY.values()}))
+    found = rows.agg(*[F.max(F.size(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    return {c: max(n or 0, 0) for c, n in zip(columns, found)}
 
-    The long (key, position) aggregate combines on the map side and its final
-    group has one row per position, however many vectors the key has.
-    """
-    per_pos = (vectors.select(*keys, F.size(vec).alias("_len"), F.posexplode(vec))
-               .groupBy(*keys, "pos").agg(F.avg("col").alias("m"), F.min("_len").alias("lo"),
-                                          F.max("_len").alias("hi")))
-    return (per_pos.groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_p"),
-                 F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-            .where("_lo = _hi").select(*keys, F.col("_p.m").alias("proto")))
+
+def mean_of(vec: Column, n: int) -> Column:
+    """Aggregate: the element-wise mean of vectors of up to ``n`` elements. Nothing is exploded."""
+    return F.array(*[F.avg(F.get(vec, i)) for i in range(n)]) if n else F.array().cast("array<double>")
+
+
+def rms_of(vec: Column, n: int) -> Column:
+    """Aggregate: the element-wise root mean square."""
+    return F.array(*[F.sqrt(F.avg(F.get(vec, i) * F.get(vec, i))) for i in range(n)]) if n else F.array().cast("array<double>")
+
+
+def _one_length(mean: Column, lo: Column, hi: Column) -> Column:
+    """A mean cut to the vectors' length; NULL where lengths differ or there are none."""
+    return F.when((lo == hi) & (lo > 0), F.slice(mean, 1, lo))
+
+
+def vector_mean(vectors: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
+    """Element-wise mean; groups with vectors of different lengths are dropped."""
+    n = vector_lengths(vectors, [vec])[vec]
+    g = vectors.groupBy(*keys).agg(mean_of(F.col(vec), n).alias("_m"), F.min(F.size(vec)).alias("_lo"), F.max(F.size(vec)).alias("_hi"))
+    return g.select(*keys, _one_length(F.col("_m"), F.col("_lo"), F.col("_hi")).alias("proto")).where("proto is not null")
 
 
 def rms(d: Column) -> Column:
@@ -81,9 +95,29 @@ def distance_to(feature: Column, vec: Column, proto: Column) -> Column:
     return out
 
 
-def prototypes(shots: DataFrame) -> DataFrame:
+def means(shots: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
+    """One row per article from one aggregate: n_shots, and per feature n_, then m_ and s_ (scalars) or p_ (plain mean vector).
+
+    ``lengths`` (longest vector per column) saves the pass that finds it.
+    """
+    lengths = lengths or vector_lengths(shots)
+    aggs, out = [F.count(F.lit(1)).alias("n_shots")], [F.col(ARTICLE), F.col("n_shots")]
+    for f in C.SCALAR_FEATURES:
+        c = dist.scalar_value(f).cast("double")
+        aggs += [F.count(c).alias(f"n_{f}"), F.avg(c).alias(f"m_{f}"), sample_std(c).alias(f"s_{f}")]
+        out += [F.col(f"n_{f}"), F.col(f"m_{f}"), F.when(F.col(f"n_{f}") > 0, F.coalesce(f"s_{f}", F.lit(0.0))).alias(f"s_{f}")]
+    for f, (src, _) in dist.REGISTRY.items():
+        v = F.when(F.size(src) > 0, F.col(src))
+        aggs += [F.count(v).alias(f"n_{f}"), F.min(F.size(v)).alias(f"_lo_{f}"), F.max(F.size(v)).alias(f"_hi_{f}"),
+                 mean_of(v, lengths[src]).alias(f"_p_{f}")]
+        out += [F.col(f"n_{f}"), _one_length(F.col(f"_p_{f}"), F.col(f"_lo_{f}"), F.col(f"_hi_{f}")).alias(f"p_{f}")]
+    return shots.groupBy(ARTICLE).agg(*aggs).select(*out)
+
+
+def prototypes(shots: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
     """article, feature, proto: the plain mean, before any renormalisation."""
-    return vector_mean(vector_long(shots), [ARTICLE, "feature"])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"p_{f}").alias("proto")) for f in dist.REGISTRY])
+    return means(shots, lengths).select(ARTICLE, F.inline(rows)).where("proto is not null")
 
 
 def renormalise(feature: Column, proto: Column) -> Column:
@@ -92,57 +126,157 @@ def renormalise(feature: Column, proto: Column) -> Column:
                   F.transform(proto, lambda x: x / total)).otherwise(proto)
 
 
-def prototype_spread(shots: DataFrame, protos: DataFrame | None = None) -> DataFrame:
-    """article, feature, n, spread: RMS distance to the plain mean, 0 for one shot."""
-    protos = prototypes(shots) if protos is None else protos
-    # The five prototypes of an article side by side: a shot meets them in one row.
-    wide = protos.groupBy(ARTICLE).agg(*[F.max(F.when(F.col("feature") == f, F.col("proto"))).alias(f"_p_{f}")
-                                         for f in dist.REGISTRY])
-    d = {f: dist.proto_distance(f, F.col(src), F.col(f"_p_{f}")).alias(f"_d_{f}")
+def _spreads(shots: DataFrame, wide: DataFrame, lengths: dict[str, int]) -> DataFrame:
+    """article, n_ and s_ per vector feature: RMS distance of the shots to the mean vectors p_ of ``wide``."""
+    protos = wide.select(ARTICLE, *[f"p_{f}" for f in dist.REGISTRY])
+    d = {f: dist.proto_distance(f, F.col(src), F.col(f"p_{f}"), lengths[src]).alias(f"_d_{f}")
          for f, (src, _) in dist.REGISTRY.items()}
-    per_shot = shots.select(ARTICLE, *{src for src, _ in dist.REGISTRY.values()}).join(wide, ARTICLE).select(
-        ARTICLE, *d.values())
-    g = per_shot.groupBy(ARTICLE).agg(
-        *[F.count(f"_d_{f}").alias(f"_n_{f}") for f in d],
-        *[rms(F.col(f"_d_{f}")).alias(f"_s_{f}") for f in d])
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_n_{f}").alias("n"), F.when(
-        F.col(f"_n_{f}") < 2, F.lit(0.0)).otherwise(F.col(f"_s_{f}")).alias("spread")) for f in d])
+    per_shot = shots.select(ARTICLE, *{src for src, _ in dist.REGISTRY.values()}).join(protos, ARTICLE).select(ARTICLE, *d.values())
+    aggs = []
+    for f in d:
+        n = F.count(f"_d_{f}")
+        aggs += [n.alias(f"n_{f}"), F.when(n < 2, F.lit(0.0)).otherwise(rms(F.col(f"_d_{f}"))).alias(f"s_{f}")]
+    return per_shot.groupBy(ARTICLE).agg(*aggs)
+
+
+def prototype_spread(shots: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
+    """article, feature, n, spread: RMS distance to the plain mean, 0 for one shot.
+
+    Shots meet the five prototypes of their article in one row; what is made long in the end is a row per article.
+    """
+    lengths = lengths or vector_lengths(shots)
+    g = _spreads(shots, means(shots, lengths), lengths)
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n"), F.col(f"s_{f}").alias("spread"))
+                     for f in dist.REGISTRY])
     return g.select(ARTICLE, F.inline(rows)).where("n > 0")
 
 
-def stats_long(shots: DataFrame) -> DataFrame:
-    """article, feature, n, mean, std, proto for all features.
+def stats_wide(shots: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
+    """One row per article, the form scoring joins: n_shots, m_*, s_*, p_*.
 
-    The spread comes from the plain mean; the stored prototype is renormalised.
+    The spread comes from the plain mean; the prototype is renormalised.
     """
-    protos = prototypes(shots)
-    spread = prototype_spread(shots, protos)
-    vec = protos.join(spread, [ARTICLE, "feature"]).select(
-        ARTICLE, "feature", "n", F.lit(None).cast("double").alias("mean"),
-        F.col("spread").alias("std"),
-        renormalise(F.col("feature"), F.col("proto")).alias("proto"))
-    sca = scalar_stats(shots).select(
-        ARTICLE, "feature", "n", "mean", "std",
-        F.lit(None).cast("array<double>").alias("proto"))
-    return sca.unionByName(vec)
+    return _wide(shots, lengths).drop(*[f"n_{f}" for f in C.ALL_FEATURES])
 
 
-def stats_wide(shots: DataFrame, keys: Sequence[str] = (ARTICLE,)) -> DataFrame:
-    """One row per article, the form scoring joins: n_shots, m_*, s_*, p_*."""
-    return widen(stats_long(shots), shots.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_shots")))
+def _wide(shots: DataFrame, lengths: dict[str, int] | None) -> DataFrame:
+    lengths = lengths or vector_lengths(shots)
+    wide = means(shots, lengths)
+    spread = _spreads(shots, wide, lengths).select(
+        ARTICLE, *[F.when(F.col(f"n_{f}") > 0, F.col(f"s_{f}")).alias(f"s_{f}") for f in dist.REGISTRY],
+        *[F.col(f"n_{f}").alias(f"_n_{f}") for f in dist.REGISTRY])
+    both = wide.drop(*[f"n_{f}" for f in dist.REGISTRY]).join(spread, ARTICLE, "left")
+    return both.withColumns({f"p_{f}": renormalise(F.lit(f), F.col(f"p_{f}")) for f in dist.REGISTRY}).withColumnsRenamed(
+        {f"_n_{f}": f"n_{f}" for f in dist.REGISTRY})
 
 
-def widen(long: DataFrame, shots_per_article: DataFrame, keys: Sequence[str] = (ARTICLE,)
-          ) -> DataFrame:
-    def pick(f: str, col: str) -> Column:
-        return F.max(F.when(F.col("feature") == f, F.col(col)))
+def stats_long(shots: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
+    """article, feature, n, mean, std, proto for all features an article has."""
+    double, vector = F.lit(None).cast("double"), F.lit(None).cast("array<double>")
+    rows = [F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n"), F.col(f"m_{f}").alias("mean"),
+                     F.col(f"s_{f}").alias("std"), vector.alias("proto")) for f in C.SCALAR_FEATURES]
+    rows += [F.struct(F.lit(f).alias("feature"), F.coalesce(f"n_{f}", F.lit(0)).alias("n"), double.alias("mean"),
+                      F.col(f"s_{f}").alias("std"), F.col(f"p_{f}").alias("proto")) for f in C.PROTO_FEATURES]
+    return _wide(shots, lengths).select(ARTICLE, F.inline(F.array(*rows))).where("n > 0")
 
-    aggs = []
+
+# --- mergeable form ---------------------------------------------------------
+
+_LAB, _HU = ("delta_e_center", "delta_e_rim"), "hu_log"
+
+
+def _shares(vec: Column) -> Column:
+    """sqrt(v / sum v) per bin of a histogram read as 32-bit floats; zeros where it is empty."""
+    total = dist.mass(vec)
+    return F.transform(dist.roots(vec), lambda x: F.when(total > 0, x / F.sqrt(F.when(total > 0, total))).otherwise(0.0))
+
+
+def moments(shots: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
+    """One row per article that merges with others of the same article: counts, sums and centred squares.
+
+    Scalars: n, mean, sum of squares about it, least and greatest value. Vectors: n, least and greatest length, mean;
+    for Lab vectors the sum of squares about it; for histograms the mean of the root shares, in which
+    the squared distance to any histogram is linear.
+    """
+    lengths = lengths or vector_lengths(shots)
+    aggs = [F.count(F.lit(1)).alias("n_shots")]
     for f in C.SCALAR_FEATURES:
-        aggs += [pick(f, "mean").alias(f"m_{f}"), pick(f, "std").alias(f"s_{f}")]
-    for f in C.PROTO_FEATURES:
-        aggs += [pick(f, "proto").alias(f"p_{f}"), pick(f, "std").alias(f"s_{f}")]
-    return shots_per_article.join(long.groupBy(*keys).agg(*aggs), list(keys), "left")
+        c = dist.scalar_value(f).cast("double")
+        aggs += [F.count(c).alias(f"n_{f}"), F.avg(c).alias(f"m_{f}"), (F.var_pop(c) * F.count(c)).alias(f"q_{f}"),
+                 F.min(c).alias(f"lo_{f}"), F.max(c).alias(f"hi_{f}")]
+    shares = {f"_r_{f}": F.when(F.size(dist.REGISTRY[f][0]) > 0, _shares(F.col(dist.REGISTRY[f][0]))) for f in C.HIST_FEATURES}
+    for f, (src, _) in dist.REGISTRY.items():
+        v, n = F.when(F.size(src) > 0, F.col(src)), lengths[src]
+        aggs += [F.count(v).alias(f"n_{f}"), F.min(F.size(v)).alias(f"lo_{f}"), F.max(F.size(v)).alias(f"hi_{f}"),
+                 mean_of(v, n).alias(f"m_{f}")]
+        if f in _LAB:
+            aggs.append(_total([F.coalesce(F.var_pop(F.get(v, i)), F.lit(0.0)) * F.count(v) for i in range(n)]).alias(f"q_{f}"))
+        if f in C.HIST_FEATURES:
+            aggs.append(mean_of(F.col(f"_r_{f}"), n).alias(f"r_{f}"))
+    return shots.withColumns(shares).groupBy(ARTICLE).agg(*aggs)
+
+
+def _total(parts: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for p in parts:
+        out = out + p
+    return out
+
+
+def merged(rows: DataFrame, hu: DataFrame) -> DataFrame:
+    """Statistics in long form from ``moments`` rows, and from the Hu vectors (article, hu_moments) for their spread."""
+    lengths = vector_lengths(rows, [f"m_{f}" for f in dist.REGISTRY])
+    lengths = {f: lengths[f"m_{f}"] for f in dist.REGISTRY}
+
+    def mean(f: str, col: str) -> Column:
+        return F.sum(F.col(col) * F.col(f"n_{f}")) / F.when(F.sum(f"n_{f}") > 0, F.sum(f"n_{f}"))
+
+    def means_of(f: str, col: str) -> Column:
+        n = F.when(F.col(f"n_{f}") > 0, F.col(f"n_{f}"))
+        parts = [F.sum(F.get(col, i) * n) / F.sum(F.when(F.get(col, i).isNotNull(), n)) for i in range(lengths[f])]
+        return F.array(*parts) if parts else F.array().cast("array<double>")
+
+    aggs = [F.sum("n_shots").alias("n_shots")]
+    for f in C.SCALAR_FEATURES:
+        aggs += [F.sum(f"n_{f}").alias(f"n_{f}"), mean(f, f"m_{f}").alias(f"m_{f}"), F.sum(f"q_{f}").alias(f"q_{f}"),
+                 F.min(f"lo_{f}").alias(f"lo_{f}"), F.max(f"hi_{f}").alias(f"hi_{f}")]
+    for f in dist.REGISTRY:
+        aggs += [F.sum(f"n_{f}").alias(f"n_{f}"), F.min(f"lo_{f}").alias(f"lo_{f}"), F.max(f"hi_{f}").alias(f"hi_{f}"),
+                 means_of(f, f"m_{f}").alias(f"m_{f}")]
+        if f in _LAB:
+            aggs.append(F.sum(f"q_{f}").alias(f"q_{f}"))
+        if f in C.HIST_FEATURES:
+            aggs.append(means_of(f, f"r_{f}").alias(f"r_{f}"))
+    whole = rows.groupBy(ARTICLE).agg(*aggs)
+    # What the means of the parts add to the squares about the mean of all.
+    mid = {f: F.col(f"_mid_{f}") for f in (*C.SCALAR_FEATURES, *_LAB)}
+    joined = rows.join(whole.select(ARTICLE, *[F.col(f"m_{f}").alias(f"_mid_{f}") for f in mid]), ARTICLE)
+    between = joined.groupBy(ARTICLE).agg(
+        *[F.sum(F.col(f"n_{f}") * (F.col(f"m_{f}") - mid[f]) * (F.col(f"m_{f}") - mid[f])).alias(f"_b_{f}") for f in C.SCALAR_FEATURES],
+        *[F.sum(F.col(f"n_{f}") * _total([F.coalesce((F.get(f"m_{f}", i) - F.get(mid[f], i)) * (F.get(f"m_{f}", i) - F.get(mid[f], i)), F.lit(0.0))
+                                          for i in range(lengths[f])])).alias(f"_b_{f}") for f in _LAB])
+    plain = whole.withColumns({f"m_{f}": _one_length(F.col(f"m_{f}"), F.col(f"lo_{f}"), F.col(f"hi_{f}")) for f in dist.REGISTRY})
+    d = dist.proto_distance(_HU, F.col("hu_moments"), F.col(f"m_{_HU}"), lengths[_HU])
+    spread = hu.join(plain.select(ARTICLE, f"m_{_HU}"), ARTICLE).groupBy(ARTICLE).agg(rms(d).alias("_s_hu"))
+    g = plain.join(between, ARTICLE).join(spread, ARTICLE, "left")
+    rows_out, none = [], F.lit(None)
+    for f in C.SCALAR_FEATURES:
+        n = F.col(f"n_{f}")
+        s = F.when(F.col(f"lo_{f}") == F.col(f"hi_{f}"), F.lit(0.0)).otherwise(F.sqrt(F.try_divide(F.col(f"q_{f}") + F.col(f"_b_{f}"), n - 1)))
+        rows_out.append(F.struct(F.lit(f).alias("feature"), n.alias("n"), F.col(f"m_{f}").alias("mean"), F.coalesce(s, F.lit(0.0)).alias("std"),
+                                 none.cast("array<double>").alias("proto")))
+    for f in dist.REGISTRY:
+        n, m = F.when(F.col(f"m_{f}").isNotNull(), F.col(f"n_{f}")).otherwise(F.lit(0)), F.col(f"m_{f}")
+        if f in _LAB:
+            s = F.sqrt((F.col(f"q_{f}") + F.col(f"_b_{f}")) / F.when(n > 0, n))
+        elif f in C.HIST_FEATURES:
+            overlap = F.aggregate(F.zip_with(_shares(m), F.slice(f"r_{f}", 1, F.size(m)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+            s = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - overlap))
+        else:
+            s = F.col("_s_hu")
+        rows_out.append(F.struct(F.lit(f).alias("feature"), n.alias("n"), none.cast("double").alias("mean"),
+                                 F.when(n < 2, F.lit(0.0)).otherwise(s).alias("std"), renormalise(F.lit(f), m).alias("proto")))
+    return g.select(ARTICLE, F.inline(F.array(*rows_out))).where("n > 0")
 
 
 # --- robust form ------------------------------------------------------------

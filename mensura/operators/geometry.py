@@ -8,6 +8,11 @@ profiles) is aggregated with map-side combine.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,23 +86,80 @@ def extents(points: DataFrame, mm: float = 1.0, step: float = 0.5) -> DataFrame:
         ok(F.get("_t", 3) - F.get("_t", 2)).alias("ext_p98"), ok(F.get("_m", 3) - F.get("_m", 2)).alias("lat_p98"))
 
 
+def _hull(xy: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counter-clockwise (monotone chain); one or two points stay as they are."""
+    xy = np.unique(xy, axis=0)                      # sorted by x, then y
+    if len(xy) < 3:
+        return xy
+    chains = []
+    for points in (xy.tolist(), xy[::-1].tolist()):
+        chain: list = []
+        for p in points:
+            while len(chain) > 1 and ((chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1])
+                                      - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0])) <= 0:
+                chain.pop()
+            chain.append(p)
+        chains += chain[:-1]
+    return np.array(chains)
+
+
+def _width(h: np.ndarray) -> float:
+    """Largest distance of two hull corners, by rotating calipers."""
+    n = len(h)
+    if n < 2:
+        return 0.0
+    if n == 2:
+        return float(np.hypot(*(h[1] - h[0])))
+    x, y = h[:, 0].tolist(), h[:, 1].tolist()
+    best, j = 0.0, 1
+    for i in range(n):
+        k = (i + 1) % n
+        ex, ey = x[k] - x[i], y[k] - y[i]
+        for _ in range(n):                          # the farthest corner from the edge i, k only moves on
+            m = (j + 1) % n
+            here, there = ex * (y[j] - y[i]) - ey * (x[j] - x[i]), ex * (y[m] - y[i]) - ey * (x[m] - x[i])
+            for t in ((j, m) if there == here else (j,)):
+                for s in (i, k):
+                    best = max(best, (x[t] - x[s]) ** 2 + (y[t] - y[s]) ** 2)
+            if there <= here:
+                break
+            j = m
+    return math.sqrt(best)
+
+
+def convex_hull(points: DataFrame) -> DataFrame:
+    """shape_id, x, y: corners of each shape's hull. Points without both coordinates don't count.
+
+    The hull of hulls is the hull: each batch of a task keeps only the corners of what it holds of a shape,
+    so what is exchanged and meets in the end are corners, however many points a shape has.
+    """
+    schema = points.select(S, F.col("x").cast("double"), F.col("y").cast("double")).schema
+
+    def corners(rows: pd.DataFrame) -> pd.DataFrame:
+        h = _hull(rows[["x", "y"]].to_numpy())
+        return pd.DataFrame({S: [rows[S].iloc[0]] * len(h), "x": h[:, 0], "y": h[:, 1]})
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, rows in batch.groupby(S, sort=False, dropna=False):
+                yield corners(rows)
+
+    clean = points.select(S, F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null")
+    return clean.mapInPandas(partial, schema).groupBy(S).applyInPandas(corners, schema)
+
+
 def point_set_diameter(points: DataFrame, circle: DataFrame | None = None, tol: float = 0.5) -> DataFrame:
     """Largest distance of two points, and whether a given circle has that diameter.
 
-    Only points far enough from the centre can be an end: with R the largest radius
-    and D0 the best distance seen from the farthest point, an end lies at D0 - R or
-    more. The rest is compared inside one row per shape, no pair rows arise.
+    The two ends are corners of the convex hull; calipers walk around it once, so a round shape costs
+    no more than any other.
     """
-    g = points.groupBy(S).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    j = points.join(g, S).withColumn("_r", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
-    far = j.groupBy(S).agg(F.max(F.struct("_r", "x", "y")).alias("_f"))
-    j = j.join(far, S).withColumn("_d", F.hypot(F.col("x") - F.col("_f.x"), F.col("y") - F.col("_f.y")))
-    w = Window.partitionBy(S)
-    j = j.withColumn("_low", F.max("_d").over(w) - F.col("_f._r")).where(F.col("_r") >= F.col("_low") - 1e-9)
-    rows = j.groupBy(S).agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    best = F.array_max(F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: (
-        (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))))))
-    out = rows.select(S, F.sqrt(best).alias("diameter"))
+    kind = points.schema[S].dataType.simpleString()
+
+    def widest(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({S: [rows[S].iloc[0]], "diameter": [_width(_hull(rows[["x", "y"]].to_numpy()))]})
+
+    out = convex_hull(points).groupBy(S).applyInPandas(widest, f"{S} {kind}, diameter double")
     if circle is not None:
         out = out.join(circle.select(S, "circle_diameter"), S).withColumn(
             "two_point", F.abs(F.col("circle_diameter") - F.col("diameter")) <= tol)

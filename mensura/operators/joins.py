@@ -78,40 +78,99 @@ def prefilter(measured: DataFrame, articles: DataFrame, tol_mm: float, area_tol_
     return pairs.where("area_ok").drop("area_ok")
 
 
-def prefilter_kills(measured: DataFrame, articles: DataFrame, tol_mm: float,
-                    area_tol_pct: float, camera_mm: float = 300.0,
-                    reach_mm: float | None = None) -> DataFrame:
-    """Rejected pairs with their reason, ``diameter`` before ``area``.
-
-    ``reach_mm`` bounds how far outside the tolerance a diameter kill is listed, so
-    the plan stays a band join; far kills carry no information about near misses.
-    ``None`` lists every pair, which is measurements x catalogue rows by definition:
-    the catalogue is then cut in tiles so that no task holds all of it.
-    """
-    cat = catalogue(articles)
-    if reach_mm is None:
-        tiles = 32
-        pairs = (measured.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-                 .join(cat.withColumn("_tile", F.pmod(F.xxhash64("article_number"), F.lit(tiles))
-                                      .cast("int")), "_tile").drop("_tile"))
-    else:
-        wide = _with_band(cat, tol_mm + reach_mm, camera_mm, "_lo", "_hi")
-        pairs = band_join(measured, "circle_diameter_mm", wide, "_lo", "_hi",
-                          2.0 * (tol_mm + reach_mm)).drop("_lo", "_hi")
+def _with_errors(pairs: DataFrame, tol_mm: float, area_tol_pct: float, camera_mm: float) -> DataFrame:
+    """Pairs at any distance with geo_err, over_tolerance_mm, area_rel and reason (null: not killed)."""
     corrected = sizes.height_corrected(F.col("circle_diameter_mm"), F.col("height_mm"), camera_mm)
     pairs = (pairs.withColumn("corrected_mm", corrected)
-             .withColumn("geo_err", F.abs(F.col("corrected_mm") - F.col("nominal_mm"))))
-    if reach_mm is not None:
-        pairs = pairs.where(F.col("geo_err") <= tol_mm + reach_mm)
+             .withColumn("geo_err", F.abs(F.col("corrected_mm") - F.col("nominal_mm")))
+             .withColumn("over_tolerance_mm", F.round(F.col("geo_err") - tol_mm, 2)))
     pairs = area_gate(pairs, area_tol_pct, camera_mm)
-    reason = F.when(F.col("geo_err") > tol_mm, "diameter").when(~F.col("area_ok"), "area")
-    return pairs.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
-        *measured.columns, "article_number", "name", "reason",
-        F.round("geo_err", 2).alias("geometry_error_mm"),
-        F.lit(round(tol_mm, 2)).alias("tolerance_mm"),
-        F.round(F.col("geo_err") - tol_mm, 2).alias("over_tolerance_mm"),
-        F.when(F.col("reason") == "area", F.round(F.col("area_rel") * 100.0, 1))
-        .alias("area_error_pct"))
+    return pairs.withColumn("reason", F.when(F.col("geo_err") > tol_mm, "diameter").when(~F.col("area_ok"), "area"))
+
+
+def _kill_columns(tol_mm: float) -> list:
+    return [F.col("article_number"), F.col("name"), F.col("reason"), F.round("geo_err", 2).alias("geometry_error_mm"),
+            F.lit(round(tol_mm, 2)).alias("tolerance_mm"), F.col("over_tolerance_mm"),
+            F.when(F.col("reason") == "area", F.round(F.col("area_rel") * 100.0, 1)).alias("area_error_pct")]
+
+
+def _near_pairs(measured: DataFrame, articles: DataFrame, tol_mm: float, area_tol_pct: float, camera_mm: float) -> DataFrame:
+    """All pairs that are not far: within the tolerance, or at most as much again beyond it."""
+    reach = 2.0 * tol_mm + 0.01                         # over_tolerance_mm is rounded to 2 digits
+    wide = _with_band(catalogue(articles), reach, camera_mm, "_lo", "_hi")
+    pairs = band_join(measured, "circle_diameter_mm", wide, "_lo", "_hi", 2.0 * reach).drop("_lo", "_hi")
+    pairs = _with_errors(pairs, tol_mm, area_tol_pct, camera_mm)
+    return pairs.where((F.col("geo_err") <= tol_mm) | (F.col("over_tolerance_mm") <= tol_mm))
+
+
+def true_kills(measured: DataFrame, articles: DataFrame, tol_mm: float, area_tol_pct: float,
+               camera_mm: float = 300.0, label: str = "label") -> DataFrame:
+    """The kill of each measurement's own article, at any distance: an equi-join on the label."""
+    cat = catalogue(articles)
+    own = measured.join(cat, measured[label] == cat["article_number"])
+    own = _with_errors(own, tol_mm, area_tol_pct, camera_mm).where(F.col("reason").isNotNull())
+    return own.select(*[measured[c] for c in measured.columns], *_kill_columns(tol_mm))
+
+
+def prefilter_kills(measured: DataFrame, articles: DataFrame, tol_mm: float, area_tol_pct: float,
+                    camera_mm: float = 300.0, label: str | None = None) -> DataFrame:
+    """Kills that are near, by area, or the measurement's own article, with their reason.
+
+    Near is a diameter at most one more tolerance outside. Far kills are the rest of the catalogue
+    for every measurement, a product of both tables; ``kill_summary`` counts them exactly, and
+    ``all_kills`` lists them. With ``label`` the own article's kill is listed however far it is.
+    """
+    near = _near_pairs(measured, articles, tol_mm, area_tol_pct, camera_mm).where(F.col("reason").isNotNull())
+    near = near.select(*measured.columns, *_kill_columns(tol_mm))
+    if label is None:
+        return near
+    own = true_kills(measured, articles, tol_mm, area_tol_pct, camera_mm, label)
+    far = own.where((F.col("reason") == "diameter") & (F.col("over_tolerance_mm") > tol_mm))
+    return near.unionByName(far)
+
+
+def all_kills(measured: DataFrame, articles: DataFrame, tol_mm: float, area_tol_pct: float,
+              camera_mm: float = 300.0) -> DataFrame:
+    """Every rejected pair: measurements x catalogue rows by definition, dealt in tiles of the catalogue."""
+    tiles = 32
+    cat = catalogue(articles).withColumn("_tile", F.pmod(F.xxhash64("article_number"), F.lit(tiles)).cast("int"))
+    pairs = measured.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).join(cat, "_tile").drop("_tile")
+    pairs = _with_errors(pairs, tol_mm, area_tol_pct, camera_mm).where(F.col("reason").isNotNull())
+    return pairs.select(*measured.columns, *_kill_columns(tol_mm))
+
+
+def kill_summary(measured: DataFrame, articles: DataFrame, tol_mm: float, area_tol_pct: float,
+                 camera_mm: float = 300.0, key: str = "report_id", label: str | None = None) -> DataFrame:
+    """Per report: prefiltered (the listed kills) and exact counts of all kills.
+
+    Far kills are counted by complement: the catalogue less the pairs inside the tolerance less the near
+    kills, all from one band join and one grouping by report. Counts are null where nothing was measured.
+    """
+    near = _near_pairs(measured, articles, tol_mm, area_tol_pct, camera_mm)
+    inside = F.col("geo_err") <= tol_mm
+    item = F.struct(*_kill_columns(tol_mm))
+    found = near.groupBy(key).agg(
+        F.collect_list(F.when(F.col("reason").isNotNull(), item)).alias("_near"), F.count_if(inside).alias("_inside"),
+        F.count_if(F.col("reason") == "area").alias("_area"), F.count_if(~inside).alias("_edge"))
+    total = catalogue(articles).agg(F.count(F.lit(1)).alias("_total"))
+    keep = [key, "circle_diameter_mm", *([label] if label else [])]
+    out = measured.select(*keep).join(found, key, "left").crossJoin(F.broadcast(total))        # a single row
+    empty = F.array().cast(near.select(F.array(item)).schema[0].dataType)
+    out = out.withColumn("prefiltered", F.coalesce("_near", empty))
+    if label:
+        own = true_kills(measured, articles, tol_mm, area_tol_pct, camera_mm, label)
+        far = own.where((F.col("reason") == "diameter") & (F.col("over_tolerance_mm") > tol_mm))
+        far = far.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c) for c in _KILL])).alias("_own"))
+        out = out.join(far, key, "left").withColumn("prefiltered", F.concat("prefiltered", F.coalesce("_own", empty)))
+    measured_at_all = F.col("circle_diameter_mm").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    diameter = F.when(measured_at_all, F.col("_total") - zero("_inside"))
+    area, edge = F.when(measured_at_all, zero("_area")), F.when(measured_at_all, zero("_edge"))
+    return out.select(key, F.sort_array("prefiltered").alias("prefiltered"), (diameter + area).alias("n_kills"),
+                      diameter.alias("n_kills_diameter"), area.alias("n_kills_area"), (diameter - edge).alias("n_kills_far"))
+
+
+_KILL = ("article_number", "name", "reason", "geometry_error_mm", "tolerance_mm", "over_tolerance_mm", "area_error_pct")
 
 
 def interval_overlap_join(left: DataFrame, right: DataFrame, lo: str, hi: str,

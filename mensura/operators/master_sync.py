@@ -33,6 +33,11 @@ def propose(articles: DataFrame, stats: DataFrame, min_shots: int = 2) -> DataFr
         F.when(ok & ~round_ & both, F.round(p * f, 2)).alias("new_depth_mm"))
 
 
+def worst_first(proposal: DataFrame) -> DataFrame:
+    """The rows to be written, those of the largest absolute difference first; ties by article."""
+    return proposal.where("skipped is null").orderBy(F.abs("diff_mm").desc(), "article_number")
+
+
 def changes(proposal: DataFrame) -> DataFrame:
     """Input of ``sources.master.update_columns``."""
     return proposal.where("skipped is null").select(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distances as dist
 from ..session import cut_lineage
 from . import enroll
-from .joins import interval_bins
 
 ART = enroll.ARTICLE
 
@@ -64,54 +65,116 @@ def all_pairs(profiles: DataFrame, tiles: int = 16) -> DataFrame:
     return _pair_columns(left.join(right, ["_i", "_j"]).where(F.col(ART) < F.col(f"{ART}_r")))
 
 
+BLOCKS = 8                  # parts of a profile whose means bound the distance
+MOST_BINS = 1024            # bins of one of the two axes
+
+
+def _block_means(proto: Column) -> Column:
+    """Means of up to BLOCKS consecutive parts, and the square root of length over part length, as arrays of structs."""
+    n = F.size(proto)
+    parts = F.least(F.lit(BLOCKS), n)
+
+    def part(j: Column) -> Column:
+        at = F.floor(j * n / parts).cast("int")
+        size = F.floor((j + 1) * n / parts).cast("int") - at
+        total = F.aggregate(F.slice(proto, at + 1, size), F.lit(0.0), lambda s, x: s + x)
+        return F.struct((total / size).alias("m"), F.sqrt(n / size).alias("w"))
+
+    return F.transform(F.sequence(F.lit(0), parts - 1), part)
+
+
+def _edges(values: list[float], least: float) -> list[float]:
+    """Quantiles as bin edges, none closer than ``least`` to the one before."""
+    out: list[float] = []
+    for v in values:
+        if not out or v >= out[-1] + least:
+            out.append(v)
+    return out
+
+
 def close_pairs(profiles: DataFrame, limit: float) -> DataFrame:
     """Exactly the pairs with d/sigma below ``limit``, without looking at all pairs.
 
-    The rms difference is at least the difference of the mean values, and the pooled
-    sigma at most the sum of both. So a close pair has overlapping intervals
-    mean +- limit * sigma, which is a binned interval join.
+    The mean square difference is at least the weighted mean square difference of the means of the profile's
+    parts, and the pooled sigma at most (sigma_a + sigma_b) / sqrt(2). So every part's mean of a close pair
+    differs by no more than limit * (sigma_a + sigma_b) / sqrt(2) * sqrt(length / part length). The two parts that
+    spread most, in units of the mean reach, are the axes of a grid with quantile bins; profiles go to the cells that their
+    reach touches, meet by length and cell, and once only, in the last cell where both start. All parts are compared
+    before the distance is taken. Profiles of equal mean meet only if they are alike in their parts.
     """
-    mean = F.aggregate("proto", F.lit(0.0), lambda s, x: s + x) / F.size("proto")
-    p = profiles.withColumn("_m", mean).withColumn("_r", F.lit(float(limit)) * F.col("sigma") + 1e-9)
-    width = p.agg(F.greatest(F.avg("_r") * 2.0, F.lit(1e-9)).alias("_w"))      # one row
-    p = p.join(F.broadcast(width)).withColumns({"_lo": F.col("_m") - F.col("_r"), "_hi": F.col("_m") + F.col("_r")})
-    left = p.withColumn("_bin", interval_bins(F.col("_lo"), F.col("_hi"), F.col("_w")))
-    right = _right(p.drop("_w")).join(F.broadcast(width))
-    right = right.withColumn("_bin", interval_bins(F.col("_lo_r"), F.col("_hi_r"), F.col("_w"))).drop("_w")
-    start = F.floor(F.greatest(F.col("_lo"), F.col("_lo_r")) / F.col("_w"))
-    meet = (F.col(ART) < F.col(f"{ART}_r")) & (F.col("_bin") == start) & (
-        F.col("_lo") <= F.col("_hi_r")) & (F.col("_lo_r") <= F.col("_hi"))
-    return _pair_columns(left.join(right, "_bin").where(meet)).where(F.col("d_sigma") < limit)
-
-
-def gap_candidates(pairs: DataFrame, edge: int, k: int = 3) -> DataFrame:
-    """The k largest ratio jumps among the ``edge`` closest pairs, with share below.
-
-    The edge is a short list by definition; only that list reaches the window.
+    reach = F.lit(float(limit) / math.sqrt(2.0)) * F.col("sigma")
+    p = profiles.withColumns({"_b": _block_means(F.col("proto")), "_len": F.size("proto"), "_r": reach}).where("_len > 0")
+    p = cut_lineage(p)
+    part = [F.get("_b", j) for j in range(BLOCKS)]
+    stats = p.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(x["m"]).alias(f"s{j}") for j, x in enumerate(part)],
+                  *[F.avg(F.col("_r") * x["w"]).alias(f"r{j}") for j, x in enumerate(part)]).first()
+    wide = sorted(range(BLOCKS), key=lambda j: -(stats[f"s{j}"] or 0.0) / max(stats[f"r{j}"] or 0.0, 1e-12))
+    axes = sorted(wide[:2])
+    bins = int(min(MOST_BINS, max(1, math.isqrt(int(stats["n"]) // 16))))
+    qs = F.array(*[F.lit(i / bins) for i in range(1, bins)]) if bins > 1 else None
+    found = p.agg(*[F.percentile_approx(part[j]["m"], qs, F.lit(bins * 20)).alias(f"e{j}") for j in axes]).first() if qs is not None else None
+    first, last = [], []
+    for j in axes:
+        edges = F.array(*[F.lit(float(e)) for e in _edges((found[f"e{j}"] or []) if found else [], stats[f"r{j}"] or 0.0)]).cast("array<double>")
+        m, r = F.coalesce(part[j]["m"], F.lit(0.0)), F.coalesce(F.col("_r") * part[j]["w"], F.lit(0.0)) + 1e-9
+
+        def bin_of(x: Column, edges: Column = edges) -> Column:
+            return F.size(F.filter(edges, lambda e: e <= x))
+        first.append(bin_of(m - r))
+        last.append(bin_of(m + r))
+    p = p.withColumns({"_x": first[0], "_x1": last[0], "_y": first[1], "_y1": last[1]})
+    cells = p.withColumn("_cx", F.explode(F.sequence("_x", "_x1"))).withColumn("_cy", F.explode(F.sequence("_y", "_y1"))).drop("_x1", "_y1")
+    right = cells.select([F.col(c).alias(c if c in ("_cx", "_cy", "_len") else f"{c}_r") for c in cells.columns])
+    near = F.forall(F.arrays_zip(F.col("_b").alias("a"), F.col("_b_r").alias("b")), lambda z: F.abs(z["a"]["m"] - z["b"]["m"])
+                    <= (F.col("_r") + F.col("_r_r")) * z["a"]["w"] + 1e-9)
+    meet = ((F.col(ART) < F.col(f"{ART}_r")) & (F.col("_cx") == F.greatest("_x", "_x_r")) & (F.col("_cy") == F.greatest("_y", "_y_r")) & near)
+    pairs = cells.join(right, ["_len", "_cx", "_cy"]).where(meet)
+    return _pair_columns(pairs).where(F.col("d_sigma") < limit)
+
+
+def _number_of_pairs(profiles: DataFrame, *keys: str) -> int:
+    """Pairs (within equal ``keys``) of which not both spreads are 0, counted from group sizes."""
+    g = profiles.where("sigma is not null").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("sigma") == 0).alias("z"))
+    two = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    return int(g.agg(F.sum(two("n") - two("z"))).first()[0] or 0)
+
+
+def gap_candidates(profiles: DataFrame, edge: int, k: int = 3, limit: float = 0.25) -> DataFrame:
+    """The k largest ratio jumps among the ``edge`` closest pairs, with the share of pairs below.
+
+    The closest pairs come from ``close_pairs`` with a limit that doubles until it holds enough of
+    them; all pairs are only counted. The edge is a short list by definition; only that list reaches the window.
     """
-    total = pairs.agg(F.count(F.lit(1)).alias("_total"))
-    low = pairs.orderBy("d_sigma", "a", "b").limit(max(edge, 2)).select("d_sigma", "a", "b")
+    want = max(edge, 2)
+    total = _number_of_pairs(profiles)
+    alike = _number_of_pairs(profiles.withColumn("_len", F.size("proto")), "_len")
+    while True:
+        near = cut_lineage(close_pairs(profiles, limit))
+        if near.limit(min(want, alike)).count() >= min(want, alike):
+            break
+        limit *= 2.0
+    low = near.orderBy("d_sigma", "a", "b").limit(want).select("d_sigma", "a", "b")
     w = Window.orderBy("d_sigma", "a", "b")
     j = low.withColumns({"below": F.row_number().over(w).cast("long"), "upper": F.lead("d_sigma").over(w)})
-    j = j.where((F.col("d_sigma") > 0) & F.col("upper").isNotNull()).join(F.broadcast(total))
+    j = j.where((F.col("d_sigma") > 0) & F.col("upper").isNotNull())
     return j.select("below", F.col("d_sigma").alias("lower"), "upper",
                     (F.col("upper") / F.col("d_sigma")).alias("factor"),
-                    (F.col("below") / F.col("_total")).alias("share")).orderBy(
-        F.desc("factor"), "below").limit(k)
+                    (F.col("below") / F.lit(total)).alias("share")).orderBy(F.desc("factor"), "below").limit(k)
 
 
-def clusters(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def clusters(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, cluster: transitive closure of a pair list, cluster = smallest member.
 
     Each round takes the smallest label among the neighbours and then the label of
     that label, so long chains shrink geometrically. A hub's edges are reduced by a
-    partial minimum before the shuffle. Rounds stop when no label changes.
+    partial minimum before the shuffle. Rounds stop when no label changes; labels only fall, so they do.
     """
     both = edges.select(F.col(a).alias("n"), F.col(b).alias("m")).unionByName(
         edges.select(F.col(b).alias("n"), F.col(a).alias("m"))).distinct()
     both = cut_lineage(both)
     label = cut_lineage(both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("c")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.select(F.col("n").alias("m"), "c"), "m").groupBy("n").agg(F.min("c").alias("k"))
         step = label.join(near, "n").select("n", F.least("c", "k").alias("c1"), F.col("c").alias("c0"))
         jump = label.select(F.col("n").alias("c1"), F.col("c").alias("j"))
@@ -121,7 +184,6 @@ def clusters(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60)
         label = nxt.select("n", "c")
         if changed == 0:
             return label.select(F.col("n").alias("node"), F.col("c").alias("cluster"))
-    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
 
 
 def runnable(shots: DataFrame, profile: str, image: str) -> DataFrame:
@@ -140,6 +202,13 @@ def runnable(shots: DataFrame, profile: str, image: str) -> DataFrame:
 # --- nearest vectors --------------------------------------------------------
 
 _BLOCK = 4096
+MOST_CELLS = 4096           # pivots that every task holds
+
+
+def _chords(x, y):
+    """Distances between the rows of two matrices."""
+    import numpy as np
+    return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T))
 
 
 def _normalised(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -150,31 +219,41 @@ def _normalised(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def embedding_knn(queries: DataFrame, index: DataFrame, k: int, *, key: str = "vec_id",
-                  vec: str = "embedding", label: str = "label", n_cells: int = 16) -> DataFrame:
+                  vec: str = "embedding", label: str = "label", n_cells: int | None = None) -> DataFrame:
     """key, rank, neighbour, label, similarity: exact cosine top-k of every query.
 
-    The index is cut into cells around a few pivot vectors and cells into blocks of
-    bounded size. A first look at one block of the own cell bounds the k-th distance;
-    by the triangle inequality only cells that can beat it are visited. Blocks are
-    multiplied inside tasks, each returning its k best, never its pairs.
+    The index is cut into about sqrt(n) cells around pivot vectors, found through two levels of pivots, and
+    cells into blocks of bounded size. A first look at one block of the own cell bounds the k-th distance;
+    by the triangle inequality only cells that can beat it are visited. A block goes to the query parts that visit it, by a
+    join on the distinct (block, part) list. Blocks are multiplied inside tasks, each returning its k best, never its pairs.
     """
     import numpy as np
     import pandas as pd
 
     idx, qry = _normalised(index, key, vec), _normalised(queries, key, vec)
+    if n_cells is None:
+        n_cells = min(MOST_CELLS, max(16, math.isqrt(idx.count())))
     pivots = np.array([r["_v"] for r in idx.orderBy(F.xxhash64("_id")).limit(n_cells).collect()])
     if len(pivots) == 0:
         raise ValueError("the index is empty")
+    tops = pivots[:max(1, math.isqrt(len(pivots)))]             # the upper level
+    under = _chords(pivots, tops).argmin(1)
+    own = [np.flatnonzero(under == t) for t in range(len(tops))]
 
     def chord(x):
-        return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :]
-                                  - 2.0 * x @ pivots.T))
+        return _chords(x, pivots)
 
     def assign(batches):
+        # Any cell near by will do: its radius says how far its vectors are.
         for b in batches:
             if len(b):
-                d = chord(np.stack(b["_v"].to_numpy()))
-                yield b.assign(_cell=d.argmin(1).astype("int32"), _dist=d.min(1))
+                x = np.stack(b["_v"].to_numpy())
+                top, cell, dist_ = _chords(x, tops).argmin(1), np.zeros(len(x), "int32"), np.zeros(len(x))
+                for t in np.unique(top):
+                    rows = np.flatnonzero(top == t)
+                    d = _chords(x[rows], pivots[own[t]])
+                    cell[rows], dist_[rows] = own[t][d.argmin(1)], d.min(1)
+                yield b.assign(_cell=cell, _dist=dist_)
 
     cells_schema = T.StructType(idx.select("_id", label, "_v").schema.fields + [
         T.StructField("_cell", T.IntegerType()), T.StructField("_dist", T.DoubleType())])
@@ -231,7 +310,8 @@ def embedding_knn(queries: DataFrame, index: DataFrame, k: int, *, key: str = "v
     def search(q: DataFrame, ix: DataFrame) -> DataFrame:
         # A query part and an index block have at most _BLOCK expected rows each.
         qp = q.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(q_parts)).cast("int"))
-        ip = ix.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+        asked = qp.select(F.col("_block").alias("_b"), F.col("_part").alias("_p")).distinct()
+        ip = ix.join(asked, F.col("_block") == F.col("_b")).select("_id", label, "_v", "_block", F.col("_p").alias("_part"))
         return qp.groupBy("_block", "_part").cogroup(ip.groupBy("_block", "_part")).applyInPandas(best, found)
 
     base = qry.select("_id", "_v")
@@ -249,18 +329,3 @@ def embedding_knn(queries: DataFrame, index: DataFrame, k: int, *, key: str = "v
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         F.col("_q").alias(key), F.col("rank").cast("long").alias("rank"), F.col("_id").alias("neighbour"),
         F.col("_label").alias(label), F.col("_sim").alias("similarity"))
-
-
-def embedding_knn_approx(queries: DataFrame, index: DataFrame, radius: float, *, key: str = "vec_id",
-                         vec: str = "embedding", bucket: float = 0.5, tables: int = 4) -> DataFrame:
-    """Approximate form: locality-sensitive hashing join within a Euclidean radius."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def prep(df: DataFrame) -> DataFrame:
-        return _normalised(df, key, vec).select(F.col("_id").alias(key), array_to_vector("_v").alias("v"))
-
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket,
-                                        numHashTables=tables, seed=42).fit(prep(index))
-    return model.approxSimilarityJoin(prep(queries), prep(index), radius, "distance").select(
-        F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{key}").alias("neighbour"), "distance")

@@ -384,7 +384,7 @@ def deterministic_subset(images: DataFrame, *, sessions=None, articles=None, tie
     """Selected images in (session, sha) order, the first n; n = 0 means none.
 
     The size of the subset is the feature asked for. Sessions and articles are
-    frames with the wanted keys.
+    frames with the wanted keys. A selection that hits no image is an error: an empty run must not look green.
     """
     out = images
     if sessions is not None:
@@ -393,4 +393,9 @@ def deterministic_subset(images: DataFrame, *, sessions=None, articles=None, tie
         out = out.join(articles.select("article"), "article", "left_semi")
     if tier == 2:
         out = out.where("tier >= 2")
-    return out.orderBy("session", KEY).limit(n) if n is not None else out
+    if n is not None:
+        out = out.orderBy("session", KEY).limit(n)
+    empty = F.raise_error(F.lit("the selection (sessions, articles, tier, subset) hits no image")).cast("boolean")
+    found = out.limit(1).agg(F.count(F.lit(1)).alias("_found"))                   # a single row
+    guard = found.where(F.when(F.col("_found") == 0, empty).otherwise(F.lit(False)))
+    return out.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields]))

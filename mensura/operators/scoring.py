@@ -17,7 +17,8 @@ from .. import constants as C
 from ..functions import distances as dist
 from ..functions.judge import decide
 from ..params import Params
-from .joins import prefilter, prefilter_kills
+from .enroll import vector_lengths as enroll_lengths
+from .joins import kill_summary, prefilter
 
 RID = "report_id"
 
@@ -33,9 +34,31 @@ def attach_stats(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     return pairs.join(stats, "article_number", "left")
 
 
-def feature_distances(pairs: DataFrame, features: Sequence[str] = C.ALL_FEATURES) -> DataFrame:
-    """Adds per feature d_ (distance), se_ (enroll spread), loc_, mv_ and ref_."""
-    has = F.col("n_shots").isNotNull()
+def vector_lengths(stats: DataFrame) -> dict[str, int]:
+    """The longest prototype of each vector feature, by its measurement column. The table has a row per article."""
+    found = enroll_lengths(stats, [f"p_{f}" for f in C.PROTO_FEATURES])
+    return {dist.REGISTRY[f][0]: found[f"p_{f}"] for f in C.PROTO_FEATURES}
+
+
+def with_roots(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Histogram columns replaced by their square roots, with the mass beside them (``_mass_``)."""
+    return rows.withColumns({f"_mass_{c}": F.when(F.size(c) > 0, dist.mass(F.col(c))) for c in columns.values()}
+                            | {c: dist.roots(F.col(c)) for c in columns.values()})
+
+
+def _of_roots(f: str, n: int | None) -> Column:
+    src, p = dist.REGISTRY[f][0], f"p_{f}"
+    return dist.by_length(F.col(src), F.col(p), n, lambda k: dist.bhattacharyya_of_roots(
+        F.col(src), F.col(f"_mass_{src}"), F.col(p), F.col(f"_mass_{p}"), k))
+
+
+def feature_distances(pairs: DataFrame, features: Sequence[str] = C.ALL_FEATURES,
+                      lengths: dict[str, int] | None = None, rooted: bool = False) -> DataFrame:
+    """Adds per feature d_ (distance), se_ (enroll spread), loc_, mv_ and ref_; vectors are dropped.
+
+    ``lengths``: usual length of the vector columns. ``rooted``: histograms came through ``with_roots``.
+    """
+    has, lengths = F.col("n_shots").isNotNull(), lengths or {}
     cols: dict[str, Column] = {"has_references": has}
     for f in features:
         if f in C.SCALAR_FEATURES:
@@ -51,23 +74,32 @@ def feature_distances(pairs: DataFrame, features: Sequence[str] = C.ALL_FEATURES
             cols[f"ref_{f}"] = F.when(d.isNotNull(), ref)
             cols[f"loc_{f}"] = F.when(d.isNotNull(), ref)
         else:
-            d = dist.proto_distance(f, F.col(dist.REGISTRY[f][0]), F.col(f"p_{f}"))
+            src = dist.REGISTRY[f][0]
+            d = (_of_roots(f, lengths.get(src)) if rooted and f in C.HIST_FEATURES
+                 else dist.proto_distance(f, F.col(src), F.col(f"p_{f}"), lengths.get(src)))
         cols[f"d_{f}"] = d
         cols[f"se_{f}"] = F.when(d.isNotNull(), F.coalesce(F.col(f"s_{f}"), F.lit(0.0)))
     out = pairs.withColumns(cols)
     out = out.withColumns({f"loc_{f}": F.col(f"d_{f}") for f in features
                            if f in C.PROTO_FEATURES})
     vectors = {src for src, _ in dist.REGISTRY.values()} | {f"p_{f}" for f in C.PROTO_FEATURES}
-    return out.drop(*[c for c in vectors if c in out.columns])
+    return out.drop(*[c for c in out.columns if c in vectors or c.startswith("_mass_")])
 
 
 def candidate_rows(measured: DataFrame, articles: DataFrame, stats: DataFrame,
-                   params: Params | Sequence[Params]) -> DataFrame:
-    """Prefilter, stats and distances for the widest tolerance of the variants."""
+                   params: Params | Sequence[Params], lengths: dict[str, int] | None = None) -> DataFrame:
+    """Prefilter, stats and distances for the widest tolerance of the variants.
+
+    The catalogue carries the statistics into the band join, so pairs are never exchanged by article and
+    no vector leaves that join: distances are taken in it. Histograms go in as square roots, made once a
+    side. ``lengths`` (see ``vector_lengths``) compiles the vector terms to plain arithmetic.
+    """
     ps = [params] if isinstance(params, Params) else list(params)
     tol = max(p.tol_mm for p in ps)
-    pairs = prefilter(measured, articles, tol, ps[0].area_tol_pct, ps[0].camera_height_mm)
-    return feature_distances(attach_stats(pairs, stats))
+    known = with_roots(stats, {f: f"p_{f}" for f in C.HIST_FEATURES})
+    seen = with_roots(measured, {f: dist.REGISTRY[f][0] for f in C.HIST_FEATURES})
+    pairs = prefilter(seen, attach_stats(articles, known), tol, ps[0].area_tol_pct, ps[0].camera_height_mm)
+    return feature_distances(pairs, lengths=lengths, rooted=True)
 
 
 def feature_rows(rows: DataFrame, features: Sequence[str] = C.ALL_FEATURES) -> DataFrame:
@@ -277,15 +309,15 @@ def summarise(scored: DataFrame, over: Sequence[str] = (RID, "variant"),
 
 def identify(measured: DataFrame, articles: DataFrame, stats: DataFrame,
              params: Params | None = None, *, nested: bool = True,
-             kill_reach_mm: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+             kills: bool = False, keep: Sequence[str] = (), lengths: dict[str, int] | None = None) -> DataFrame:
     """Measurements to decisions, one report row each.
 
     ``keep`` are measurement columns carried to the report. A measurement without a
-    candidate is a reject. With ``kill_reach_mm`` the prefilter kills up to that far
-    outside the tolerance are attached as ``prefiltered``.
+    candidate is a reject. With ``kills`` the near kills and, where ``keep`` has a label, the own
+    article's kill at any distance are attached as ``prefiltered``, with exact counts of all kills.
     """
     params = params or Params()
-    rows = candidate_rows(measured, articles, stats, params)
+    rows = candidate_rows(measured, articles, stats, params, lengths)
     found = summarise(score(rows, params), nested=nested).drop("variant")
     out = measured.select(RID, *keep).join(found, RID, "left")
     out = out.withColumns({
@@ -294,14 +326,11 @@ def identify(measured: DataFrame, articles: DataFrame, stats: DataFrame,
         "n_candidates": F.coalesce("n_candidates", F.lit(0)).cast("long")})
     if nested:
         out = out.withColumn("message", message(params))
-    if kill_reach_mm is not None:
-        kills = prefilter_kills(measured.select(RID, "circle_diameter_mm", "area_mm2"), articles,
-                                params.tol_mm, params.area_tol_pct, params.camera_height_mm,
-                                kill_reach_mm)
-        item = F.struct("article_number", "name", "reason", "geometry_error_mm", "tolerance_mm",
-                        "over_tolerance_mm", "area_error_pct")
-        lists = kills.groupBy(RID).agg(F.sort_array(F.collect_list(item)).alias("prefiltered"))
-        out = out.join(lists, RID, "left")
+    if kills:
+        label = "label" if "label" in keep else None
+        seen = measured.select(RID, "circle_diameter_mm", "area_mm2", *([label] if label else []))
+        out = out.join(kill_summary(seen, articles, params.tol_mm, params.area_tol_pct,
+                                    params.camera_height_mm, RID, label), RID, "left")
     return out
 
 

@@ -30,23 +30,33 @@ def _defaults(df: DataFrame) -> DataFrame:
 
 
 def load_reports(spark: SparkSession, folder: str, *, sort_by: str = "mtime",
-                 limit: int | None = None) -> DataFrame:
-    """Report JSON files of a folder; unreadable and foreign files are skipped.
+                 limit: int | None = None, layout: str = "file") -> DataFrame:
+    """Report JSON of a folder; unreadable and foreign documents are skipped.
 
-    Newest first by write time or file name, the limit applies after sorting. The
-    actual path replaces the stored one. A file without a decision is no report.
+    Newest first by write time or name, the limit applies after sorting. ``layout``: ``file`` is one report a file, whose actual path
+    replaces the stored one; ``lines`` is one report a line, whose name is that of its stored path (else of its image).
+    Lines are written when their file is, so ties by time go by name. A document without a decision is no report.
     """
     if sort_by not in ("mtime", "name"):
         raise ValueError(f"sort_by must be 'mtime' or 'name', not {sort_by!r}.")
+    if layout not in ("file", "lines"):
+        raise ValueError(f"layout must be 'file' or 'lines', not {layout!r}.")
     schema = T.StructType(schemas.REPORT.fields + [T.StructField(_BAD, T.StringType())])
-    raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", _BAD).option("pathGlobFilter", "*.json").json(folder))
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD)
+    if layout == "file":
+        reader = reader.option("multiLine", True).option("pathGlobFilter", "*.json")
+    raw = reader.json(folder)
     out = raw.select("*", F.col("_metadata.file_name").alias("file_name"),
                      F.col("_metadata.file_path").alias("_path"),
                      F.col("_metadata.file_modification_time").alias("file_time"))
     out = out.where(F.col(_BAD).isNull() & F.col("decision").isNotNull()).drop(_BAD)
-    out = _defaults(out).withColumn("report_path", F.col("_path")).drop("_path")
-    out = out.withColumn("stem", F.regexp_replace("file_name", r"\.json$", ""))
+    out = _defaults(out)
+    if layout == "file":
+        out = out.withColumn("report_path", F.col("_path"))
+    else:
+        own = F.regexp_extract(F.coalesce("report_path", "image_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
+        out = out.withColumn("file_name", F.when(own != "", F.concat(own, F.lit(".json"))).otherwise(F.col("file_name")))
+    out = out.drop("_path").withColumn("stem", F.regexp_replace("file_name", r"\.json$", ""))
     if limit is not None:
         key = "file_time" if sort_by == "mtime" else "file_name"
         out = out.orderBy(F.desc(key), F.desc("file_name")).limit(limit)

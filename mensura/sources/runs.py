@@ -59,7 +59,14 @@ def parse_deltas(texts: DataFrame) -> DataFrame:
             e["expected"]["max_z_winner"].alias("max_z_winner")).alias("expected"))
 
 
-def load_accepted_deltas(spark: SparkSession, folder: str) -> DataFrame:
+def load_accepted_deltas(spark: SparkSession, folder: str, bundled: bool = False) -> DataFrame:
+    """Accepted deltas of all JSON files of a folder; of an image in several, the later file name wins.
+
+    ``bundled``: a folder written in pieces, ``source=<file name>``, with one JSON document a line.
+    """
+    if bundled:
+        raw = spark.read.text(folder)
+        return parse_deltas(raw.select(F.col("source").alias("file_name"), "value"))
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
     return parse_deltas(raw.select(F.col("_metadata.file_name").alias("file_name"), "value"))
 
@@ -177,15 +184,29 @@ def gap_check(slots: DataFrame) -> DataFrame:
         (F.min("slot") == 0) & (F.max("slot") == F.count_distinct("slot") - 1)).alias("complete"))
 
 
-def open_sessions(slots: DataFrame, heads: DataFrame, now) -> DataFrame:
-    """Open sessions with shot count and age in seconds, newest first in ``ts``.
+FINGERPRINT = ("calibration_sha256", "background_sha256", "features_cfg_sha256")
+
+
+def open_sessions(slots: DataFrame, heads: DataFrame, now, *, states: DataFrame | None = None,
+                  fingerprint: dict[str, str] | None = None, article: str | None = None) -> DataFrame:
+    """Open sessions, newest (``ts``) first, with shot count, age in seconds and whether they can go on.
 
-    ``heads`` has session, article_number, ts, target, last_ts.
+    ``heads`` has session, article_number, ts, target, last_ts, and with ``fingerprint`` (the present hashes) the columns of
+    FINGERPRINT: fingerprint_ok is true where all are equal, and false without a present fingerprint. ``states``
+    is ``session_state``; a session of no shots is open. ``article`` keeps the sessions of one article.
     """
     n = slots.groupBy("session").agg(F.count_distinct("slot").alias("n_shots"))
     age = F.greatest(F.lit(0.0), now.cast("timestamp").cast("double") - F.col("last_ts").cast("timestamp").cast("double"))
-    return heads.join(n, "session", "left").select(
-        "session", "article_number", "ts", "target", F.coalesce("n_shots", F.lit(0)).alias("n_shots"), age.alias("age_s"))
+    same = F.lit(bool(fingerprint))
+    for key in FINGERPRINT if fingerprint else ():
+        same = same & F.col(key).eqNullSafe(F.lit(fingerprint.get(key)))
+    j = (heads if article is None else heads.where(F.col("article_number") == article)).join(n, "session", "left")
+    state = F.lit("offen")
+    if states is not None:
+        j = j.join(states.select("session", F.col("state").alias("_state")), "session", "left")
+        state = F.coalesce("_state", state)
+    return j.select("session", "article_number", "ts", "target", F.coalesce("n_shots", F.lit(0)).alias("n_shots"), age.alias("age_s"),
+                    state.alias("state"), same.alias("fingerprint_ok")).orderBy(F.desc("ts"))
 
 
 def resolve_session(requests: DataFrame, sessions: DataFrame) -> DataFrame:

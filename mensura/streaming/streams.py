@@ -7,11 +7,10 @@ to driver memory; every query has a checkpoint, so it survives lost executors.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import enroll, scoring
@@ -34,8 +33,14 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
                  each: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
     """Drain what is available into a Parquet table and read that back.
 
-    ``each(batch, id, path)`` replaces the plain append, for upserts per batch.
+    ``each(batch, id, path)`` replaces the plain append, for work per batch.
     """
+    return run_counted(stream, name, mode, each)[0]
+
+
+def run_counted(stream: DataFrame, name: str, mode: str = "append",
+                each: Callable[[DataFrame, int, str], None] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """``run_to_table`` and what the run reports of its state: rows dropped as late, state rows left, most at once."""
     spark = stream.sparkSession
     path, check = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
@@ -45,70 +50,61 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
         w = w.foreachBatch(lambda batch, i: each(batch, i, path))
     q = w.start()
     q.awaitTermination()
-    return spark.read.parquet(path)
+    state = [o for p in q.recentProgress for o in p["stateOperators"]]
+    counts = {"late": sum(o["numRowsDroppedByWatermark"] for o in state),
+              "state_rows": state[-1]["numRowsTotal"] if state else 0, "most_state_rows": max((o["numRowsTotal"] for o in state), default=0)}
+    return spark.read.parquet(path), counts
 
 
-def snapshot(batch: DataFrame, batch_id: int, path: str) -> None:
-    """A complete-mode result replaces the one before: one folder per batch."""
-    batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
+def ledger(batch: DataFrame, batch_id: int, path: str) -> None:
+    """The rows of a batch in a folder of its own, replaced if the batch is run again."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def latest_snapshot(table: DataFrame) -> DataFrame:
-    newest = table.agg(F.max("_batch").alias("_batch"))
-    return table.join(F.broadcast(newest), "_batch").drop("_batch")
+    """The newest complete-mode result of a ledger."""
+    newest = table.agg(F.max("batch_id").alias("batch_id"))
+    return table.join(F.broadcast(newest), "batch_id").drop("batch_id")
 
 
 def stream_identify(measured: DataFrame, articles: DataFrame, stats: DataFrame, params: Params) -> DataFrame:
-    """Score each micro-batch of measurements against the current catalogue."""
-    def each(batch: DataFrame, _: int, path: str) -> None:
-        scoring.identify(batch, articles, stats, params, nested=False).drop("ranking").write.mode("append").parquet(path)
+    """Score each micro-batch of measurements against the current catalogue; a batch that is run again replaces itself."""
+    lengths = scoring.vector_lengths(stats)
 
-    return run_to_table(measured, "identified", each=each)
+    def each(batch: DataFrame, i: int, path: str) -> None:
+        ledger(scoring.identify(batch, articles, stats, params, nested=False, lengths=lengths).drop("ranking"), i, path)
 
+    return run_to_table(measured, "identified", each=each).drop("batch_id")
 
-def stream_enroll(shots: DataFrame, references_path: str) -> DataFrame:
-    """Append each batch of shots and recompute the statistics of touched articles.
 
-    Returns the newest statistics row per article and feature.
-    """
-    def each(batch: DataFrame, i: int, path: str) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("append").parquet(references_path)
-        touched = batch.select(enroll.ARTICLE).distinct()
-        every = spark.read.parquet(references_path).join(touched, enroll.ARTICLE, "left_semi")
-        enroll.stats_long(every).withColumn("_batch", F.lit(i)).write.mode("append").parquet(path)
+def enroll_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """What a batch of shots adds to the statistics: moment rows per article and the Hu vectors, as a ledger entry."""
+    ledger(enroll.moments(batch), batch_id, f"{path}/moments")
+    ledger(batch.select(enroll.ARTICLE, "hu_moments"), batch_id, f"{path}/hu")
 
-    table = run_to_table(shots, "enrolled", each=each)
-    cols = [c for c in table.columns if c not in (enroll.ARTICLE, "feature")]
-    best = table.groupBy(enroll.ARTICLE, "feature").agg(F.max_by(F.struct(*cols), "_batch").alias("r"))
-    return best.select(enroll.ARTICLE, "feature", "r.*").drop("_batch")
 
+def enrolled(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics (long form) of all shots that the ledger under ``path`` holds.
 
-_LATEST = T.StructType([T.StructField("session", T.LongType()), T.StructField("slot", T.LongType()),
-                        T.StructField("line_no", T.LongType()), T.StructField("d_mm", T.DoubleType())])
-_STATE = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("d_mm", T.DoubleType())])
+    Moment rows of all batches are merged; a batch costs what it holds, never a pass over earlier shots.
+    The distance of Hu vectors has no moments (it is a sum of absolute values), so those, seven numbers a shot, are kept.
+    """
+    return enroll.merged(spark.read.parquet(f"{path}/moments"), spark.read.parquet(f"{path}/hu"))
 
 
-def stream_journal_latest(journal: DataFrame) -> DataFrame:
-    """Latest line per (session, slot): one small state row per slot, updated in place.
+def stream_enroll(shots: DataFrame, path: str) -> DataFrame:
+    """Take batches of shots into the ledger under ``path``; returns the statistics of all of them."""
+    spark = shots.sparkSession
+    q = (shots.writeStream.option("checkpointLocation", scratch_path(spark, "enrolled-state")).trigger(availableNow=True)
+         .foreachBatch(lambda batch, i: enroll_batch(batch, i, path)).start())
+    q.awaitTermination()
+    return enrolled(spark, path)
 
-    Rows of a key arrive as Arrow batches and only the maximum is kept, so a retaken
-    slot with very many lines needs no more memory than any other.
-    """
-    import pandas as pd
-
-    def latest(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        for b in batches:
-            row = b.loc[b["line_no"].idxmax()]
-            if best is None or int(row["line_no"]) > best[0]:
-                best = (int(row["line_no"]), float(row["d_mm"]))
-        state.update(best)
-        yield pd.DataFrame({"session": [key[0]], "slot": [key[1]], "line_no": [best[0]], "d_mm": [best[1]]})
-
-    keyed = journal.groupBy("session", "slot").applyInPandasWithState(
-        latest, _LATEST, _STATE, "update", "NoTimeout")
-    table = run_to_table(keyed, "journal", mode="update", each=snapshot)
+
+def stream_journal_latest(journal: DataFrame) -> DataFrame:
+    """Latest line per (session, slot): one state row per slot, the line of the highest number."""
+    keyed = journal.groupBy("session", "slot").agg(F.max("line_no").alias("line_no"), F.max_by("d_mm", "line_no").alias("d_mm"))
+    table = run_to_table(keyed, "journal", mode="update", each=ledger)
     # one row per slot and batch it changed in: the highest line is the newest
     return table.groupBy("session", "slot").agg(F.max("line_no").alias("line_no"),
                                                 F.max_by("d_mm", "line_no").alias("d_mm"))
@@ -121,7 +117,11 @@ def dedup(captures: DataFrame, sha: str, ts: str, watermark: str = "30 days") ->
 
 def decision_rates(reports: DataFrame, ts: str, decision: str, window: str = "1 day",
                    slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    """Counts per decision in tumbling (or sliding) windows; late rows are dropped."""
+    """Counts per decision in tumbling (or sliding) windows.
+
+    In append mode a window is put out once, when the watermark has passed its end, and its state goes; rows for a window that is
+    out already are dropped (``run_counted`` tells how many). Complete mode keeps all windows, and all their state.
+    """
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     return reports.withWatermark(ts, watermark).groupBy(w.alias("w"), F.col(decision).alias("decision")).agg(
         F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "decision", "n")
@@ -129,7 +129,7 @@ def decision_rates(reports: DataFrame, ts: str, decision: str, window: str = "1
 
 def enroll_sessions(shots: DataFrame, key: str, ts: str, gap: str = "6 hours", target: int = 8,
                     watermark: str = "1 hour") -> DataFrame:
-    """Shots grouped into sessions per article by inactivity, with count and age."""
+    """Shots grouped into sessions per article by inactivity, with count and age. Modes as in ``decision_rates``."""
     w = F.session_window(ts, gap)
     return shots.withWatermark(ts, watermark).groupBy(F.col(key), w.alias("w")).agg(
         F.count(F.lit(1)).alias("n_shots"), F.max(ts).alias("last_ts")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mensura import Params, constants as C
 from mensura.functions import compare, distances, judge, sizes, text
-from mensura.operators import enroll, gates, geometry, joins, loo, order_stats as O, pairs, ranks, regression, scoring, stats, whatif
+from mensura.operators import analysis, enroll, gates, geometry, joins, loo, order_stats as O, pairs, ranks, regression, scoring, stats, whatif
 from mensura.sources import master, reports as SR, runs
 from mensura.streaming import streams
 
@@ -177,6 +177,14 @@ def test_hu_spread_matches_brute_force(spark):
             assert got[f"{a}{i}"] == pytest.approx(math.sqrt((d ** 2).mean()), abs=1e-9)
 
 
+def kept(df):
+    """A written table, as statistics are kept."""
+    from mensura.session import scratch_path
+    path = scratch_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _measure(spark):
     arts = spark.createDataFrame([("A", "a", 100.0), ("B", "b", 103.0), ("C", "c", None)], "article_number string, name string, diameter_mm double").withColumns(
         {c: F.lit(None).cast("double") for c in ("width_mm", "depth_mm", "height_mm")})
@@ -191,7 +199,7 @@ def _measure(spark):
 
 def test_identify_boundaries(spark):
     arts, shots, m = _measure(spark)
-    out = {r.report_id: r for r in scoring.identify(m, arts, enroll.stats_wide(shots), Params(), kill_reach_mm=50.0).collect()}
+    out = {r.report_id: r for r in scoring.identify(m, arts, kept(enroll.stats_wide(shots)), Params(), kills=True).collect()}
     assert [c.article_number for c in out[1].candidates] == ["A", "B"] and out[1].decision == "ambiguous"
     assert [c.article_number for c in out[2].candidates] and len(out[2].candidates) == 2     # 6.0 mm off is still in
     assert [c.article_number for c in out[3].candidates] == ["B"]
@@ -203,7 +211,7 @@ def test_identify_boundaries(spark):
 
 def test_mahalanobis_identity_is_the_baseline(spark):
     arts, shots, m = _measure(spark)
-    rows = scoring.candidate_rows(m, arts, enroll.stats_wide(shots), Params())
+    rows = scoring.candidate_rows(m, arts, kept(enroll.stats_wide(shots)), Params())
     eye = {a: {b: float(a == b) for b in C.ALL_FEATURES} for a in C.ALL_FEATURES}
     full = rows.where("has_references")
     a = {r.report_id: r.log_score for r in scoring.score(full, Params()).collect()}
@@ -211,11 +219,35 @@ def test_mahalanobis_identity_is_the_baseline(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 for k in a)
 
 
-def test_kills_with_and_without_reach(spark):
+def test_kills_of_all_distances(spark):
     arts, _, m = _measure(spark)
-    every = joins.prefilter_kills(m, arts, 6.0, 12.0).select("report_id", "article_number")
-    near = joins.prefilter_kills(m, arts, 6.0, 12.0, reach_mm=1e6).select("report_id", "article_number")
-    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, near.collect())) == [(3, "A"), (4, "A"), (4, "B")]
+    every = joins.all_kills(m, arts, 6.0, 12.0).select("report_id", "article_number")
+    assert sorted(map(tuple, every.collect())) == [(3, "A"), (4, "A"), (4, "B")]
+    listed = joins.prefilter_kills(m, arts, 6.0, 12.0).select("report_id", "article_number")
+    assert sorted(map(tuple, listed.collect())) == [(3, "A")]
+    named = m.withColumn("label", F.when(F.col("report_id") == 4, "B").otherwise("A"))
+    own = joins.prefilter_kills(named, arts, 6.0, 12.0, label="label").select("report_id", "article_number", "over_tolerance_mm")
+    assert sorted(map(tuple, own.collect())) == [(3, "A", 0.01), (4, "B", 391.0)]
+    odd = named.unionByName(named.limit(1).withColumn("report_id", F.lit(9)).withColumn("circle_diameter_mm", F.lit(None).cast("double")))
+    sums = {r.report_id: r for r in joins.kill_summary(odd, arts, 6.0, 12.0, label="label").collect()}
+    assert {k: (r.n_kills, r.n_kills_diameter, r.n_kills_area, r.n_kills_far, [x.article_number for x in r.prefiltered]) for k, r in sums.items()} == {
+        1: (0, 0, 0, 0, []), 2: (0, 0, 0, 0, []), 3: (1, 1, 0, 0, ["A"]), 4: (2, 2, 0, 2, ["B"]), 9: (None, None, None, None, [])}
+    assert joins.kill_summary(named.limit(0), arts, 6.0, 12.0).count() == 0
+    bare = joins.kill_summary(named, arts.limit(0), 6.0, 12.0).collect()
+    assert {r.n_kills for r in bare} == {0} and len(bare) == 4
+
+
+def test_own_kills_reach_the_funnel(spark):
+    """The own article lies 4 and 12 mm beyond the tolerance: near and far."""
+    arts, shots, m = _measure(spark)
+    base = m.where("report_id = 1").drop("report_id", "circle_diameter_mm", "area_mm2")
+    seen = spark.createDataFrame([(1, 100.0), (2, 110.0), (3, 118.0)], "report_id int, circle_diameter_mm double").crossJoin(base).withColumns(
+        {"label": F.lit("A"), "area_mm2": F.pow(F.col("circle_diameter_mm"), 2.0) * math.pi / 4})
+    out = kept(scoring.identify(kept(seen), arts, kept(enroll.stats_wide(shots)), Params(), keep=["label"], kills=True))
+    assert {r.report_id: [(k.article_number, k.over_tolerance_mm) for k in r.prefiltered] for r in out.collect()} == {
+        1: [], 2: [("A", 4.0), ("B", 1.0)], 3: [("A", 12.0)]}
+    funnel = analysis.prefilter_funnel(out).first()
+    assert (funnel.rank_1, funnel.kill_near, funnel.kill_far) == (1, 1, 1)
 
 
 def test_params_reject_zero_weights():
@@ -366,23 +398,152 @@ def test_fingerprint_ignores_order_and_split(spark):
 
 # --- streaming --------------------------------------------------------------
 
-def test_late_rows_are_dropped(spark, tmp_path):
-    schema = "at timestamp, decision string"
-    src = tmp_path / "in"
-    for i, rows in enumerate(([("2026-01-01 10:00:00", "accept")], [("2026-01-05 10:00:00", "accept")], [("2026-01-06 10:00:00", "accept")],
-                              [("2026-01-01 11:00:00", "reject")], [("2026-01-09 10:00:00", "accept")])):
-        spark.createDataFrame(rows, "t string, decision string").selectExpr("cast(t as timestamp) as at", "decision").coalesce(1).write.mode("append").parquet(str(src / f"f{i}"))
-    files = [str(src / f"f{i}") for i in range(5)]
+def stream_files(spark, folder, rows, schema):
+    """One file a row list, in the order given."""
+    import glob
+    import os
     import shutil
-    flat = tmp_path / "flat"
-    flat.mkdir()
-    for i, f in enumerate(files):
-        import glob
-        import os
-        target = flat / f"{i}.parquet"
-        shutil.copy(glob.glob(f + "/*.parquet")[0], target)
+    folder.mkdir(parents=True)
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / f"w{i}"))
+        target = folder / f"{i}.parquet"
+        shutil.copy(glob.glob(str(folder / f"w{i}" / "*.parquet"))[0], target)
         os.utime(target, (1000 + i, 1000 + i))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
-    out = streams.run_to_table(streams.decision_rates(stream, "at", "decision", "1 day", watermark="1 hour"), "late").collect()
-    got = {(str(r.start)[:10], r.decision) for r in out}
-    assert {("2026-01-01", "accept"), ("2026-01-05", "accept")} <= got and ("2026-01-01", "reject") not in got
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "[0-9]*.parquet").parquet(str(folder))
+
+
+def at(text):
+    from datetime import datetime
+    return datetime.fromisoformat(text)
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    rows = [[(at("2026-01-01 10:00:00"), "accept")], [(at("2026-01-05 10:00:00"), "accept")], [(at("2026-01-06 10:00:00"), "accept")],
+            [(at("2026-01-01 11:00:00"), "reject")], [(at("2026-01-09 10:00:00"), "accept")]]
+    stream = stream_files(spark, tmp_path / "in", rows, "at timestamp, decision string")
+    out, state = streams.run_counted(streams.decision_rates(stream, "at", "decision", "1 day", watermark="1 hour"), "late")
+    got = sorted((str(r.start)[:10], r.decision, r.n) for r in out.collect())
+    assert got == [("2026-01-01", "accept", 1), ("2026-01-05", "accept", 1), ("2026-01-06", "accept", 1)]
+    assert state["late"] == 1 and state["state_rows"] == 1 and state["most_state_rows"] <= 3
+
+
+def test_session_state_is_dropped(spark, tmp_path):
+    rows = [[(i % 7, at(f"2026-01-{day:02d} 10:0{j}:00")) for i in range(7) for j in range(3)] for day in range(1, 15)]
+    stream = stream_files(spark, tmp_path / "in", rows, "article long, at timestamp")
+    out, state = streams.run_counted(streams.enroll_sessions(stream, "article", "at", target=3), "sessions")
+    assert out.count() == 13 * 7 and out.where("complete and n_shots = 3").count() == 13 * 7
+    assert state["most_state_rows"] <= 21
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    rng = random.Random(2)
+    vec = lambda n: [rng.random() for _ in range(n)]
+    rows = [(f"A{i % 3}", 50 + rng.random(), 0.9, 0.95, vec(3), vec(3), vec(5), vec(5), vec(7)) for i in range(60)]
+    shots = spark.createDataFrame(rows, "article_number string, circle_diameter_mm double, circularity double, solidity double, lab_center array<double>, "
+                                        "lab_rim array<double>, hs_hist_center array<double>, hs_hist_rim array<double>, hu_moments array<double>")
+    path = str(tmp_path / "ledger")
+    parts = shots.randomSplit([0.3, 0.3, 0.4], seed=1)
+    for i in (0, 1, 2, 1):                          # the second batch comes again
+        streams.enroll_batch(parts[i], i, path)
+    got = {(r.article_number, r.feature): r for r in streams.enrolled(spark, path).collect()}
+    want = {(r.article_number, r.feature): r for r in enroll.stats_long(shots).collect()}
+    assert got.keys() == want.keys() and len(got) == 24
+    for key, w in want.items():
+        g = got[key]
+        assert g.n == w.n == 20 and (g.mean is None) == (w.mean is None)
+        assert np.allclose([g.mean or 0, g.std, *(g.proto or [])], [w.mean or 0, w.std, *(w.proto or [])], atol=1e-9), key
+    m = spark.createDataFrame([(1, 50.0)], "report_id int, x double")
+    for _ in range(2):
+        streams.ledger(m, 0, str(tmp_path / "again"))
+    assert spark.read.parquet(str(tmp_path / "again")).count() == 1
+
+
+# --- radix selection, hulls, pairs -------------------------------------------
+
+def test_codes_keep_the_order_of_doubles(spark):
+    rng = random.Random(6)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 2.0, 4.0, 0.5, 3.0]
+    values += [math.nextafter(2.0 ** e, up) for e in range(-1030, 1024, 7) for up in (0.0, math.inf)] + [rng.uniform(-1, 1) * 10.0 ** rng.randint(-320, 308) for _ in range(4000)]
+    got = {r.x: r.c for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", O.order_code(F.col("x")).alias("c")).collect()}
+    for v, c in got.items():
+        bits = int(np.array(v).view(np.int64))
+        assert c == (0 if v == 0 else bits if bits >= 0 else -(bits & (1 << 63) - 1)), v
+    nan = spark.range(1).select(O.order_code(F.lit(float("nan"))).alias("c")).first().c
+    assert nan > max(got.values())
+
+
+@pytest.mark.parametrize("n, spread", [(1_000_000, 1.0), (200_000, 0.0)])
+def test_selection_in_one_large_group(spark, n, spread):
+    """Distinct values, or two values, in one group; count tables never pass 65,536 rows a group and prefix."""
+    value = (F.xxhash64("id") / 1e12 if spread else (F.col("id") % 2).cast("double"))
+    df = spark.range(n).select(F.lit("g").alias("g"), value.alias("x"))
+    want = np.sort(np.array(df.select("x").toArrow().column(0).to_numpy()))
+    got = O.quantiles(df, ["g"], "x", {"a": O.MEDIAN, "b": O.linear(0.9), "c": O.lower(0.25), "d": O.UPPER_MEDIAN}, count="n").first()
+    assert got.n == n and got.a == np.quantile(want, 0.5) and math.isclose(got.b, np.quantile(want, 0.9), rel_tol=1e-14)
+    assert got.c == want[int(0.25 * (n - 1))] and got.d == want[n // 2]
+    ranks_ = O.value_counts(df.where("id % 50 = 0") if "id" in df.columns else df.limit(20_000), ["g"], "x")
+    rows = sorted((r._value, r._below, r._cnt, r._n) for r in ranks_.collect())
+    below = 0
+    for v, b, c, total in rows:
+        assert b == below
+        below += c
+    assert below == rows[0][3]
+
+
+def test_nth_largest_with_ties_nulls_and_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([None, 1.0, 2.0, 2.0, -3.5, 7.25])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    nth = spark.createDataFrame([("a", 3), ("b", 0), ("c", 9999)], "g string, k int")
+    got = {r.g: r.t for r in O.nth_largest(df, ["g"], "x", nth, "k", "t").collect()}
+    assert got == {"a": sorted((x for g, x in rows if g == "a" and x is not None), reverse=True)[2], "b": None, "c": None}
+
+
+def test_hull_and_diameter(spark):
+    rng = random.Random(5)
+    shapes = {i: [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(rng.randint(1, 40))] for i in range(40)}
+    shapes[40], shapes[41], shapes[42] = [(1.0, 1.0)] * 5, [(float(i), 2.0 * i) for i in range(9)], [(0.0, 0.0), (3.0, 4.0)]
+    shapes[43] = [(float(x), float(y)) for x in range(6) for y in range(6)]
+    df = spark.createDataFrame([(s, i, *p) for s, ps in shapes.items() for i, p in enumerate(ps)], "shape_id int, pos int, x double, y double").repartition(5)
+    got = {r.shape_id: r.diameter for r in geometry.point_set_diameter(df).collect()}
+    for s, ps in shapes.items():
+        assert math.isclose(got[s], max(math.dist(p, q) for p in ps for q in ps), rel_tol=1e-12, abs_tol=1e-12), s
+    corners = {(r.x, r.y) for r in geometry.convex_hull(df.where("shape_id = 43")).collect()}
+    assert corners == {(0.0, 0.0), (0.0, 5.0), (5.0, 0.0), (5.0, 5.0)}
+    assert geometry.point_set_diameter(df.limit(0)).count() == 0
+
+
+def test_diameter_of_a_circle_is_linear(spark):
+    angle = 2 * math.pi * F.col("id") / 5000
+    circle = spark.range(5000).select(F.lit(1).alias("shape_id"), F.col("id").alias("pos"), (F.cos(angle) * 30).alias("x"), (F.sin(angle) * 30).alias("y"))
+    assert math.isclose(geometry.point_set_diameter(circle).first().diameter, 60.0, rel_tol=1e-9)
+
+
+def test_profiles_of_equal_mean_do_not_all_meet(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        shape = [rng.gauss(0, 1) for _ in range(4)]
+        shape = [x - sum(shape) / 4 for x in shape]
+        rows.append((f"A{i:03d}", 5, [shape[j // 8] + 0.001 * rng.random() for j in range(32)], 0.01, False))
+    rows[7] = ("A007", 5, [x + 0.001 for x in rows[6][2]], 0.01, False)
+    prof = spark.createDataFrame(rows, "article_number string, n_profiles int, proto array<double>, sigma double, estimated boolean")
+    full = {(r.a, r.b) for r in pairs.all_pairs(prof).where("d_sigma < 1.6").collect()}
+    assert full == {("A006", "A007")} == {(r.a, r.b) for r in pairs.close_pairs(prof, 1.6).collect()}
+    assert pairs.close_pairs(prof.limit(0), 1.6).count() == 0
+
+
+def test_an_empty_selection_is_an_error(spark):
+    images = spark.createDataFrame([("S1", "a", 2)], "session string, sha8 string, tier int")
+    assert regression.deterministic_subset(images, tier=2, n=5).count() == 1
+    with pytest.raises(Exception, match="hits no image"):
+        regression.deterministic_subset(images, sessions=images.select("session").where("session = 'x'")).collect()
+
+
+def test_delta_files_of_a_folder(spark, tmp_path):
+    one = '{"version":1,"fix_commit":"%s","images":{"%s":{"label":"A","expected":{"decision":"%s"}}}}'
+    (tmp_path / "a.json").write_text(one % ("f1", "s1", "accept"))
+    (tmp_path / "b.json").write_text(one % ("f2", "s1", "reject"))
+    (tmp_path / "c.txt").write_text("no delta")
+    got = runs.load_accepted_deltas(spark, str(tmp_path)).collect()
+    assert [(r.sha8, r.source, r.fix_commit, r.expected.decision) for r in got] == [("s1", "b.json", "f2", "reject")]
