@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .pretokens import TextEncoder
+from .common import slices, text_buffers
+from .pieces import PieceEncoder, bytes_of_ids
 
 BLOCK = 256
 FILE_IDS = 4 << 20
 MEMO = 400_000              # pieces kept in each of two generations
-_LOADED: dict[str, TextEncoder] = {}
+_LOADED: dict[str, PieceEncoder] = {}
 
 
 def pack(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, ...]:
@@ -122,14 +123,13 @@ def from_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else d for d, x in zip(ids.tolist(), null)], counts, unpack(n, *parts, words)
 
 
-def encoder(path: str) -> TextEncoder:
-    """The tokenizers library behind the piece cache, once per worker."""
+def encoder(path: str) -> PieceEncoder:
+    """The tokenizers library, as its file sets it up, behind the piece memo, once per worker."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _LOADED[path] = TextEncoder(lambda t: array("I", tok.encode(t, add_special_tokens=False).ids).tobytes(), MEMO)
+        _LOADED[path] = PieceEncoder(lambda t: tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, bytes_of_ids(tok), MEMO)
     return _LOADED[path]
 
 
@@ -166,15 +166,16 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
 
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = texts(text.as_py()) + end
-                held[0].append(doc)
-                held[1].append(len(packed) // 4)
-                held[2].append(packed)
-                size += len(packed) // 4
-                if size >= FILE_IDS:
-                    yield flush()
-                    seq, size = seq + 1, 0
+            for x, y in slices(text_buffers(batch.column(1))[1]):
+                given = [t or "" for t in batch.column(1).slice(x, y - x).to_pylist()]
+                for doc, packed in zip(batch.column(0).slice(x, y - x).to_pylist(), texts.many(given, lead=False)):
+                    held[0].append(doc)
+                    held[1].append(len(packed) // 4 + 1)
+                    held[2] += [packed, end]
+                    size += len(packed) // 4 + 1
+                    if size >= FILE_IDS:
+                        yield flush()
+                        seq, size = seq + 1, 0
         if held[0]:
             yield flush()
 
