@@ -1,21 +1,25 @@
 """Quotation linking: quoted passages lead to the messages they come from.
 
 A message's lines are parsed by their ``>`` marks. Lines without one are its own text; a run
-of lines of the same level is a quoted passage. Every line is normalised (lower case, white
-space collapsed, marks removed) and hashed. A quoted line is joined to the latest
-earlier message of the conversation that has the line as its own text; the original of a passage is the message
-that most of its lines lead to (the later one on a tie). A message replies to the original
+of lines of the same level is a quoted passage, whose lines are joined, as mail clients wrap them anew. A passage is
+the hashes of its runs of SHINGLE words (lower case, without marks and punctuation); one of fewer words is the hash of
+them all. An own text has the hashes of its runs of words between quotes, and of each of its lines, paragraphs and runs that is
+shorter. Each hash of a passage is joined to the latest earlier message of the conversation that has it as its own; the
+original of the passage is the message that most of its hashes lead to (the later one on a tie), if they
+are SHARE of them or more, so a quote may be cut or edited in part. A message replies to the original
 of its first linked passage on the lowest level. Replies make threads; the conversation is put in the order of
 threads (by the turn of their first message, then by turn) and its texts lose their quotes.
 
-The join runs along turns (a last value over hash groups), not over pairs, so a
-line that many messages share costs no more than its rows; groups are (conversation,
-line), so one huge conversation spreads over tasks. Positions come from range partitions.
+Only conversations that hold a quote are hashed. The join runs along turns (a last value over hash groups), not over pairs, so
+words that many messages share cost no more than their rows; groups are (conversation, hash, SPAN turns), and what earlier
+spans hold is one row each, so neither a huge conversation nor a common passage meets in one task. Positions come
+from range partitions.
 
 Null text is empty; a row with a null conversation or turn replies to nothing and is first
 in order. Repeated rows (same conversation and turn) are linked together, and each is
 returned. Empty tables give an empty result. Columns other than conversation, turn, role and text are not
-read. Quoted lines that no earlier message holds lead nowhere but are removed as well.
+read. Quoted passages that no earlier message holds lead nowhere but are removed as well: they are the words of someone
+who is not in the table. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -23,72 +27,129 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from ..operators.ranks import global_position
 from ..session import cut_lineage
+from .common import NOT_WORD, mix, word_hashes
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
-
-
-def normalised(line: str) -> str:
-    return " ".join(line.lower().split())
-
-
-def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, int, str]]]:
-    """(own text, normalised own lines, quoted lines as (passage, level, normalised line))."""
-    own, quoted = [], []
-    passage, last = -1, 0
+QUOTED = r"(?m)^[ \t]*>"
+SHINGLE = 5                  # words
+SHARE = 0.5                  # of a passage's hashes that must lead to its original
+SPAN = 4096                  # turns of a conversation that one window sees
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
+    """(own text, its runs of lines between quotes, quoted passages as (level, text))."""
+    own: list[str] = []
+    runs: list[list[str]] = []
+    passages: list[tuple[int, list[str]]] = []
+    last = -1
     for line in (text or "").split("\n"):
         m = MARKS.match(line)
         level = m[1].count(">") if m else 0
         if not level:
             own.append(line)
+            if last:
+                runs.append([])
+            runs[-1].append(line)
         else:
             if level != last:
-                passage += 1
-            if (body := normalised(line[m.end():])):
-                quoted.append((passage, level, body))
+                passages.append((level, []))
+            passages[-1][1].append(line[m.end():])
         last = level
-    return "\n".join(own).strip("\n") if quoted or passage >= 0 else text or "", [x for x in map(normalised, own) if x], quoted
+    return "\n".join(own).strip("\n") if passages else text or "", ["\n".join(r) for r in runs], [(n, "\n".join(x)) for n, x in passages]
+
+
+def _words(text: str) -> np.ndarray:
+    data = np.frombuffer(text.lower().encode(), np.uint8)
+    return word_hashes(data, np.array([0, len(data)], np.int64), NOT_WORD)[0]
+
+
+def _runs_of(words: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for i in range(size):
+        out = mix(out * _STEP + words[i:len(out) + i])
+    return out
+
 
+def _whole(words: np.ndarray) -> np.ndarray:
+    return _runs_of(words, len(words)) if len(words) else words
 
-def _hash(line: str) -> int:
-    return xxh64_intdigest(line) - (1 << 63)
+
+def passage_hashes(text: str) -> np.ndarray:
+    """Hashes of the runs of SHINGLE words, or of all words if they are fewer."""
+    words = _words(text)
+    return _runs_of(words, SHINGLE) if len(words) >= SHINGLE else _whole(words)
+
+
+def own_hashes(runs: list[str]) -> np.ndarray:
+    """Hashes that a passage of the message may have."""
+    found = [np.zeros(0, np.uint64)]
+    for run in runs:
+        found.append(passage_hashes(run))
+        for part in {*run.split("\n"), *re.split(r"\n\s*\n", run)}:
+            words = _words(part)
+            if 0 < len(words) < SHINGLE:
+                found.append(_whole(words))
+    return np.unique(np.concatenate(found))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv, turn, role, text (own), own (line hashes), quoted (passage, level, hash)."""
+    """conv, turn, role, text (own), n_quotes of every message."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("h", pa.int64())]))
         for batch in batches:
-            rows = [parse(t.as_py()) for t in batch.column(3)]
+            rows = [parse(t) if t and ">" in t else (t or "", [], []) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([r[0] for r in rows], pa.string()),
-                 pa.array([sorted(set(map(_hash, r[1]))) for r in rows], pa.list_(pa.int64())),
-                 pa.array([[{"passage": p, "level": n, "h": _hash(x)} for p, n, x in r[2]] for r in rows], kind)],
-                names=["conv", "turn", "role", "text", "own", "quoted"])
+                [*batch.columns[:3], pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())],
+                names=["conv", "turn", "role", "text", "n_quotes"])
+
+    return messages.mapInArrow(run, "conv long, turn long, role string, text string, n_quotes long")
+
+
+def hashed(messages: DataFrame) -> DataFrame:
+    """conv, turn, passage (null: own text), level, size (hashes of the passage), h: every hash of every message."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns)):
+                _, runs, passages = parse(text)
+                parts = [(None, None, own_hashes(runs))] + [(i, n, np.unique(passage_hashes(x))) for i, (n, x) in enumerate(passages)]
+                h = np.concatenate([p[2] for p in parts])
+                count = [len(p[2]) for p in parts]
+
+                def spread(values: list, kind: pa.DataType, count: list = count) -> pa.Array:
+                    return pa.array(values, kind).take(pa.array(np.repeat(np.arange(len(count)), count)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([conv] * len(h), pa.int64()), pa.array([turn] * len(h), pa.int64()), spread([p[0] for p in parts], pa.int32()),
+                     spread([p[1] for p in parts], pa.int32()), spread(count, pa.int64()), pa.array(h.view(np.int64))],
+                    names=["conv", "turn", "passage", "level", "size", "h"])
 
-    return messages.mapInArrow(run, "conv long, turn long, role string, text string, own array<long>, "
-                                    "quoted array<struct<passage:int,level:int,h:long>>")
+    return messages.mapInArrow(run, "conv long, turn long, passage int, level int, size long, h long")
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """conv, turn, reply_to, n_linked: the message that each message replies to."""
-    own = messages.select("conv", "turn", F.explode("own").alias("h")).select(
-        "conv", "h", "turn", F.lit(None).cast("int").alias("passage"), F.lit(None).cast("int").alias("level"))
-    quoted = messages.select("conv", "turn", F.explode("quoted").alias("q")).select(
-        "conv", "q.h", "turn", "q.passage", "q.level").distinct()
-    asked = quoted.select("conv", "h").distinct()            # own lines that nobody quotes need no ordering
-    both = own.join(asked, ["conv", "h"], "left_semi").distinct().unionByName(quoted)
-    before = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    led = both.withColumn("src", F.max(F.when(F.col("passage").isNull(), F.col("turn"))).over(before)).where(
-        "passage is not null and src is not null")
-    votes = led.groupBy("conv", "turn", "passage", "level", "src").count()
-    best = votes.groupBy("conv", "turn", "passage", "level").agg(F.max(F.struct("count", "src")).alias("b"))
+    """conv, turn, reply_to, n_linked: the message that each message of (conv, turn, text) replies to."""
+    whole = messages.where("conv is not null and turn is not null")
+    quoting = whole.where(F.col("text").rlike(QUOTED)).select("conv").distinct()
+    rows = cut_lineage(hashed(whole.join(quoting, "conv", "left_semi").select("conv", "turn", "text")).distinct())
+    quoted = rows.where("passage is not null")
+    own = rows.where("passage is null").join(quoted.select("conv", "h").distinct(), ["conv", "h"], "left_semi")    # others need no order
+    both = own.unionByName(quoted).withColumn("span", F.floor(F.col("turn") / SPAN))
+    mine = F.max(F.when(F.col("passage").isNull(), F.col("turn")))
+    here = Window.partitionBy("conv", "h", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    spans = both.groupBy("conv", "h", "span").agg(mine.alias("last"))
+    before = Window.partitionBy("conv", "h").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("earlier", F.max("last").over(before)).drop("last").where("earlier is not null")
+    led = both.withColumn("src", mine.over(here)).where("passage is not null").join(spans, ["conv", "h", "span"], "left")
+    led = led.withColumn("src", F.coalesce("src", "earlier")).where("src is not null")
+    votes = led.groupBy("conv", "turn", "passage", "level", "size", "src").count()
+    best = votes.groupBy("conv", "turn", "passage", "level", "size").agg(F.max(F.struct("count", "src")).alias("b"))
+    best = best.where(F.col("b.count") >= SHARE * F.col("size"))
     return best.groupBy("conv", "turn").agg(
         F.min(F.struct("level", "passage", F.col("b.src").alias("src"))).alias("m"), F.count(F.lit(1)).alias("n_linked")).select(
         "conv", "turn", F.col("m.src").alias("reply_to"), "n_linked")
@@ -116,15 +177,16 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
                   text_col: str = "text") -> DataFrame:
     """Per message: conversation, turn, role, position (from 1, in reply order), reply_to, root_turn,
     depth, n_quotes (passages), n_linked, text without quotes."""
-    rows = cut_lineage(parsed(messages.select(
+    given = messages.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
-        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))))
-    replies = cut_lineage(links(rows))
+        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = parsed(given)
+    replies = cut_lineage(links(given))
     linked = replies.join(threads(replies), ["conv", "turn"])
     out = rows.join(linked, ["conv", "turn"], "left").select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col),
         "reply_to", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
-        F.size(F.array_distinct(F.transform("quoted", lambda q: q["passage"]))).cast("long").alias("n_quotes"),
+        "n_quotes",
         F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), F.col("text").alias(text_col))
     placed = global_position(out, [conv_col], [F.col("root_turn"), F.col(turn_col), F.xxhash64(text_col), F.col(role_col)])
     return placed.withColumn("position", F.col("position") + 1).select(
