@@ -3,7 +3,8 @@
 Learning counts words by language in a sample of labelled texts (``per_language`` texts of
 each language at most, picked by a hash of the id; that bound is the only sample here). The
 commonest words and the commonest character n-grams of the counted words, by language, are
-the model; ``words`` and ``grams`` bound them, so its size does not grow with the corpus.
+the model; ``words`` and ``gram_bound`` bound them for each language, so the model grows with the
+languages and not with the corpus, and a small language keeps its own.
 
 A text's words are its runs of letters, lower-cased. A known word adds the log of its
 relative frequency in each language. An unseen word is scored by the mean over its n-grams
@@ -15,7 +16,7 @@ share of words that the model knows, or of whose three-letter n-grams it knows K
 is low for another language in a learned script and for random letters as well.
 
 Null, empty and letterless texts are ``und`` with score 0, as is everything when there is
-nothing to learn from or no word could be scored. Repeated rows get equal results; rows
+nothing to learn from. A text of which no word could be scored gets the first of the languages and score 0. Repeated rows get equal results; rows
 with a null id are in fold 0 and predicted like any other; null languages are not learned.
 Whole texts are read. Columns other than id, text and language are not read.
 """
@@ -29,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -143,8 +144,10 @@ class Model:
         packed = b"".join(map(memo.__getitem__, text.lower().split())) if text and self.languages else b""
         rows = np.frombuffer(packed, np.float32).reshape(-1, len(self.languages) + 2)
         total = rows.sum(axis=0, dtype=np.float64)
-        if not total[-2]:
+        if not len(rows):
             return "und", 0.0, 0.0
+        if not total[-2]:
+            return self.languages[0], 0.0, 0.0
         best = int(np.argmax(total[:-2]))
         share = 1.0 / float(np.exp(total[:-2] - total[best]).sum())
         return self.languages[best], share * (float(total[-2]) / len(rows)), float(total[-1]) / len(rows)
@@ -166,8 +169,15 @@ def _scores(rows: list[tuple[str, str, int]], languages: list[str], totals: dict
     return out
 
 
+def _commonest(counted: DataFrame, key: str, bound: int) -> list[tuple[str, str, int]]:
+    """(lang, key, n) of the ``bound`` commonest keys of each language; ties to the key that sorts first."""
+    w = Window.partitionBy("lang").orderBy(F.desc("n"), key)
+    kept = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bound).select("lang", key, "n")
+    return [tuple(r) for r in kept.toArrow().to_pandas().itertuples(index=False)]
+
+
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = 3000, words: int = 100_000, gram_bound: int = 60_000) -> Model:
+          per_language: int = 3000, words: int = 25_000, gram_bound: int = 15_000) -> Model:
     """Fit on the rows of ``docs`` that have a text and a language."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
@@ -180,8 +190,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     counted = _counted(rows.where(F.col("at") < cut[F.col("lang")]).select("text", "lang")).persist()
     by_gram = _gram_counts(counted).persist()
     try:
-        common = [tuple(r) for r in counted.orderBy(F.desc("n"), "lang", "word").limit(words).toArrow().to_pandas().itertuples(index=False)]
-        short = [tuple(r) for r in by_gram.orderBy(F.desc("n"), "lang", "gram").limit(gram_bound).toArrow().to_pandas().itertuples(index=False)]
+        common, short = _commonest(counted, "word", words), _commonest(by_gram, "gram", gram_bound)
         totals = {(r["lang"], 0): r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         sizes = {(r["lang"], r["size"]): r["n"] for r in by_gram.groupBy("lang", F.length("gram").alias("size")).agg(
             F.sum("n").alias("n")).collect()}
@@ -192,8 +201,9 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                  _scores(short, languages, sizes | {"kind": len}))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: all its columns, and ``_lang_pred``, ``_lang_score`` and ``_lang_known``."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", prefix: str = "_lang_") -> DataFrame:
+    """Per row of ``docs``: all its columns, and ``_lang_pred``, ``_lang_score`` and ``_lang_known`` (or with another ``prefix``)."""
+    added = [f"{prefix}{x}" for x in ("pred", "score", "known")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -205,10 +215,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             got = [m.predict(t.as_py(), memo) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
-                 pa.array([g[2] for g in got], pa.float64())], names=[*names, "_lang_pred", "_lang_score", "_lang_known"])
+                 pa.array([g[2] for g in got], pa.float64())], names=[*names, *added])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lang_pred", StringType()),
-                                            StructField("_lang_score", DoubleType()), StructField("_lang_known", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(added[0], StringType()),
+                                            StructField(added[1], DoubleType()), StructField(added[2], DoubleType())]))
 
 
 def identify(docs: DataFrame, parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text",
