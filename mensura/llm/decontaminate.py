@@ -15,8 +15,8 @@ of word hashes around them leave the scan; false passes fall out in the join. Hi
 document, item and diagonal are one row before they are verified.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters,
-compared without regard to the case of A-Z, as 64-bit hashes. Items of fewer than ``least`` words
-are never found, for so few words prove nothing. Null or empty texts and empty tables match
+compared without regard to the case of A-Z, as 64-bit hashes. An item of fewer than ``least`` words is
+found where all of them stand one after another, unchanged. Items without words match nothing. Null or empty texts and empty tables match
 nothing. Rows that share an id are judged together; rows and items with a null id are told
 apart by their texts. Columns other than id and text are not read.
 """
@@ -37,7 +37,8 @@ from ..session import scratch_path
 from .common import NOT_WORD, mix, slices, text_buffers, word_hashes
 
 HEAVIEST, MOST_MASKS = 8, 6  # open positions of a mask at most, and masks that are worth a heavier one
-SEARCH = 1 << 24             # masks times patterns that are tried; beyond it a run of words is the mask
+SEARCH = 1 << 24             # masks times patterns that are tried; beyond it every (allowed + 1)-th word is open
+DIAGONALS = 4096             # of a stretch and an item that are verified together
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -57,8 +58,8 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 def masks(width: int, allowed: int) -> tuple[str, ...]:
     """Masks of which one fits between any ``allowed`` changed words of ``width`` words.
 
-    Greedy, for the most open positions that MOST_MASKS masks do with. A run without zeros as
-    long as the longest unchanged one must be always suffices.
+    Greedy, for the most open positions that MOST_MASKS masks do with. A mask of every (allowed + 1)-th position
+    always suffices: of that many residues at least one has no changed word.
     """
     run = math.ceil((width - allowed) / (allowed + 1))
     for weight in range(min(HEAVIEST, width - allowed), run, -1):
@@ -74,7 +75,7 @@ def masks(width: int, allowed: int) -> tuple[str, ...]:
             out.append(f"{tried[best]:b}")
         if not left.any():
             return tuple(out)
-    return ("1" * run,)
+    return (("1" + "0" * allowed) * (run - 1) + "1",) if run > 0 else ("1",)
 
 
 def allowed_changes(width: int, share: float) -> int:
@@ -83,14 +84,18 @@ def allowed_changes(width: int, share: float) -> int:
 
 
 def mask_table(window: int, share: float, least: int) -> dict[int, tuple[str, ...]]:
-    """Masks by the width of an item's window; widths with equal allowance share those of the narrowest."""
+    """Masks by the width of an item's window; widths with equal allowance share those of the narrowest.
+
+    Below ``least`` words nothing may differ.
+    """
+    short = {width: ("1" * width,) for width in range(1, least)}
     narrowest: dict[int, int] = {}
     for width in range(max(1, least), window + 1):
         narrowest.setdefault(allowed_changes(width, share), width)
-    return {width: masks(narrowest[k], k) for width in range(max(1, least), window + 1) for k in [allowed_changes(width, share)]}
+    return short | {width: masks(narrowest[k], k) for width in range(max(1, least), window + 1) for k in [allowed_changes(width, share)]}
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> DataFrame:
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """item, words, ikey: hashed words of the benchmark texts and a key of the row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +107,7 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item", "words"])
 
     got = benchmark.select(F.col(item_col).cast("long").alias("item"), text_col).mapInArrow(run, "item long, words array<long>")
-    return got.where(F.size("words") >= max(1, least)).distinct().withColumn("ikey", F.xxhash64("item", "words"))
+    return got.where(F.size("words") > 0).distinct().withColumn("ikey", F.xxhash64("item", "words"))
 
 
 def _item_seeds(items: DataFrame, by_width: dict[int, tuple[str, ...]]) -> DataFrame:
@@ -197,7 +202,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 16, share:
     best window), window (its width), at (its first word in the document)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "benchmark")
-    _items(benchmark, item_col, item_text, least).write.parquet(path)
+    _items(benchmark, item_col, item_text).write.parquet(path)
     items = spark.read.parquet(path)
     window = max(window, least, 1)
     by_width = mask_table(window, share, least)
@@ -215,7 +220,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 16, share:
     hits = found.select("key", F.explode(F.arrays_zip("hits", "places")).alias("h")).select(
         "key", F.col("h.hits").alias("seed"), F.col("h.places").alias("place")).distinct()
     lines = hits.join(by_seed, "seed").select("key", "ikey", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    laid = lines.groupBy("key", "ikey").agg(F.collect_set("shift").alias("shifts"))
+    # A text that repeats itself has very many diagonals: they are verified so many at a time.
+    laid = lines.groupBy("key", "ikey", F.floor(F.col("shift") / DIAGONALS)).agg(F.collect_set("shift").alias("shifts")).select("key", "ikey", "shifts")
     both = laid.join(items, "ikey").join(found.select("key", "doc", "row", "first", F.col("words").alias("text")), "key")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +233,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 16, share:
             for item, ikey, words, shifts, doc, row, first, text in zip(*batch.columns):
                 mine, theirs, width = array(text), array(words), min(window, len(words.values))
                 best = max((*best_window(mine, theirs, s, window), s) for s in array(shifts).tolist())
-                if best[0] >= share * width:
+                if best[0] >= (share * width if width >= least else width):
                     out.append((doc.as_py(), row.as_py(), item.as_py(), ikey.as_py(), best[0], width, first.as_py() + best[1] + best[2]))
             cols = list(zip(*out)) or [[]] * 7
             names = ["doc", "row", "item", "ikey", "n_words", "window", "at"]
