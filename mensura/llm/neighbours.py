@@ -172,8 +172,12 @@ def _blocks(rows: DataFrame, size: int, by: str) -> DataFrame:
         *(F.collect_list(c).alias(c) for c in cols)).drop("_b")
 
 
-def _tiles(index: DataFrame, queries: DataFrame, dim: int, k: int, spare: int) -> DataFrame:
-    """q, cid, s: candidates, the best k of each query within each joined pair of blocks."""
+def _tiles(index: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    """q, cid: candidates, the best k of each query, and all that score like the last of them."""
+    def slack(cut: np.ndarray) -> np.ndarray:
+        """Sums in another order may differ by so much."""
+        return np.where(np.isfinite(cut), 1e-9 * np.maximum(1.0, np.abs(cut)), 0.0)
+
     pairs = index.join(queries, "shard").select("keys", "cids", "vs", "qs", "qkeys", "qvs", "floors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,18 +203,18 @@ def _tiles(index: DataFrame, queries: DataFrame, dim: int, k: int, spare: int) -
                 seen = np.logical_or.reduceat(open_[mine][:, slot[order]], start, axis=1)
                 s = left[mine] @ right[order[start]].T
                 s[~seen | (s < part[6].to_numpy(zero_copy_only=False)[mine][:, None])] = -np.inf
-                n = min(k + spare, s.shape[1])
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                got = np.take_along_axis(s, top, 1).ravel()
-                good = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qs[mine], n)[good]), pa.array(cids[top.ravel()][good]), pa.array(got[good])],
-                    names=["q", "cid", "s"])
+                n = min(k, s.shape[1])
+                cut = -np.partition(-s, n - 1, axis=1)[:, n - 1]         # all that tie with the last one stay
+                who, what = np.nonzero(np.isfinite(s) & (s >= cut[:, None] - slack(cut)[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(qs[mine][who]), pa.array(cids[what]), pa.array(s[who, what])],
+                                                 names=["q", "cid", "s"])
 
     found = pairs.mapInArrow(run, "q long, cid long, s double")
     merged = found.groupBy("q", "cid").agg(F.max("s").alias("s"))
-    w = Window.partitionBy("q").orderBy(F.desc("s"), "cid")
-    return merged.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + spare).select("q", "cid")
+    w = Window.partitionBy("q").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = F.col("_cut")
+    return merged.withColumn("_cut", F.nth_value("s", k).over(w)).where(
+        cut.isNull() | (F.col("s") >= cut - 1e-9 * F.greatest(F.lit(1.0), F.abs(cut)))).select("q", "cid")
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -299,9 +303,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
         index_rows, "shard long, keys long, cids long, vs array<float>"), INDEX_BLOCK, "cids")
     index = kept(index.withColumn("vs", F.flatten("vs")), "index")
     probing = _blocks(queries.mapInArrow(query_rows, "shard long, qs long, qkeys array<long>, qvs array<float>, floors double"), QUERY_BLOCK, "qs")
-    spare = 4
     with few_rows_a_batch(spark):
-        top = kept(_tiles(index, probing.withColumn("qvs", F.flatten("qvs")), dim, k + 1, spare), "top")
+        top = kept(_tiles(index, probing.withColumn("qvs", F.flatten("qvs")), dim, k + 1), "top")
 
     members = classes.select("cid", F.col("v").alias("_cv"), "ids")
 
@@ -311,8 +314,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
             "q", "ids", dot(F.col("_qv"), F.col("_cv")).alias("score"))
         each = asked.join(scored, "q").select("query_id", "q", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return each.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(rank)).where(
-            F.col("rank") <= k)
+        best = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))      # an id may have several vectors
+        return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
     got = kept(found(top), "found")
     have = got.groupBy("query_id").count()
@@ -324,7 +327,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
     again = queries.join(short.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi")
     everywhere = again.select(F.col("cid").alias("qs"), F.col("v").alias("qvs"), F.array().cast("array<long>").alias("qkeys"), F.lit(float("-inf")).alias("floors"),
                               F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).withColumn("shard", F.col("shard").cast("long"))
-    rest = _tiles(index, _blocks(everywhere, QUERY_BLOCK, "qs").withColumn("qvs", F.flatten("qvs")), dim, k + 1, spare)
+    rest = _tiles(index, _blocks(everywhere, QUERY_BLOCK, "qs").withColumn("qvs", F.flatten("qvs")), dim, k + 1)
     with few_rows_a_batch(spark):
         rest = kept(rest, "rest")
     more = found(rest).join(short.select("query_id"), "query_id", "left_semi")
