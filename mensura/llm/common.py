@@ -35,6 +35,14 @@ def few_rows_a_batch(spark: SparkSession, rows: int = 8) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column starts with it (case does not count)."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null keys fall in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts, F.lit(0))

@@ -18,7 +18,7 @@ Null, empty and candidate-free texts have no findings and are returned unchanged
 ``redact``. Repeated rows have the same findings each. If the labelled findings lack one of
 the classes there is nothing to learn from: rule labels decide then, and what has none is no secret.
 An empty table gives an empty result. ``redact`` returns all columns of its input; its
-own working columns start with ``_secret``.
+own working columns take names that the input does not have.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .common import unused
 
 #: Names of secrets, without regard to case.
 NAMES = r"token|secret|passw(?:or)?d|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|credential|auth(?:orization)?|bearer"
@@ -162,13 +163,14 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", id_col: str = "doc_id", text
 
     Each row is redacted by the strings found in itself: rows are told apart by a digest of id and text.
     """
-    rows = docs.withColumn("_secret_row", F.xxhash64(id_col, text_col))
-    bad = scan(rows, id_col="_secret_row", text_col=text_col, **options).where("is_secret").groupBy("_secret_row").agg(
-        F.collect_set("candidate").alias("_secret_found"))
-    both = rows.join(bad, "_secret_row", "left")
+    own = unused(docs, "_secret_")
+    row, hits = f"{own}row", f"{own}found"
+    rows = docs.withColumn(row, F.xxhash64(id_col, text_col))
+    bad = scan(rows, id_col=row, text_col=text_col, **options).where("is_secret").groupBy(row).agg(F.collect_set("candidate").alias(hits))
+    both = rows.join(bad, row, "left")
     parts, runs = F.split(text_col, CANDIDATE, -1), F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))
     hidden = F.transform(runs, lambda c: F.when(
-        F.array_contains("_secret_found", F.regexp_replace(c, _LEAD, "")), F.concat(F.regexp_extract(c, _LEAD, 0), F.lit(mark))).otherwise(c))
+        F.array_contains(hits, F.regexp_replace(c, _LEAD, "")), F.concat(F.regexp_extract(c, _LEAD, 0), F.lit(mark))).otherwise(c))
     text = F.array_join(F.zip_with(parts, F.array_append(hidden, F.lit("")), lambda p, c: F.concat(p, c)), "")
-    clean = F.when(F.col("_secret_found").isNull(), F.col(text_col)).otherwise(text)
+    clean = F.when(F.col(hits).isNull(), F.col(text_col)).otherwise(text)
     return both.withColumn(text_col, clean).select(*docs.columns)
