@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.llm import bpe, decontaminate, jaccard_join, language, secrets
+from mensura.llm.common import unused
 from mensura.session import scratch_path, tune
 
 
@@ -30,13 +31,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.learn(docs)
     if not model.languages:
         return docs
-    return language.predict(docs, model).where("_lang_pred <> 'und'").where(F.col("_lang_known") >= FAMILIAR).select(*docs.columns)
+    own = unused(docs, "_lang_")
+    judged = language.predict(docs, model, prefix=own)
+    return judged.where((F.col(f"{own}pred") != "und") & (F.col(f"{own}known") >= FAMILIAR)).select(*docs.columns)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, ``_row_key``: a 64-bit digest of id and text, the same for equal rows only
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, and its name: a 64-bit digest of id and text, the same for equal rows only
     (but for a chance of n * n / 2**65 that any two of n rows clash)."""
-    return docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    key = unused(docs, "_row_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,19 +49,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with equal id and text one stays. Different texts that share an id, also a null one, are
     documents of their own.
     """
-    rows = _keyed(docs)
-    found = jaccard_join.components(rows, percent=80, words=5, id_col="_row_key").select("_row_key", "component_id").distinct()
-    named = found.join(rows.select("_row_key", "doc_id").distinct(), "_row_key")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_key")).alias("m"))
-    return rows.join(first.select("m._row_key"), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    rows, key = _keyed(docs)
+    found = jaccard_join.components(rows, percent=80, words=5, id_col=key).select(key, "component_id").distinct()
+    named = found.join(rows.select(key, "doc_id").distinct(), key)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key)).alias("m"))
+    return rows.join(first.select(F.col("m")[key].alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of a benchmark item. Each row is judged by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = _keyed(docs)
-    found = decontaminate.overlaps(rows, benchmark, id_col="_row_key").select("_row_key").distinct()
-    return rows.join(found, "_row_key", "left_anti").select(*docs.columns)
+    rows, key = _keyed(docs)
+    found = decontaminate.overlaps(rows, benchmark, id_col=key).select(key).distinct()
+    return rows.join(found, key, "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
