@@ -35,17 +35,12 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import slices, text_buffers
+from .pieces import PieceEncoder, bytes_of_ids
 
+MEMO = 300_000              # pieces kept in each of two generations
 _LOADED: dict[tuple[str, str], Vocabularies] = {}
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Vocabularies:
     """Both tokenizers, the bytes of their tokens and the pairs that can end together."""
 
@@ -56,17 +51,13 @@ class Vocabularies:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True          # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        byte = _byte_of_char()
-        spelled = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (1 + max(spelled.values()))
-        for token, i in spelled.items():
-            if all(c in byte for c in token):
-                self.a_bytes[i] = bytes(byte[c] for c in token)
+        self.a_bytes = bytes_of_ids(self.a)
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.a_length = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_length = np.array([len(t) for t in self.b_bytes], np.int64)
         self.pairs = self._pairs()
+        self.pieces = PieceEncoder(lambda t: self.a.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.a_bytes, MEMO)
 
     def _pairs(self) -> np.ndarray:
         """Sorted codes ``a * len(b) + b`` of all id pairs of which one is a byte suffix of the other."""
@@ -84,16 +75,15 @@ class Vocabularies:
                 found.update(a * n + b for a in by_a.get(t[k:], ()) for b in ids)
         return np.array(sorted(found), np.int64)
 
-    def tokens(self, texts: list[str]) -> tuple[list, list]:
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides; none on either where a side does not spell the text again."""
-        whole = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for i, text in enumerate(whole):
-            spelled = text.encode()
-            if (not texts[i] or b"".join(map(self.a_bytes.__getitem__, a[i])) != spelled
-                    or b"".join(map(self.b_bytes.__getitem__, b[i])) != spelled):
-                a[i] = b[i] = []
+        a = [np.frombuffer(ids, np.uint32) for ids in self.pieces.many(texts)]
+        b = [np.array(ids, np.uint32) for ids in self.b.encode(texts, num_threads=1)]
+        for i, text in enumerate(texts):
+            whole = (" " + text).encode()
+            if (not text or b"".join(map(self.a_bytes.__getitem__, a[i].tolist())) != whole
+                    or b"".join(map(self.b_bytes.__getitem__, b[i].tolist())) != whole):
+                a[i] = b[i] = np.zeros(0, np.uint32)
         return a, b
 
 
@@ -103,10 +93,10 @@ def load(a_path: str, b_path: str) -> Vocabularies:
     return _LOADED[a_path, b_path]
 
 
-def _frame(ids: list[list[int]], length: np.ndarray, base: np.ndarray) -> pd.DataFrame:
+def _frame(ids: list[np.ndarray], length: np.ndarray, base: np.ndarray) -> pd.DataFrame:
     """The tokens of a few documents: doc, id, start and end; documents stand at ``base`` of one line of bytes."""
     counts = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum()))
+    flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int64)
     doc, size = np.repeat(np.arange(len(ids)), counts), length[flat]
     end = np.cumsum(size)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else counts
@@ -118,7 +108,9 @@ def _frame(ids: list[list[int]], length: np.ndarray, base: np.ndarray) -> pd.Dat
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """Every pair of overlapping tokens once: doc, and position (at), end and id of both."""
     under_a = pd.merge_asof(a, b, on="start", by="doc", suffixes=("_a", "_b"))
-    same = b["start"].isin(a["start"])              # those pairs are in the first direction already
+    starts = a["start"].to_numpy()
+    at = np.searchsorted(starts, b["start"].to_numpy())
+    same = np.append(starts, -1)[at] == b["start"].to_numpy()       # those pairs are in the first direction already
     under_b = pd.merge_asof(b[~same], a, on="start", by="doc", suffixes=("_b", "_a"))
     return pd.concat([under_a, under_b[under_a.columns]], ignore_index=True)
 
@@ -159,10 +151,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 base = np.cumsum([0, *(len(t.encode()) + 1 for t in texts)])[:-1]
                 a, b = _frame(ids_a, v.a_length, base), _frame(ids_b, v.b_length, base)
                 both = overlaps(a, b)
-                linked = both[both["end_a"] == both["end_b"]].sort_values("end_a")
-                cuts = linked["end_a"].to_numpy()
-                pair = np.searchsorted(v.pairs, linked["id_a"].to_numpy() * len(v.b_bytes) + linked["id_b"].to_numpy())
-                doc = linked["doc"].to_numpy()
+                end, linked = both["end_a"].to_numpy(), np.flatnonzero(both["end_a"].to_numpy() == both["end_b"].to_numpy())
+                linked = linked[np.argsort(end[linked], kind="stable")]
+                cuts, doc = end[linked], both["doc"].to_numpy()[linked]
+                pair = np.searchsorted(v.pairs, both["id_a"].to_numpy()[linked] * len(v.b_bytes) + both["id_b"].to_numpy()[linked])
                 n = y - x
                 count = [np.bincount(f["doc"].to_numpy(), minlength=n) for f in (a, b, both)]
                 n_links = np.bincount(doc, minlength=n)
