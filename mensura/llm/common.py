@@ -35,6 +35,17 @@ def few_rows_a_batch(spark: SparkSession, rows: int = 8) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def hashed_sample(rows: DataFrame, key: Column, size: int, total: int) -> DataFrame:
+    """The ``size`` rows of smallest hash of ``key``, of ``total`` rows at most; equal tables give equal samples.
+
+    A threshold lets only some eight times as many rows pass, so what is gathered to find the smallest does
+    not grow with the number of tasks. ``key`` should tell rows apart.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    cut = int(min(1.0, 8.0 * size / max(1, total)) * (1 << 40))
+    return rows.withColumn("_at", at).where(F.col("_at") < cut).orderBy("_at", *rows.columns).limit(size).drop("_at")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column starts with it (case does not count)."""
     taken = [c.lower() for c in df.columns]
@@ -88,11 +99,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most SLICE_BYTES of text (or a single longer row)."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes of text (or a single longer row)."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .dom_blocks import Block, Element, parse
 
 SAMPLE = 300
@@ -391,10 +392,10 @@ def decide(page: str | None, model: Model) -> list[tuple[Block, int]]:
     return list(zip(blocks, viterbi(scores, kinds, model.edges)))
 
 
-def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Model:
+def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Model:
     """A model fitted on the sample of ``pages`` whose markup tells the article, and on pages built from their paragraphs."""
-    chosen = pages.select(F.col(html_col).alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
-    rows = sorted(r.html for r in chosen.orderBy(F.xxhash64("html"), "html").limit(sample).collect())
+    chosen = pages.select(F.struct(F.col(id_col), F.col(html_col).alias("html")).alias("row")).where(F.length("row.html").between(1, SAMPLE_CHARS))
+    rows = sorted(r.row.html for r in hashed_sample(chosen, F.col("row"), sample, pages.count()).collect())
     told = [(page, labels) for page in rows if (labels := by_markup(page)) is not None]
     texts = [b.text for page, labels in told for b, label in zip(parse(page)[0], labels) if label and len(b.text) > 20]
     return fit([*told, *built_pages(texts)])
