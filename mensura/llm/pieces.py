@@ -3,8 +3,8 @@
 The tokenizers used here never join a visible character and a following space, so a text may be cut before every single
 space between two visible characters. The pieces of a batch that are not yet known are put in one
 line and encoded by one call; the tokens' byte lengths say where each piece's ids end. A piece
-counts only if its tokens end where it ends (and, if asked, spell it again); texts with a piece that doesn't,
-and the surroundings of other white space, are encoded as they stand.
+counts only if tokens end where it ends; texts with a piece that doesn't, and the surroundings of other white
+space, are encoded as they stand.
 """
 
 from __future__ import annotations
@@ -40,20 +40,23 @@ class PieceEncoder:
     """
 
     def __init__(self, encode: Callable[[str], Sequence[int]], spelled: Sequence[bytes], most: int):
-        self.encode, self.spelled, self.most = encode, spelled, most
+        self.encode, self.most = encode, most
         self.length = np.array([len(t) for t in spelled], np.int64)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _learn(self, wanted: set[str]) -> dict[str, bytes]:
         """Packed ids of space + piece for every wanted piece; nothing for pieces that can't stand alone."""
-        known = {}
-        for piece in wanted.intersection(self.old):
-            known[piece] = self.old[piece]
-        wanted.difference_update(known)
-        safe = [p for p in wanted if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(dict.fromkeys(wanted.difference(safe), b""))
-        safe.sort()                                   # the same lines whatever the order of the set
+        old = self.old
+        known = {p: old[p] for p in wanted if p in old}
+        safe = []
+        for p in wanted:
+            if p in known:
+                continue
+            if p and not p[0].isspace() and not p[-1].isspace():
+                safe.append(p)
+            else:
+                known[p] = b""
         begin, size = 0, 0
         for i, piece in enumerate(safe):
             size += len(piece) + 1
@@ -67,10 +70,7 @@ class PieceEncoder:
         ends = np.cumsum(self.length[ids])
         want = np.cumsum([len(p.encode()) + 1 for p in pieces])
         cut = np.searchsorted(ends, want)
-        good = len(ends) > 0 and ends[-1] == want[-1] and cut[-1] < len(ends) and bool((ends[cut] == want).all())
-        if good:
-            good = b"".join(map(self.spelled.__getitem__, ids.tolist())) == (" " + " ".join(pieces)).encode()
-        if not good:
+        if not (len(ends) and ends[-1] == want[-1] and (ends[cut] == want).all()):
             if len(pieces) == 1:
                 return {pieces[0]: b""}
             half = len(pieces) // 2
@@ -82,11 +82,10 @@ class PieceEncoder:
         """Packed ids of every text, with a space put before it if ``lead``."""
         split = [t.split(" ") for t in texts]
         heads = [b""] * len(split) if lead else [self._head(pieces) for pieces in split]
-        wanted = set().union(*split)
-        wanted.difference_update(self.young)
-        new = self._learn(wanted) if wanted else {}
-        self.young.update(new)
         young = self.young
+        wanted = {p for p in set().union(*split) if p not in young}
+        new = self._learn(wanted) if wanted else {}
+        young.update(new)
         out = []
         for head, pieces in zip(heads, split):
             packed = list(map(young.__getitem__, pieces))

@@ -41,6 +41,7 @@ from .pieces import PieceEncoder, bytes_of_ids
 
 BLOCK = 256
 FILE_IDS = 4 << 20
+TEXT_BYTES = 4 << 20        # of texts whose pieces are looked up together
 MEMO = 400_000              # pieces kept in each of two generations
 _LOADED: dict[str, PieceEncoder] = {}
 
@@ -166,7 +167,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
 
         size = 0
         for batch in batches:
-            for x, y in slices(text_buffers(batch.column(1))[1]):
+            for x, y in slices(text_buffers(batch.column(1))[1], TEXT_BYTES):
                 given = [t or "" for t in batch.column(1).slice(x, y - x).to_pylist()]
                 for doc, packed in zip(batch.column(0).slice(x, y - x).to_pylist(), texts.many(given, lead=False)):
                     held[0].append(doc)
