@@ -362,7 +362,7 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     classes = kept(digest.where("n > 0 and id is not null").groupBy(*row).agg(F.min("id").alias("rep")), "classes")
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
     keys = kept(_keys(docs, id_col, text_col, words, percent).join(sizes.select("id"), "id", "left_semi"), "keys")
-    keyed = keys.select(F.explode("keys").alias("key"), "id")
+    keyed = keys.select(F.explode("keys").alias("key"), "id").repartition("key")      # one exchange for counting and for looking up
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top")
     members = keyed.join(shared.select("key", "pivot").hint("shuffle_hash"), "key").distinct()
     near = kept(members.join(sizes, "id"), "near")          # members of keys with two classes or more
