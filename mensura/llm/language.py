@@ -41,7 +41,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 SMOOTH = 0.5
 KNOWN_GRAMS = 0.75
-MEMO = 250_000
+MEMO = 100_000
 HELD = 200_000               # distinct keys of a language that a task counts before it passes them on
 ONE = np.float32(1).tobytes()
 
