@@ -30,27 +30,52 @@ _V, _CODE, _CNT, _BELOW, _N = "_value", "_code", "_cnt", "_below", "_n"
 _SHIFTS = (48, 32, 16, 0)
 
 
-def order_code(v: Column) -> Column:
-    """A long in the same order as the double: sign, exponent and mantissa as numbers.
+def _exponent(a: Column, near: Column, power: Column) -> Column:
+    """The exponent of ``a``: the logarithm only proposes ``near``, whose power of two is then compared."""
+    return F.when((a < power) & (near > -1022), near - 1).when((near < 1023) & (a >= power * 2.0), near + 1).otherwise(near)
 
-    -0.0 and 0.0 are equal; NaN comes last, as in Spark's order. Scaling by powers of two is
-    exact, and the logarithm only proposes an exponent that is then compared.
-    """
-    two, one = F.lit(2.0), F.lit(1).cast("long")
-    a = F.abs(v)
-    near = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double")))
-    e = F.when((a < F.pow(two, near)) & (near > -1022), near - 1).when(
-        (near < 1023) & (a >= F.pow(two, near + 1)), near + 1).otherwise(near)
-    # In two steps, as one factor may be out of range; below 2 ** -1022 numbers have no leading one.
+
+def _proposed(a: Column) -> Column:
+    return F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double")))
+
+
+def _scaled(a: Column, e: Column) -> Column:
+    """The 53 bits of the mantissa, in two steps, as one factor may be out of range; scaling by powers of two is exact."""
     half = F.floor((52 - e) / 2)
-    scaled = (a * F.pow(two, half) * F.pow(two, 52 - e - half)).cast("long")
-    bits = F.when(a < F.pow(two, F.lit(-1022.0)), scaled).otherwise(
-        F.shiftleft((e + 1023).cast("long"), 52) + (scaled - F.shiftleft(one, 52)))
+    return (a * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), 52 - e - half)).cast("long")
+
+
+def _code_of(v: Column, e: Column, scaled: Column) -> Column:
+    a, one = F.abs(v), F.lit(1).cast("long")
+    # Below 2 ** -1022 numbers have no leading one.
+    bits = F.when(a < 2.0 ** -1022, scaled).otherwise(F.shiftleft((e + 1023).cast("long"), 52) + (scaled - F.shiftleft(one, 52)))
     top = F.shiftleft(F.lit(2047).cast("long"), 52)
     return (F.when(F.isnan(v), top + 1).when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.signum(v).cast("long") * top)
             .otherwise(F.signum(v).cast("long") * bits))
 
 
+def order_code(v: Column) -> Column:
+    """A long in the same order as the double: sign, exponent and mantissa as numbers.
+
+    -0.0 and 0.0 are equal; NaN comes last, as in Spark's order. On tables ``with_order_code`` takes each step once a row.
+    """
+    a = F.abs(v)
+    near = _proposed(a)
+    e = _exponent(a, near, F.pow(F.lit(2.0), near))
+    return _code_of(v, e, _scaled(a, e))
+
+
+def with_order_code(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the order code of ``value``. Every step is a column of its own: within one expression its
+    logarithm and powers would be taken again wherever the step is named, some tens of times a row."""
+    v = F.col(value).cast("double")
+    a = F.abs(v)
+    steps = df.withColumn("_near", _proposed(a)).withColumn("_power", F.pow(F.lit(2.0), F.col("_near")))
+    steps = steps.withColumn("_e", _exponent(a, F.col("_near"), F.col("_power")))
+    steps = steps.withColumn("_scaled", _scaled(a, F.col("_e")))
+    return steps.withColumn(out, _code_of(v, F.col("_e"), F.col("_scaled"))).drop("_near", "_power", "_e", "_scaled")
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                     how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL, keeping the left columns once."""
@@ -67,8 +92,8 @@ def _coded(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(F.lit(1).alias("_all"), *keys, value.alias(_V)).where(F.col(_V).isNotNull())
     whole = isinstance(rows.schema[_V].dataType, T.IntegralType)
-    code = F.col(_V).cast("long") if whole else order_code(F.col(_V).cast("double"))
-    return rows.withColumn(_CODE, F.coalesce(code, F.lit(0).cast("long")))
+    rows = rows.withColumn(_CODE, F.col(_V).cast("long")) if whole else with_order_code(rows, _V, _CODE)
+    return rows.withColumn(_CODE, F.coalesce(_CODE, F.lit(0).cast("long")))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:

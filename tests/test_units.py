@@ -547,3 +547,14 @@ def test_delta_files_of_a_folder(spark, tmp_path):
     (tmp_path / "c.txt").write_text("no delta")
     got = runs.load_accepted_deltas(spark, str(tmp_path)).collect()
     assert [(r.sha8, r.source, r.fix_commit, r.expected.decision) for r in got] == [("s1", "b.json", "f2", "reject")]
+
+
+def test_order_code_in_steps(spark):
+    """Step by step as in one expression; no step's logarithm or power is repeated in the plan."""
+    values = [0.0, -0.0, 5e-324, -2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), 1.0, -3.7]
+    values += [math.nextafter(2.0 ** e, up) for e in range(-1030, 1024, 31) for up in (0.0, math.inf)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = O.with_order_code(df, "x", "c").withColumn("one", O.order_code(F.col("x")))
+    assert got.where("c <> one or c is null").count() == 0
+    plan = O._coded(df, [], "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG2") == 1 and plan.upper().count("POWER(") <= 3
