@@ -23,13 +23,13 @@ def r4(df, *cols, digits=4):
   count_if(decision = 'ambiguous') as ambiguous, count_if(decision = 'reject') as reject,
   round(case when count(ok) > 0 then count_if(ok) / count(ok) else 0e0 end, 6) as accuracy from fx_judged group by 1""")
 def a12(v, spark, sf):
-    return r4(A.batch_summary(v("fx_reports"), "session"), "accuracy", digits=6)
+    return r4(A.batch_summary(v("fx_heads"), "session"), "accuracy", digits=6)
 
 
 @query("A13_top_k_accuracy", """select count_if(exists(select 1 from fx_cand c where c.report_id = r.report_id and c.cand_rank <= 3 and c.article_number = r.label)) as hits,
   count(*) as scored from fx_rep r where coalesce(label, '') <> ''""")
 def a13(v, spark, sf):
-    return A.top_k_accuracy(v("fx_reports"), 3)
+    return A.top_k_accuracy(v("fx_heads"), 3)
 
 
 _LOWQ = ", ".join(f"max(case when rn = cast(floor({q}e0 * (n - 1)) as bigint) then x end) as {name}" for name, q in
@@ -40,7 +40,7 @@ _LOWQ = ", ".join(f"max(case when rn = cast(floor({q}e0 * (n - 1)) as bigint) th
   row_number() over (partition by session order by max_z_winner) - 1 as rn, count(*) over (partition by session) as n
   from fx_rep where max_z_winner is not null) group by 1""")
 def a14(v, spark, sf):
-    return A.max_z_distribution(v("fx_reports"), "session")
+    return A.max_z_distribution(v("fx_heads"), "session")
 
 
 def _round_sql(side: str, cond: str) -> str:
@@ -61,7 +61,7 @@ m_{side} as (select unnest(['total', 'labeled', 'accuracy_pct', 'accept_pct', 'a
 select metric, round(a.value, 4) as a, round(b.value, 4) as b, round(case when abs(b.value - a.value) >= 0.05e0 then b.value - a.value end, 4) as delta
 from m_a a join m_b b using (metric)""")
 def a15(v, spark, sf):
-    r = v("fx_reports")
+    r = v("fx_heads")
     return r4(A.ab_compare(r.where("session < 'S20'"), r.where("session >= 'S20'")), "a", "b", "delta")
 
 
@@ -70,13 +70,13 @@ _CONF = "(select label, pred, count(*) as n, count_if(decision = 'accept') as n_
 
 @query("A16_confusion_matrix", f"select * from {_CONF} t")
 def a16(v, spark, sf):
-    return A.confusion(v("fx_reports"))
+    return A.confusion(v("fx_heads"))
 
 
 @query("A17_confusion_focus", f"""select label, pred, n, row_total, diag = 0 as never_hit from (select *, sum(n) over (partition by label)::bigint as row_total,
   sum(case when pred = label then n else 0 end) over (partition by label)::bigint as diag from {_CONF} t) where diag < row_total""")
 def a17(v, spark, sf):
-    return A.confusion_focus(v("fx_reports"))
+    return A.confusion_focus(v("fx_heads"))
 
 
 def hist_sql(rows: str, flag: str, bins: int, lo: str = "min(value)", hi: str = "max(value)", panel: str = "panel") -> str:
@@ -87,19 +87,19 @@ from {rows} join (select {panel}, {lo} as lo, case when {hi} = 0 then 1e0 else {
 @query("A18_score_distribution", "with h as (select 'max_z_winner' as panel, ok, max_z_winner as value from fx_judged where ok is not null and max_z_winner is not null "
        "union all select 'llr_margin', ok, llr_margin from fx_judged where ok is not null and llr_margin is not null) " + hist_sql("h", "ok", 19))
 def a18(v, spark, sf):
-    return A.score_histograms(v("fx_reports"))
+    return A.score_histograms(v("fx_heads"))
 
 
 @query("A18_score_distribution_raw", "with j as (select *, pred = label as hit from fx_judged where coalesce(label, '') <> ''), "
        "h as (select 'max_z_winner' as panel, hit as ok, max_z_winner as value from j where max_z_winner is not null "
        "union all select 'llr_margin', hit, llr_margin from j where llr_margin is not null) " + hist_sql("h", "ok", 21))
 def a18b(v, spark, sf):
-    return A.score_histograms(v("fx_reports"), 21, against_label=True)
+    return A.score_histograms(v("fx_heads"), 21, against_label=True)
 
 
 @query("A18_score_rows", """select report_id, ok as korrekt, decision, top_log_score as log_score, max_z_winner, llr_margin from fx_judged""")
 def a18c(v, spark, sf):
-    return A.score_rows(v("fx_reports")).select("report_id", "korrekt", "decision", "log_score", "max_z_winner", "llr_margin")
+    return A.score_rows(v("fx_heads")).select("report_id", "korrekt", "decision", "log_score", "max_z_winner", "llr_margin")
 
 
 def quota_union(rows: list[tuple[str, str, str]], src: str, corpus: bool = False, by: str = "") -> str:
@@ -119,7 +119,7 @@ _QROWS = [("accuracy_top1", "count_if(ok)", "count(ok)"), ("accuracy_top3", "cou
 @query("A19_quotas", f"""with t3 as {_T3}, q as ({quota_union(_QROWS, 't3', by='session')})
 select *, round(case when metric = 'false_accept_rate' and k = 0 and n > 0 then 3e0 / n when metric = 'accuracy_top1' and k = n and n > 0 then 3e0 / n end, 6) as rule_of_three from q""")
 def a19(v, spark, sf):
-    return A.quotas(v("fx_reports"), "session")
+    return A.quotas(v("fx_heads"), "session")
 
 
 _PA = wilson_sql("k", "n")
@@ -128,7 +128,7 @@ _PA = wilson_sql("k", "n")
 @query("A20_per_article_quota", f"""select label, k, n, {_PA['p']} as p, {_PA['lo']} as wilson_lo, {_PA['hi']} as wilson_hi
 from (select label, count_if(ok) as k, count(*) as n from fx_judged where coalesce(label, '') <> '' and ok is not null group by 1)""")
 def a20(v, spark, sf):
-    return A.per_article_quota(v("fx_reports"))
+    return A.per_article_quota(v("fx_heads"))
 
 
 TIER2 = [("accuracy_top1", "count_if(lab and pred = label)", "count_if(lab)"), ("accuracy_top3", "count_if(lab and top3)", "count_if(lab)"),
@@ -140,20 +140,20 @@ TIER2 = [("accuracy_top1", "count_if(lab and pred = label)", "count_if(lab)"), (
 @query("A21_tier2_quotas", f"with t3 as {_T3} {quota_union(TIER2, 't3', True, 'session')}")
 def a21(v, spark, sf):
     from ..operators import regression
-    return regression.tier2_quotas(v("fx_reports"), "session")
+    return regression.tier2_quotas(v("fx_heads"), "session")
 
 
 @query("A22_verdict_by_prediction", """select case when grouping(pred) = 1 then 'gesamt' when pred = 'NO_MATCH' then '— kein Kandidat' else pred end as artikel,
   cast(grouping(pred) as bigint) as is_total, count_if(ok) as richtig, count_if(ok = false) as falsch, count_if(ok is null) as unbewertet,
   round(count_if(ok) / nullif(count(ok), 0), 6) as quote from fx_judged group by rollup(pred)""")
 def a22(v, spark, sf):
-    return r4(A.verdict_by_prediction(v("fx_reports")), "quote", digits=6)
+    return r4(A.verdict_by_prediction(v("fx_heads")), "quote", digits=6)
 
 
 @query("A23_margin_by_setsize", """select cast(n_cand as bigint) as set_size, count(*) as n, round(median(llr_margin), 6) as median
 from fx_rep where n_cand > 0 and llr_margin is not null group by 1""")
 def a23(v, spark, sf):
-    out = A.margin_by_setsize(v("fx_reports"))
+    out = A.margin_by_setsize(v("fx_heads"))
     return r4(out, "median", digits=6)
 
 
@@ -161,7 +161,7 @@ def a23(v, spark, sf):
   (select label, arg_max(nominal_size_mm, (stem, report_id)) as nominal_mm from (select r.label, r.stem, r.report_id, c.nominal_size_mm
     from fx_rep r join fx_cand c on c.report_id = r.report_id and c.article_number = r.label) group by 1) using (label)""")
 def a24(v, spark, sf):
-    return A.diameter_vs_nominal(v("fx_reports"))
+    return A.diameter_vs_nominal(v("fx_heads"))
 
 
 _TR = """(select r.*, t.cand_rank as tr from fx_judged r left join fx_cand t on t.report_id = r.report_id and t.article_number = r.label
@@ -171,13 +171,13 @@ _TR = """(select r.*, t.cand_rank as tr from fx_judged r left join fx_cand t on
 @query("A25_true_rank_buckets", f"""select label, cast(grouping(label) as bigint) as is_total, count_if(tr = 1) as rank_1, count_if(tr = 2) as rank_2, count_if(tr = 3) as rank_3,
   count_if(tr > 3) as rank_more, count_if(tr is null) as not_in_set from {_TR} t group by rollup(label)""")
 def a25(v, spark, sf):
-    return A.true_rank_buckets(v("fx_reports"))
+    return A.true_rank_buckets(v("fx_heads"))
 
 
 @query("A26_decision_per_article", """select label, count_if(decision = 'accept') as accept, count_if(decision = 'ambiguous') as ambiguous, count_if(decision = 'reject') as reject,
   round(count_if(decision = 'accept') / count(*), 6) as accept_share from fx_rep where coalesce(label, '') <> '' group by 1""")
 def a26(v, spark, sf):
-    return r4(A.decision_per_article(v("fx_reports")), "accept_share", digits=6)
+    return r4(A.decision_per_article(v("fx_heads")), "accept_share", digits=6)
 
 
 def upper_median_sql(src: str, keys: str, x: str, out: str) -> str:
@@ -198,7 +198,7 @@ def a27(v, spark, sf):
        + upper_median_sql("s", "session", "f", "mm_per_px"))
 def a28(v, spark, sf):
     px = F.lit(400.0) + (F.col("k") * 7) % 50
-    return r4(A.recover_scale(v("fx_reports"), px), "mm_per_px", digits=5)
+    return r4(A.recover_scale(v("fx_heads"), px), "mm_per_px", digits=5)
 
 
 _FUN = """(select r.label, case when t.cand_rank = 1 then 'rank_1' when t.cand_rank is not null then 'in_set' when kl.reason is null then 'not_in_set'
@@ -211,18 +211,18 @@ where coalesce(r.label, '') <> '')"""
 
 @query("A29_prefilter_funnel", "select label, " + ", ".join(f"count_if(cat = '{c}') as {c}" for c in A.FUNNEL) + f" from {_FUN} t group by 1")
 def a29(v, spark, sf):
-    return A.prefilter_funnel(v("fx_reports"))
+    return A.prefilter_funnel(v("fx_heads"))
 
 
 @query("A30_prefilter_kill_view", """select report_id, kill_pos, article_number, reason, coalesce(label = article_number, false) as true_article from fx_kill""")
 def a30(v, spark, sf):
-    k = A.kill_view(v("fx_reports"))
+    k = A.kill_view(v("fx_heads"))
     return k.withColumn("true_article", F.coalesce("true_article", F.lit(False)))
 
 
 @query("A30_kill_totals", """select cast(sum(n_kill) as bigint) as n_kills, count_if(n_kill > 0) as reports_with_kills, count(*) as n_reports from fx_rep""")
 def a30b(v, spark, sf):
-    return A.kill_totals(v("fx_reports"))
+    return A.kill_totals(v("fx_heads"))
 
 
 @query("A31_test_vs_enroll", """select label, sigma_enroll, round(test_std, 5) as test_std, n from (
@@ -286,7 +286,7 @@ _PAIRS = """(select distinct a.article_number as a, b.article_number as b from f
 
 @query("J09_cooccurring_pairs", f"select * from {_PAIRS} t")
 def j09(v, spark, sf):
-    return A.cooccurring_pairs(v("fx_reports"))
+    return A.cooccurring_pairs(v("fx_heads"))
 
 
 _FLQ = "case feature " + " ".join(f"when '{f}' then {C.SIGMA_FLOORS[C.FLOOR_KEYS[f]]!r}e0" for f in C.ALL_FEATURES) + " end"
@@ -303,7 +303,7 @@ sep as (select p.a, p.b, s.feature, case when s.mean is not null then abs(s.mean
 select p.a, p.b, {', '.join(f"round(max(case when feature = '{f}' then sep end), 4) as {f}" for f in C.ALL_FEATURES)}, round(max(sep), 4) as max_sep
 from {_PAIRS} p left join sep using (a, b) group by 1, 2""")
 def a35(v, spark, sf):
-    out = A.discriminability(A.cooccurring_pairs(v("fx_reports")), enroll.stats_wide(v("fx_shots")))
+    out = A.discriminability(A.cooccurring_pairs(v("fx_heads")), enroll.stats_wide(v("fx_shots")))
     return r4(out, *C.ALL_FEATURES, "max_sep")
 
 
@@ -313,7 +313,7 @@ _DRC = f"""(select label, std, n from {_DRS} t where std > (select greatest(1e0,
 
 @query("A36_drift_conspicuous", f"select label, round(std, 6) as std, n from {_DRC} t")
 def a36(v, spark, sf):
-    return r4(A.drift_conspicuous(v("fx_reports")), "std", digits=6)
+    return r4(A.drift_conspicuous(v("fx_heads")), "std", digits=6)
 
 
 @query("A37_cross_section", f"""with m as (select 'margin' as panel, ok, llr_margin as value from fx_judged where ok is not null and llr_margin is not null),
@@ -324,13 +324,13 @@ union all select 'rank', case when tr is null then 'nicht im Set' when tr <= 3 t
 union all select 'decision', label, decision, count(*) from fx_rep where coalesce(label, '') <> '' group by 2, 3
 union all select 'drift', label, 'conspicuous', n from {_DRC} d""")
 def a37(v, spark, sf):
-    return A.cross_section(v("fx_reports"), P)
+    return A.cross_section(v("fx_heads"), P)
 
 
 @query("A56_batch_posterior_stats", """select round(avg(case when ok then p end), 6) as mean_correct, round(avg(case when not ok then p end), 6) as mean_wrong
 from (select r.ok, coalesce(c.posterior, 0e0) as p from fx_judged r left join fx_cand c on c.report_id = r.report_id and c.cand_rank = 1) where ok is not null""")
 def a56(v, spark, sf):
-    return r4(A.posterior_stats(v("fx_reports")), "mean_correct", "mean_wrong", digits=6)
+    return r4(A.posterior_stats(v("fx_heads")), "mean_correct", "mean_wrong", digits=6)
 
 
 @query("A58_stock_status", "select (select count(*) from fx_articles) as n_articles, (select count(distinct article_number) from fx_shots) as n_with_references")
@@ -354,7 +354,7 @@ def a61(v, spark, sf):
 @query("J05_truth_candidate", """select r.report_id, r.label, t.cand_rank as truth_rank, t.log_score, t.nominal_size_mm as nominal_mm
 from fx_rep r left join fx_cand t on t.report_id = r.report_id and t.article_number = r.label where coalesce(r.label, '') <> ''""")
 def j05(v, spark, sf):
-    return A.truth_candidate(v("fx_reports"))
+    return A.truth_candidate(v("fx_heads"))
 
 
 @query("J08_article_listing", f"""select article_number, name, case when coalesce(diameter_mm, 0e0) <> 0 then printf('Ø %.1f mm', diameter_mm)
@@ -370,55 +370,55 @@ def j08(v, spark, sf):
   max(case when cand_rank = 1 then log_score end) as score1, max(case when cand_rank = 2 then log_score end) as score2,
   round(max(case when cand_rank = 1 then log_score end) - max(case when cand_rank = 2 then log_score end), 4) as margin from fx_cand group by 1 having count(*) >= 2""")
 def j11(v, spark, sf):
-    return A.top1_vs_top2(v("fx_reports"))
+    return A.top1_vs_top2(v("fx_heads"))
 
 
 @query("J12_position_error_join", """select report_id, cx as x_px, cy as y_px, label, diameter_mm as soll_mm, round(m * f, 2) as gemessen_mm, round(m * f - diameter_mm, 2) as fehler_mm
 from (select r.report_id, r.cx, r.cy, r.label, a.diameter_mm, r.circle_diameter_mm + 0.0003e0 as m, (300e0 - coalesce(a.height_mm, 0e0)) / 300e0 as f
   from fx_rep r join fx_articles a on a.article_number = r.label where r.cx is not null and a.diameter_mm <> 0)""")
 def j12(v, spark, sf):
-    r = v("fx_reports").withColumn("measured", F.struct(
+    r = v("fx_heads").withColumn("measured", F.struct(
         (F.col("measured.circle_diameter_mm") + 0.0003).alias("circle_diameter_mm")))
     return A.position_errors(r, v("fx_articles"))
 
 
 @query("T01_newest_n", "select report_id, stem from fx_rep order by stem desc, report_id desc limit 50")
 def t01(v, spark, sf):
-    r = v("fx_reports").withColumn("_o", F.struct("stem", "report_id"))
+    r = v("fx_heads").withColumn("_o", F.struct("stem", "report_id"))
     return reports.newest(r, 50, "_o").select("report_id", "stem")
 
 
 @query("T02_top_k_suggestions", """select report_id, cand_rank as "rank", article_number, posterior from fx_cand join (select report_id from fx_rep where decision = 'ambiguous') using (report_id) where cand_rank <= 3""")
 def t02(v, spark, sf):
     from ..operators import scoring
-    return scoring.top_k_suggestions(v("fx_reports"), 3)
+    return scoring.top_k_suggestions(v("fx_heads"), 3)
 
 
 @query("T04_worst_first", f"""select label, k, n, {_PA['p']} as p from (select label, count_if(ok) as k, count(*) as n from fx_judged where coalesce(label, '') <> '' and ok is not null group by 1)
 order by 4, label""")
 def t04(v, spark, sf):
-    return A.worst_first(A.per_article_quota(v("fx_reports"))).select("label", "k", "n", "p")
+    return A.worst_first(A.per_article_quota(v("fx_heads"))).select("label", "k", "n", "p")
 
 
 @query("T05_top_confusions", """select coalesce(nullif(label, ''), '?') as truth, pred as predicted, count(*) as n from fx_judged where ok = false group by 1, 2 order by n desc, truth, predicted limit 8""")
 def t05(v, spark, sf):
-    return A.top_confusions(v("fx_reports"), 8)
+    return A.top_confusions(v("fx_heads"), 8)
 
 
 @query("T05_all_confusions", """select coalesce(nullif(label, ''), '?') as truth, pred as predicted, count(*) as n from fx_judged where ok = false group by 1, 2""")
 def t05_all(v, spark, sf):
-    return A.confusion_pairs(v("fx_reports")).select("truth", "predicted", "n")
+    return A.confusion_pairs(v("fx_heads")).select("truth", "predicted", "n")
 
 
 @query("W15_capture_order", """select report_id, session, row_number() over (partition by session order by stem, report_id) - 1 as capture_order from fx_rep""")
 def w15(v, spark, sf):
-    return A.capture_order(v("fx_reports")).select("report_id", "session", "capture_order")
+    return A.capture_order(v("fx_heads")).select("report_id", "session", "capture_order")
 
 
 @query("A_drift_rows", """select report_id, label, circle_diameter_mm as diameter_mm, row_number() over (order by stem, report_id) - 1 as ord from fx_rep where coalesce(label, '') <> ''""")
 def a_drift(v, spark, sf):
     from ..operators.ranks import global_position
-    r = v("fx_reports").where("coalesce(label, '') <> ''").select(
+    r = v("fx_heads").where("coalesce(label, '') <> ''").select(
         "report_id", "stem", "label", F.col("measured.circle_diameter_mm").alias("diameter_mm"))
     return global_position(r, [], [F.col("stem"), F.col("report_id")], "ord").select(
         "report_id", "label", "diameter_mm", "ord")

@@ -219,7 +219,7 @@ def j16(v, spark, sf):
 
 @query("J17_label_exists", """select report_id, label from fx_rep where label is not null and label <> 'NO_MATCH' and label not in (select article_number from fx_articles where article_id % 13 <> 0)""")
 def j17(v, spark, sf):
-    r = v("fx_reports").where("label is not null").select("report_id", "label")
+    r = v("fx_heads").where("label is not null").select("report_id", "label")
     return X.unknown_labels(r, v("fx_articles").where("article_id % 13 <> 0"), "label").select("report_id", "label")
 
 

@@ -116,7 +116,7 @@ def s09(v, spark, sf):
 @query("S10_write_reports", "select substr(stem, 1, 6) as date, count(*) as n from fx_rep group by 1")
 def s10(v, spark, sf):
     path = scratch_path(spark, "reports")
-    days = v("fx_reports").select("report_id", "stem", "decision")
+    days = v("fx_heads").select("report_id", "stem", "decision")
     SR.write_reports(days, path, unit="month")
     return spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -129,13 +129,13 @@ _FBS = """(select r.report_id, case when f.kind is null then r.verdict when f.ki
 
 @query("S11_apply_verdict", f"select report_id, verdict, label from {_FBS} t")
 def s11(v, spark, sf):
-    return SR.apply_verdict(v("fx_reports"), v(f"select * from {_FB} t")).select("report_id", "verdict", "label")
+    return SR.apply_verdict(v("fx_heads"), v(f"select * from {_FB} t")).select("report_id", "verdict", "label")
 
 
 @query("S12_apply_no_match_verdict", f"select report_id, verdict, label from {_FBS} t where kind = 'no_match'")
 def s12(v, spark, sf):
     fb = v(f"select * from {_FB} t").where("kind = 'no_match'")
-    out = SR.apply_verdict(v("fx_reports"), fb)
+    out = SR.apply_verdict(v("fx_heads"), fb)
     return out.join(fb.select("report_id"), "report_id", "left_semi").select("report_id", "verdict", "label")
 
 
@@ -217,14 +217,14 @@ def s20b(v, spark, sf):
 @query("S21_snapshot_baseline_write", f"with t3 as {_T3}, q as ({quota_union(TIER2, 't3', True)}) select metric, k, n, p from q")
 def s21(v, spark, sf):
     path = scratch_path(spark, "baseline")
-    base = runs.baseline_row(X.tier2_quotas(v("fx_reports")), "r1", 2, 1)
+    base = runs.baseline_row(X.tier2_quotas(v("fx_heads")), "r1", 2, 1)
     runs.write_baseline(base, path, "v1")
     return spark.read.parquet(path).select(F.inline("quotas")).select("metric", "k", "n", "p")
 
 
 @query("S22_baseline_history", f"with t3 as {_T3}, q as ({quota_union(TIER2, 't3', True, 'session')}) select session as version, metric, k, n, p, round(p - lag(p) over (partition by metric order by session), 4) as change from q where metric <> 'accuracy_top1_verdict'")
 def s22(v, spark, sf):
-    q = X.tier2_quotas(v("fx_reports"), "session")
+    q = X.tier2_quotas(v("fx_heads"), "session")
     vers = q.groupBy(F.col("session").alias("version")).agg(F.collect_list(F.struct("metric", "k", "n", "p")).alias("quotas")).withColumn("date", F.col("version"))
     return runs.baseline_history(vers).select("version", "metric", "k", "n", "p", "change")
 

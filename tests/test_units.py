@@ -558,3 +558,26 @@ def test_order_code_in_steps(spark):
     assert got.where("c <> one or c is null").count() == 0
     plan = O._coded(df, [], "x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LOG2") == 1 and plan.upper().count("POWER(") <= 3
+
+
+def test_given_tables_are_dealt_by_rows(spark, sf, monkeypatch):
+    """Parts grow with the rows, not with files or cores; shots lie by article while they are narrow."""
+    from mensura.catalog import views as V
+    monkeypatch.setattr(V, "_SPREAD", {})
+    monkeypatch.setattr(V, "_TASK_ROWS", {"orders": 50, "supplier": 1, "lineitem": 400})
+    rows = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem")}
+    assert V.parts(spark, sf, "orders") == -(-rows["orders"] // 50) > spark.sparkContext.defaultParallelism
+    shots = V.view(spark, sf, "fx_shots")
+    assert shots.count() == rows["lineitem"]
+    plan = shots.groupBy("article_number").agg(F.max("hu_moments"), F.max("circle_diameter_mm"))._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("hashpartitioning(article_number") <= 2 and f", {-(-rows['lineitem'] // 400)})" in plan      # of shots, and of articles unless broadcast
+
+
+def test_light_reports_are_the_reports(spark, sf):
+    from mensura.catalog import views as V
+    heads, whole = V.view(spark, sf, "fx_heads"), V.view(spark, sf, "fx_reports")
+    names = [c for c in whole.columns if c != "candidates"]
+    assert heads.columns == whole.columns and "features" not in heads.schema["candidates"].dataType.elementType.names
+    less = whole.withColumn("candidates", F.transform("candidates", lambda c: c.dropFields("features")))
+    for a, b in ((heads, less), (less, heads)):
+        assert a.select(*names, "candidates").exceptAll(b.select(*names, "candidates")).count() == 0
