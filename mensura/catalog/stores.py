@@ -88,7 +88,9 @@ def _json_folder(v, spark):
     fields = ("decision", "candidates", "llr_margin", "max_z_winner", "gate_passed", "timestamp", "label", "verdict", "prefiltered", "image_path")
     reports = v("fx_reports").select(F.to_json(F.struct(*fields)).alias("value"))
     bad = spark.range(1).select(F.explode(F.array(F.lit('{"foreign": 1}'), F.lit('{"decision": '))).alias("value"))
-    reports.unionByName(bad).write.text(path)
+    # A report is some kilobytes of text, mostly names: packed it is a tenth of that. A packed file is read by one
+    # task, so no file gets many reports.
+    reports.unionByName(bad).write.option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
     return path
 
 

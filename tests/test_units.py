@@ -588,3 +588,12 @@ def test_trend_without_spread_is_null(spark):
     t = {r.k: r for r in stats.linear_trend(spark.createDataFrame(rows, "k string, shot long, length double, width double, x double, y double"), "k", 9).collect()}
     assert t["a"].r_y is None and t["a"].r_x is None and t["a"].r_radius is None and t["a"].slope_length is None and t["a"].r_time > 0.9
     assert t["b"].r_y is None and t["b"].r_time is None and t["b"].slope_length == 0
+
+
+def test_report_folder_is_packed(spark, sf):
+    import glob
+    from mensura.catalog import stores, views as V
+    path = stores._json_folder(lambda text: V.view(spark, sf, text), spark)
+    files = glob.glob(f"{path}/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    assert SR.load_reports(spark, path, layout="lines").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
