@@ -597,3 +597,18 @@ def test_report_folder_is_packed(spark, sf):
     files = glob.glob(f"{path}/part-*")
     assert files and all(f.endswith(".gz") for f in files)
     assert SR.load_reports(spark, path, layout="lines").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_nearest_vectors_in_bounded_steps(spark, monkeypatch):
+    """Few copies and products at a time, several cells a block, equal vectors by id: as brute force has it."""
+    for name, value in (("_BLOCK", 40), ("_COPIES", 50), ("_ROWS", 7)):
+        monkeypatch.setattr(pairs, name, value)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(90, 6)), 3, axis=0)
+    df = spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.rank): r.neighbour for r in pairs.embedding_knn(df, df, 4).collect()}
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+    near = np.round(u @ u.T, 12)
+    for q in range(len(x)):
+        want = np.lexsort((np.arange(len(x)), -near[q]))[:4]
+        assert [got[q, k + 1] for k in range(4)] == want.tolist()
