@@ -612,3 +612,21 @@ def test_nearest_vectors_in_bounded_steps(spark, monkeypatch):
     for q in range(len(x)):
         want = np.lexsort((np.arange(len(x)), -near[q]))[:4]
         assert [got[q, k + 1] for k in range(4)] == want.tolist()
+
+
+def test_scoring_needs_no_exchange_after_the_band_join(spark, sf):
+    from mensura.catalog import views as V
+    articles, shots = V.view(spark, sf, "fx_articles"), V.view(spark, sf, "fx_shots")
+    measured = V.view(spark, sf, "fx_measured")
+    known = enroll.stats_wide(shots)
+    plain = scoring.summarise(scoring.score(scoring.candidate_rows(measured, articles, known, Params()), Params()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = scoring.candidate_rows(measured, articles, known, Params(), bins=True)
+        found = scoring.summarise(scoring.score(rows, Params()), [scoring.BIN, scoring.RID, "variant"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(_bin") == 2 and "hashpartitioning(report_id" not in plan
+        assert found.drop(scoring.BIN).exceptAll(plain).count() == 0 and found.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
