@@ -630,3 +630,11 @@ def test_scoring_needs_no_exchange_after_the_band_join(spark, sf):
         assert found.drop(scoring.BIN).exceptAll(plain).count() == 0 and found.count() == plain.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_catalogue_does_not_pass_the_driver(spark, sf):
+    """Bands and own articles grow with the catalogue; the only broadcast is the single row of its size."""
+    from mensura.catalog import views as V
+    measured, articles = V.view(spark, sf, "fx_measured"), V.view(spark, sf, "fx_articles")
+    plan = joins.kill_summary(measured, articles, 6.0, 12.0, label="label")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "BroadcastHashJoin" not in plan
