@@ -483,7 +483,11 @@ def cooccurring_pairs(reports: DataFrame) -> DataFrame:
 
 
 def discriminability(pairs: DataFrame, stats: DataFrame, floors: dict | None = None) -> DataFrame:
-    """Pair x feature separation: location difference over rms of max(s, floor)."""
+    """Pair x feature separation: location difference over rms of max(s, floor).
+
+    Means end in noise that depends on the order of their rows; it is rounded off (10 digits), or the same
+    shots would fall on either side of a tie of a later rounding.
+    """
     floors = floors or C.SIGMA_FLOORS
     names = [f"m_{f}" for f in C.SCALAR_FEATURES] + [f"p_{f}" for f in C.PROTO_FEATURES] + [
         f"s_{f}" for f in C.ALL_FEATURES]
@@ -500,7 +504,7 @@ def discriminability(pairs: DataFrame, stats: DataFrame, floors: dict | None = N
         va = F.greatest(F.coalesce(F.col(f"a_s_{f}"), F.lit(0.0)), fl)
         vb = F.greatest(F.coalesce(F.col(f"b_s_{f}"), F.lit(0.0)), fl)
         eff = F.sqrt((va * va + vb * vb) / 2.0)
-        cols[f] = F.when(eff > 0, loc / eff)
+        cols[f] = F.when(eff > 0, F.round(loc / eff, 10))
     out = j.select("a", "b", *[x.alias(f) for f, x in cols.items()])
     return out.withColumn("max_sep", F.greatest(*[F.col(f) for f in C.ALL_FEATURES]))
 

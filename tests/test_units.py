@@ -638,3 +638,16 @@ def test_catalogue_does_not_pass_the_driver(spark, sf):
     measured, articles = V.view(spark, sf, "fx_measured"), V.view(spark, sf, "fx_articles")
     plan = joins.kill_summary(measured, articles, 6.0, 12.0, label="label")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastExchange") == 1 and "BroadcastHashJoin" not in plan
+
+
+def test_separation_does_not_hang_on_the_order_of_sums(spark):
+    """5.78125 with and without the noise of a mean is the same number, so a rounding to 4 digits is too."""
+    cols = [f"m_{f}" for f in C.SCALAR_FEATURES] + [f"s_{f}" for f in C.ALL_FEATURES]
+    floor = C.SIGMA_FLOORS[C.FLOOR_KEYS["solidity"]]
+    rows = [("a", 0.0), ("b", 5.78125 * floor), ("c", math.nextafter(5.78125 * floor, 0) - 2e-17)]
+    table = spark.createDataFrame(rows, "article_number string, x double")
+    table = table.select("article_number", *[F.col("x").alias(c) if c == "m_solidity" else F.lit(0.0).alias(c) for c in cols],
+                         *[F.lit(None).cast("array<double>").alias(f"p_{f}") for f in C.PROTO_FEATURES])
+    pairs_ = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
+    got = {r.b: r.s for r in analysis.discriminability(pairs_, table).select("b", F.round("solidity", 4).alias("s")).collect()}
+    assert got == {"b": 5.7813, "c": 5.7813}
