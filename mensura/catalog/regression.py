@@ -198,7 +198,7 @@ _SNAP = "(select article_number, min(n_shots) + min(aid) % 7 % 2 as n_shots, 60e
 from fx_feat f join fx_cand c on c.report_id = f.report_id and c.cand_rank = f.cand_rank join fx_rep r on r.report_id = f.report_id left join {_SNAP} s on s.article_number = f.article_number
 where f.feature = 'diameter_mm' and f.reference is not null group by 1""")
 def j13(v, spark, sf):
-    out = X.db_match_ratio(v("fx_reports"), v(f"select * from {_SNAP} t"), "session")
+    out = X.db_match_ratio(v("fx_refs"), v(f"select * from {_SNAP} t"), "session")
     return out.withColumn("ratio", F.round("ratio", 6))
 
 

@@ -144,21 +144,21 @@ def s12(v, spark, sf):
 @query("S13_csv_sink", "select label, pred, count(*) as n from fx_judged where coalesce(label, '') <> '' group by 1, 2")
 def s13(v, spark, sf):
     path = scratch_path(spark, "confusion-csv")
-    SR.csv_sink(A.confusion(v("fx_reports")), path, ["label", "pred", "n"])
+    SR.csv_sink(A.confusion(v("fx_heads")), path, ["label", "pred", "n"])
     return spark.read.schema("label string, pred string, n long").option("header", True).csv(path)
 
 
 @query("S14_publish_run", "select label, count(*) as n from fx_rep where coalesce(label, '') <> '' group by 1")
 def s14(v, spark, sf):
     root = scratch_path(spark, "archive")
-    frame = v("fx_reports").where("coalesce(label, '') <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    frame = v("fx_heads").where("coalesce(label, '') <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     SR.publish_run({"per_label": frame}, root, "r1")
     return spark.read.parquet(f"{root}/run_id=r1/per_label")
 
 
 @query("S15_archive_reports", "select report_id from fx_rep where session >= 'S10'")
 def s15(v, spark, sf):
-    root, r = scratch_path(spark, "archived"), v("fx_reports").select("report_id", "session", "decision")
+    root, r = scratch_path(spark, "archived"), v("fx_heads").select("report_id", "session", "decision")
     SR.archive_reports(r.where("session < 'S10'"), root, "r1")
     return SR.current_reports(r, spark.read.parquet(root)).select("report_id")
 
@@ -236,7 +236,7 @@ r as (select concat('captures/', stem, '.png') as image_path from fx_rep), j as
 select count(distinct case when sha not in (select sha from m) then sha end) as new, count(*) - count(distinct case when sha not in (select sha from m) then sha end) as duplicate,
   (select count(*) from r where image_path not in (select image_path from h)) as without_image from j""")
 def s23(v, spark, sf):
-    r = v("fx_reports")
+    r = v("fx_refs")
     hashes = r.where("k % 13 <> 0").groupBy("image_path").agg(F.min(F.sha2((F.col("k") % 9000).cast("string"), 256)).alias("sha"))
     known = r.where("k < 900 and k % 2 = 0").select(F.sha2(F.col("k").cast("string"), 256).alias("sha"))
     cols = ("session", "article", "label", "verdict")

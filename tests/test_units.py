@@ -583,6 +583,33 @@ def test_light_reports_are_the_reports(spark, sf):
         assert a.select(*names, "candidates").exceptAll(b.select(*names, "candidates")).count() == 0
 
 
+def test_reports_with_few_fields_of_features_are_the_reports(spark, sf):
+    from mensura.catalog import views as V
+    refs, whole, docs = (V.view(spark, sf, n) for n in ("fx_refs", "fx_reports", "fx_docs"))
+    less = whole.withColumn("candidates", F.transform("candidates", lambda c: c.withField("features", F.transform(
+        c["features"], lambda f: F.struct(f["feature"].alias("feature"), f["reference"].alias("reference"))))))
+    for a, b in ((refs, less), (less, refs), (docs, whole), (whole, docs)):
+        assert a.columns == b.columns and a.exceptAll(b.select(*a.columns)).count() == 0
+
+
+def test_reports_are_rounded_as_round_does_and_without_decimals(spark, sf):
+    from mensura.catalog import views as V
+    for n, m in ((4, 0.00001234567), (2, 0.0)):
+        x = spark.range(-3000, 3000).select(((F.col("id") * 7919 % 4200) / 1000.0 * 0.7391 + m).alias("x"))
+        fast = x.select(F.expr(V.SparkDialect.rnd("x", n)).alias("a"), F.round("x", n).alias("b"))
+        assert fast.where("a <> b or cast(a as string) <> cast(b as string)").count() == 0
+    assert "round(" not in V.VIEWS["fx_reports"](V.SparkDialect)
+
+
+def test_corpus_and_old_reports_store_no_features(spark, sf):
+    from mensura.catalog import views as V
+    from mensura.catalog import load
+    V._SPREAD.pop((spark.sparkContext.applicationId, sf, "fx_reports"), None)
+    for name in ("S23_build_corpus", "S13_csv_sink", "S14_publish_run", "S15_archive_reports"):
+        load()[0][name](spark, sf)
+    assert (spark.sparkContext.applicationId, sf, "fx_reports") not in V._SPREAD
+
+
 def test_trend_without_spread_is_null(spark):
     rows = [("a", i, 60.0 + i * i, 5.0, 1.0, 1.0) for i in range(4)] + [("b", i, 60.0, 5.0 + i, 1.0 * i, 2.0 * i) for i in range(4)]
     t = {r.k: r for r in stats.linear_trend(spark.createDataFrame(rows, "k string, shot long, length double, width double, x double, y double"), "k", 9).collect()}
