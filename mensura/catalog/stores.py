@@ -110,7 +110,7 @@ def s08_newest(v, spark, sf):
 @query("S09_schema_evolution_defaults", "select report_id, 0e0 as solidity, 0::bigint as n_zone, 0::bigint as n_kills from fx_rep")
 def s09(v, spark, sf):
     """Reports of an older schema: no solidity, no zones, no kills."""
-    old = v("fx_reports").select("report_id", F.to_json(F.struct("decision", "candidates", F.struct("measured.circle_diameter_mm").alias("measured"))).alias("j"))
+    old = v("fx_docs").select("report_id", F.to_json(F.struct("decision", "candidates", F.struct("measured.circle_diameter_mm").alias("measured"))).alias("j"))
     r = SR._defaults(old.select("report_id", F.from_json("j", schemas.REPORT).alias("r")).select("report_id", "r.*"))
     return r.select("report_id", "measured.solidity", F.size("measured.lab_rim").cast("long").alias("n_zone"), F.size("prefiltered").cast("long").alias("n_kills"))
 

@@ -605,7 +605,7 @@ def test_corpus_and_old_reports_store_no_features(spark, sf):
     from mensura.catalog import views as V
     from mensura.catalog import load
     V._SPREAD.pop((spark.sparkContext.applicationId, sf, "fx_reports"), None)
-    for name in ("S23_build_corpus", "S13_csv_sink", "S14_publish_run", "S15_archive_reports"):
+    for name in ("S23_build_corpus", "S09_schema_evolution_defaults", "S13_csv_sink", "S14_publish_run", "S15_archive_reports"):
         load()[0][name](spark, sf)
     assert (spark.sparkContext.applicationId, sf, "fx_reports") not in V._SPREAD
 
