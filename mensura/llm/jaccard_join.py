@@ -46,11 +46,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.pairs import clusters
-from ..session import scratch_path
+from ..session import scratch_path, store
 from .common import SPACE, few_rows_a_batch, mix, slices, text_buffers, word_hashes
 
 GROWTH = Fraction(3, 2)      # sizes of a band: from b to under b * GROWTH
@@ -172,6 +172,16 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         run, "id long, keys array<long>")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """key, id, pivot (the key's smallest id) of keys with two ids or more.
+
+    Nearly all keys have one id, and there are far more keys than words: they are exchanged once and stored nowhere.
+    """
+    w = Window.partitionBy("key")
+    return keyed.withColumns({"pivot": F.min("id").over(w), "top": F.max("id").over(w)}).where("pivot < top").select(
+        "key", "id", "pivot").distinct()
+
+
 def counts_of(sets: np.ndarray) -> bytes:
     """Shingles by the low bits of their hashes, a byte for each bin (255: or more)."""
     bins = max(LEAST_BINS, 1 << (max(1, len(sets) // 4) - 1).bit_length())
@@ -236,7 +246,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return _near_by_counts(pairs, sets, percent).join(left, "a").join(right, "b").where(
+    near = store(_near_by_counts(pairs, sets, percent), scratch_path(pairs.sparkSession, "jaccard-pairs"))
+    return near.join(left, "a").join(right, "b").where(
         100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
@@ -353,19 +364,14 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     spark = docs.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"jaccard-{name}")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+        return store(df, scratch_path(spark, f"jaccard-{name}"))
 
     digest = kept(_digest(docs, id_col, text_col, words), "digest")
     row = ["fp1", "fp2", "n"]
     classes = kept(digest.where("n > 0 and id is not null").groupBy(*row).agg(F.min("id").alias("rep")), "classes")
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
-    keys = kept(_keys(docs, id_col, text_col, words, percent).join(sizes.select("id"), "id", "left_semi"), "keys")
-    keyed = keys.select(F.explode("keys").alias("key"), "id")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top")
-    members = keyed.join(shared.select("key", "pivot").hint("shuffle_hash"), "key").distinct()
-    near = kept(members.join(sizes, "id"), "near")          # members of keys with two classes or more
+    keys = _keys(docs, id_col, text_col, words, percent).join(sizes.select("id"), "id", "left_semi")
+    near = kept(_shared(keys.select(F.explode("keys").alias("key"), "id")).join(sizes, "id"), "near")
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     sets = kept(_sets(docs, near.select("id").distinct(), id_col, text_col, words), "sets")
@@ -401,7 +407,7 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     third = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") > F.col("q.id"))
                      & (F.col("p.c") != F.col("q.c")) & fits(F.col("p.n"), F.col("q.n"))).select(
         F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    links = links.unionByName(_verified(third, sets, percent))
+    links = links.unionByName(kept(_verified(third, sets, percent), "third"))
     with few_rows_a_batch(spark):
         links = kept(links.unionByName(_in_blocks(large.where(F.col("size") > FEW), sets, percent)), "links3")
 

@@ -6,7 +6,9 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -387,3 +389,45 @@ def test_pipeline_rows_that_share_an_id(spark, tmp_path):
     assert texts(p.hide_secrets(spark, d, str(tmp_path))) == sorted((i or 0, t.replace(key, "<SECRET>")) for i, t in rows)
     found = spark.createDataFrame([(7, " ".join([*near, "x"])), (3, " ".join(near)), (None, " ".join(["y", *near]))], "doc_id long, text string")
     assert [r.doc_id for r in p.drop_near_duplicates(spark, found, str(tmp_path)).collect()] == [3]
+
+
+def test_shared_keys_are_exchanged_once(spark, monkeypatch):
+    keyed = spark.createDataFrame([(1, 5), (1, 3), (1, 3), (2, 4), (3, 9), (3, 8)], "key long, id long")
+    got = jaccard_join._shared(keyed)
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 3), (1, 5, 3), (3, 8, 8), (3, 9, 8)]
+    plan = jaccard_join._shared(keyed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    stored, scratch = [], jaccard_join.scratch_path
+    monkeypatch.setattr(jaccard_join, "scratch_path", lambda s, name: stored.append(name) or scratch(s, name))
+    texts = [" ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))]
+    assert {r.component_id for r in jaccard_join.components(docs(spark, texts), 80, 5).collect() if r.doc_id in (0, 1)} != set()
+    assert "jaccard-near" in stored and "jaccard-keys" not in stored
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    from mensura.session import scratch_path, store
+    home = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    files = lambda: set(home.rglob("shuffle_*.data"))
+    before = files()
+    rows = spark.range(20000).repartition(3, "id")
+    stored = store(rows, scratch_path(spark, "stored"))
+    for _ in range(50):                                     # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and stored.count() == 20000
+
+
+def test_stages_send_documents_in_small_batches(spark, sf):
+    import corpus_pipeline as p
+    import pyarrow as pa
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    for _, step in p.STAGES:
+        spark.conf.unset(key)
+        step(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf)
+        assert int(spark.conf.get(key)) <= 4 << 20
+    sizes = spark.range(64).selectExpr("repeat('x', 1 << 20) t").coalesce(1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    spark.conf.unset(key)
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 8 << 20
