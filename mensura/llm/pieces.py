@@ -5,16 +5,23 @@ space between two visible characters. The pieces of a batch that are not yet kno
 line and encoded by one call; the tokens' byte lengths say where each piece's ids end. A piece
 counts only if tokens end where it ends; texts with a piece that doesn't, and the surroundings of other white
 space, are encoded as they stand.
+
+Where the tokenizer's pattern takes letters, marks and line ends apart (``apart``), a piece such as ``word.`` or
+``word.\\nNext`` is put together from its words, so a word is encoded once whatever follows it.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 
 LINE = 1 << 14               # characters encoded by one call
+MARKED = 10_000              # runs of marks that are kept
+_WORD = "([A-Za-zÀ-ÖØ-öø-ʯЀ-ҁҊ-ԯ]+)([.,;:!?]*)"        # letters of any Unicode version, and marks
+_WORDS = re.compile(f"{_WORD}(?:\n{_WORD})?").fullmatch
 
 
 def bytes_of_ids(tok) -> list[bytes]:
@@ -36,11 +43,14 @@ class PieceEncoder:
     """``encode`` maps a text to ids; ``spelled`` has the bytes of every id.
 
     The memo is kept in two generations of at most ``most`` pieces each; what is asked for again moves to the
-    young one. Pieces of over 64 characters are forgotten after their batch.
+    young one. Pieces of over 64 characters are forgotten after their batch. ``apart``: letters, marks and a
+    line end are always encoded each by themselves.
     """
 
-    def __init__(self, encode: Callable[[str], Sequence[int]], spelled: Sequence[bytes], most: int):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[str], Sequence[int]], spelled: Sequence[bytes], most: int, apart: bool = False):
+        self.encode, self.most, self.apart = encode, most, apart
+        self.bare: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.length = np.array([len(t) for t in spelled], np.int64)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -49,26 +59,61 @@ class PieceEncoder:
         """Packed ids of space + piece for every wanted piece; nothing for pieces that can't stand alone."""
         old = self.old
         known = {p: old[p] for p in wanted if p in old}
+        fresh = wanted.difference(old)
+        made = [(p, *m.groups()) for p, m in zip(fresh, map(_WORDS, fresh)) if m and m.end(1) < len(p)] if self.apart else []
+        if made:
+            fresh.difference_update([m[0] for m in made])
+            for word in {m[1] for m in made}.difference(known, self.young, fresh):
+                if word in old:
+                    known[word] = old[word]
+                else:
+                    fresh.add(word)
         safe = []
-        for p in wanted:
-            if p in known:
-                continue
-            if p and not p[0].isspace() and not p[-1].isspace():
+        for p in fresh:
+            if p and p.strip() == p:
                 safe.append(p)
             else:
                 known[p] = b""
-        begin, size = 0, 0
-        for i, piece in enumerate(safe):
-            size += len(piece) + 1
-            if size >= LINE or i == len(safe) - 1:
-                known.update(self._line(safe[begin:i + 1]))
-                begin, size = i + 1, 0
+        for line in _lines(safe):
+            known.update(self._line(line))
+        if made:
+            self._put_together(made, known)
         return known
 
+    def _put_together(self, made: list[tuple], known: dict[str, bytes]) -> None:
+        """Ids of (piece, word, marks, word after a line end or None, marks), whose first words are known."""
+        young, marks = self.young, self.marks
+        if len(marks) > MARKED:
+            marks.clear()
+        for mark in {m[2] for m in made} | {m[4] or "" for m in made} | {"\n", ""}:
+            if mark not in marks:
+                marks[mark] = array("I", self.encode(mark)).tobytes() if mark else b""
+        if len(self.bare) > self.most // 2:
+            self.bare.clear()
+        for line in _lines({m[3] for m in made if m[3]}.difference(self.bare)):
+            self.bare.update(self._bare_line(line))
+        for piece, word, mark, after, mark_after in made:
+            first = known.get(word) or young.get(word)
+            if not first:
+                known[piece] = b""
+            elif after is None:
+                known[piece] = first + marks[mark]
+            else:
+                known[piece] = first + marks[mark] + marks["\n"] + self.bare[after] + marks[mark_after]
+
+    def _bare_line(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of every word without a space before it, from one line a word."""
+        ids = np.array(self.encode("\n".join(words)), np.uint32)
+        text = np.frombuffer("\n".join(words).encode() + b"\n", np.uint8)
+        cut = np.searchsorted(np.cumsum(self.length[ids]), np.flatnonzero(text == 10)).tolist()
+        packed = ids.tobytes()
+        return {w: packed[4 * a:4 * b + 4] for w, a, b in zip(words, [0, *(c + 2 for c in cut)], cut)}
+
     def _line(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.encode(" " + " ".join(pieces)), np.uint32)
+        text = " " + " ".join(pieces)
+        ids = np.array(self.encode(text), np.uint32)
         ends = np.cumsum(self.length[ids])
-        want = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        want = np.flatnonzero(np.frombuffer(text.encode() + b" ", np.uint8) == 32)[1:]      # no piece holds a space
         cut = np.searchsorted(ends, want)
         if not (len(ends) and ends[-1] == want[-1] and (ends[cut] == want).all()):
             if len(pieces) == 1:
@@ -83,7 +128,7 @@ class PieceEncoder:
         split = [t.split(" ") for t in texts]
         heads = [b""] * len(split) if lead else [self._head(pieces) for pieces in split]
         young = self.young
-        wanted = {p for p in set().union(*split) if p not in young}
+        wanted = set().union(*split).difference(young)
         new = self._learn(wanted) if wanted else {}
         young.update(new)
         out = []
@@ -120,6 +165,19 @@ class PieceEncoder:
         return (len(run) == 1 and self.young.get(run[0])) or array("I", self.encode(" " + " ".join(run))).tobytes()
 
 
+def _lines(pieces: Iterable[str]) -> Iterable[list[str]]:
+    """The pieces in lists of about LINE characters."""
+    line, size = [], 0
+    for piece in pieces:
+        line.append(piece)
+        size += len(piece) + 1
+        if size >= LINE:
+            yield line
+            line, size = [], 0
+    if line:
+        yield line
+
+
 def _cut(before: str, piece: str) -> bool:
     """Whether a text may be cut before the space between these two pieces."""
     return bool(before and piece) and not before[-1].isspace() and not piece[0].isspace()

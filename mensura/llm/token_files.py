@@ -130,7 +130,7 @@ def encoder(path: str) -> PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
-        _LOADED[path] = PieceEncoder(lambda t: tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, bytes_of_ids(tok), MEMO)
+        _LOADED[path] = PieceEncoder(lambda t: tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, bytes_of_ids(tok), MEMO, apart=True)
     return _LOADED[path]
 
 
