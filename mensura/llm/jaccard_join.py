@@ -46,7 +46,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.pairs import clusters
@@ -379,40 +379,65 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     first = near.where("pivot < id").groupBy("id").agg(F.min("pivot").alias("b"))
     links = kept(_verified(first.select(F.col("id").alias("a"), "b"), sets, percent), "links1")
 
-    def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-        """``members`` with the component of each, those of keys with several components."""
-        label = clusters(found)
-        named = members.join(label.select(F.col("node").alias("id"), "cluster"), "id", "left").select(
-            "key", "id", "n", "pivot", F.coalesce("cluster", "id").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        return named.join(mixed, "key", "left_semi")
-
-    open_ = kept(labelled(near, links), "open")
+    def named(members: DataFrame, label: DataFrame) -> DataFrame:
+        """``members`` with the components ``c`` that ``label`` joins under their new name."""
+        return members.join(label.select(F.col("node").alias("c"), "cluster"), "c", "left").select(
+            *(F.coalesce("cluster", "c").alias("c") if x == "c" else x for x in members.columns))
+
+    def mixed(members: DataFrame, *more: Column) -> DataFrame:
+        """The keys with several components."""
+        of = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *more)
+        return of.where("lo < hi").drop("lo", "hi")
+
+    def sized(bound: int, n: Column) -> list[Column]:
+        """Aggregates of a key: its number of members and of blocks, over members whose ``n`` is not null."""
+        return [F.count(n).alias("size"), F.ceil(F.sum(n) / bound).alias("blocks")]
+
+    def merged(found: DataFrame, members: DataFrame) -> DataFrame | None:
+        """The closure of the components of ``members`` that the pairs link; None without a pair.
+
+        It begins at the components that are known, so a pass joins few of them and ends after few rounds.
+        """
+        of = members.select("id", "c").distinct()
+        pairs = found.join(of.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(
+            of.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        pairs = kept(pairs.distinct(), "merged")
+        return clusters(pairs) if pairs.take(1) else None
+
+    # What is read twice is stored first: a plan holds each step once, which bounds the driver's work on it.
+    labels = [clusters(links)]
+    known = kept(named(near.withColumn("c", F.col("id")), labels[0]), "known")
+    open_ = kept(known.join(mixed(known), "key", "left_semi"), "open")
     pivots = open_.where("id = pivot").select("key", F.col("c").alias("pc"), F.col("n").alias("pn"))
     second = open_.join(pivots, "key").where((F.col("c") != F.col("pc")) & fits(F.col("n"), F.col("pn"))).select(
         F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = kept(links.unionByName(_verified(second, sets, percent)), "links2")
-
-    def sized(members: DataFrame, bound: int) -> DataFrame:
-        """``members`` with the number of members and of blocks of their key."""
-        of = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / bound).alias("blocks"))
-        return members.join(of, "key")
+    label = merged(_verified(second, sets, percent), open_)
+    if label is not None:
+        labels.append(label)
+        open_ = kept(named(open_, label), "joined")
 
-    rest = kept(sized(labelled(open_.drop("c"), links).where("id <> pivot").drop("pivot"), BLOCK_COUNTS), "rest")
+    others = F.when(F.col("id") != F.col("pivot"), F.col("n"))
+    rest = kept(open_.where("id <> pivot").drop("pivot").join(mixed(open_, *sized(BLOCK_COUNTS, others)), "key"), "rest")
     with few_rows_a_batch(spark):
-        tried = _open_by_counts(rest.where(F.col("size") > FEW), sets, percent)
-        large = kept(sized(rest.drop("size", "blocks").join(tried, ["key", "id"], "left_semi"), BLOCK_SHINGLES), "large")
+        tried = kept(_open_by_counts(rest.where(F.col("size") > FEW), sets, percent), "tried")
+    left = kept(rest.drop("size", "blocks").join(tried, ["key", "id"], "left_semi"), "left")
+    large = kept(left.join(left.groupBy("key").agg(*sized(BLOCK_SHINGLES, F.col("n"))), "key"), "large")
     few = rest.where(F.col("size") <= FEW).unionByName(large.where(F.col("size") <= FEW))
     one, two = few.alias("p"), few.alias("q")
     third = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") > F.col("q.id"))
                      & (F.col("p.c") != F.col("q.c")) & fits(F.col("p.n"), F.col("q.n"))).select(
         F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    links = links.unionByName(kept(_verified(third, sets, percent), "third"))
+    third = kept(_verified(third, sets, percent), "third")
     with few_rows_a_batch(spark):
-        links = kept(links.unionByName(_in_blocks(large.where(F.col("size") > FEW), sets, percent)), "links3")
-
-    label = clusters(links).select(F.col("node").alias("rep"), F.col("cluster").alias("c"))
-    named = classes.join(label, "rep", "left").select(*row, F.coalesce("c", "rep").alias("c"))
-    out = digest.select("id", *row).join(named, row, "left")
+        blocks = kept(_in_blocks(large.where(F.col("size") > FEW), sets, percent), "blocks")
+    label = merged(third.unionByName(blocks), rest)
+    if label is not None:
+        labels.append(label)
+
+    component = classes.withColumn("c", F.col("rep"))
+    for label in labels:
+        component = named(component, label)
+    component = component.select(*row, "c")
+    out = digest.select("id", *row).join(component, row, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))

@@ -404,6 +404,19 @@ def test_shared_keys_are_exchanged_once(spark, monkeypatch):
     assert "jaccard-near" in stored and "jaccard-keys" not in stored
 
 
+def test_components_are_closed_once_and_plans_stay_small(spark, monkeypatch):
+    closed, reads, close, store = [], [], jaccard_join.clusters, jaccard_join.store
+    monkeypatch.setattr(jaccard_join, "clusters", lambda pairs: closed.append(pairs.count()) or close(pairs))
+    monkeypatch.setattr(jaccard_join, "store", lambda df, path: reads.append(
+        df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")) or store(df, path))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] + [" ".join([*words, f"end{i}"]) for i in range(6)]        # each is linked with the first
+    got = jaccard_join.components(docs(spark, texts), 80, 5)
+    assert {r.component_id for r in got.collect() if r.doc_id is not None} == {0}
+    assert closed == [6]                        # later passes link nothing, so there is nothing to close again
+    assert max(reads) <= 8, reads               # tables that one stored step reads: the driver holds its plan
+
+
 def test_stored_steps_leave_no_shuffle_files(spark):
     from mensura.session import scratch_path, store
     home = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
