@@ -17,6 +17,8 @@ from array import array
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LINE = 1 << 14               # characters encoded by one call
 MARKED = 10_000              # runs of marks that are kept
@@ -142,6 +144,47 @@ class PieceEncoder:
             self.old, self.young = young, {}
         return out
 
+    def column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, each text's followed by ``end``, and their number in each.
+
+        Pieces are told apart by Arrow, so Python sees each distinct one once and the ids are put in place by one gather.
+        """
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        first -= first[0]
+        coded = split.flatten().dictionary_encode()
+        at, pieces = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        young = self.young
+        wanted = {p for p in pieces if p not in young}
+        new = self._learn(wanted) if wanted else {}
+        young.update(new)
+        known = pa.array(list(map(young.__getitem__, pieces)), pa.large_binary())
+        alone = pc.binary_length(known).to_numpy() > 0
+        broken = ~np.logical_and.reduceat(alone[at], first[:-1])
+        # The first place of a row stands for its start, or for all of a text with a piece that can't stand alone.
+        starts, heads, more = at[first[:-1]].tolist(), {}, [array("I", [end]).tobytes(), b""]
+        for row, (piece, slow) in enumerate(zip(starts, broken.tolist())):
+            if slow:
+                own = texts[row].as_py().split(" ")
+                head, rest = self._head(own), list(map(young.__getitem__, own))
+                more.append(head + (b"".join(rest) if all(rest) else self._around(own)))
+            else:
+                if piece not in heads:
+                    heads[piece] = array("I", self.encode(pieces[piece])).tobytes()
+                more.append(heads[piece])
+        if broken.any():
+            at[np.repeat(broken, np.diff(first))] = len(pieces) + 1
+        at[first[:-1]] = len(pieces) + 2 + np.arange(len(texts))
+        for piece in [p for p in new if len(p) > 64]:
+            del young[piece]
+        if len(young) >= self.most:
+            self.old, self.young = young, {}
+        laid = pa.concat_arrays([known, pa.array(more, pa.large_binary())]).take(pa.array(np.insert(at, first[1:], len(pieces))))
+        stops = np.frombuffer(laid.buffers()[1], np.int64)[first[1:] + np.arange(1, len(texts) + 1)] // 4
+        return np.frombuffer(laid.buffers()[2], np.uint32, stops[-1]), np.diff(stops, prepend=0)
+
     def _head(self, pieces: list[str]) -> bytes:
         """Ids of the start of a text, up to the first cut; its pieces are taken from the list."""
         n = next((i for i in range(1, len(pieces)) if _cut(pieces[i - 1], pieces[i])), len(pieces))

@@ -25,7 +25,6 @@ from __future__ import annotations
 import io
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,13 +150,12 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
         texts, task = encoder(path), TaskContext.get()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        end = array("I", [end_id]).tobytes()
         held: list = [[], [], []]
         seq = 0
 
         def flush() -> pa.RecordBatch:
             name = f"part-{task.partitionId():06d}-{seq:06d}-{task.taskAttemptId()}.pfr"
-            ids = np.frombuffer(b"".join(held[2]), "<u4")
+            ids = np.concatenate(held[2])
             with store.open_output_stream(f"{base}/{name}") as out:
                 out.write(to_bytes(held[0], held[1], ids, share))
             row = pa.RecordBatch.from_pydict({"file": [name], "part": [task.partitionId()], "seq": [seq],
@@ -168,12 +166,17 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
         size = 0
         for batch in batches:
             for x, y in slices(text_buffers(batch.column(1))[1], TEXT_BYTES):
-                given = [t or "" for t in batch.column(1).slice(x, y - x).to_pylist()]
-                for doc, packed in zip(batch.column(0).slice(x, y - x).to_pylist(), texts.many(given, lead=False)):
-                    held[0].append(doc)
-                    held[1].append(len(packed) // 4 + 1)
-                    held[2] += [packed, end]
-                    size += len(packed) // 4 + 1
+                ids, counts = texts.column(batch.column(1).slice(x, y - x).cast(pa.large_string()).fill_null(""), end_id)
+                docs, ends = batch.column(0).slice(x, y - x).to_pylist(), np.cumsum(counts)
+                at = 0
+                while at < len(docs):           # a file ends with the text that fills it
+                    done = int(ends[at - 1]) if at else 0
+                    to = min(len(docs), int(np.searchsorted(ends, done + FILE_IDS - size)) + 1)
+                    held[0] += docs[at:to]
+                    held[1] += counts[at:to].tolist()
+                    held[2].append(ids[done:ends[to - 1]])
+                    size += int(ends[to - 1]) - done
+                    at = to
                     if size >= FILE_IDS:
                         yield flush()
                         seq, size = seq + 1, 0
