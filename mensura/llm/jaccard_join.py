@@ -404,9 +404,9 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         pairs = kept(pairs.distinct(), "merged")
         return clusters(pairs) if pairs.take(1) else None
 
-    # What is read twice is stored first: a plan holds each step once, which bounds the driver's work on it.
+    # Steps read what is stored, so that no plan holds a step more than twice: that bounds the driver's work on it.
     labels = [clusters(links)]
-    known = kept(named(near.withColumn("c", F.col("id")), labels[0]), "known")
+    known = named(near.withColumn("c", F.col("id")), labels[0])
     open_ = kept(known.join(mixed(known), "key", "left_semi"), "open")
     pivots = open_.where("id = pivot").select("key", F.col("c").alias("pc"), F.col("n").alias("pn"))
     second = open_.join(pivots, "key").where((F.col("c") != F.col("pc")) & fits(F.col("n"), F.col("pn"))).select(
@@ -414,13 +414,13 @@ def components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     label = merged(_verified(second, sets, percent), open_)
     if label is not None:
         labels.append(label)
-        open_ = kept(named(open_, label), "joined")
+        open_ = named(open_, label)
 
     others = F.when(F.col("id") != F.col("pivot"), F.col("n"))
     rest = kept(open_.where("id <> pivot").drop("pivot").join(mixed(open_, *sized(BLOCK_COUNTS, others)), "key"), "rest")
     with few_rows_a_batch(spark):
         tried = kept(_open_by_counts(rest.where(F.col("size") > FEW), sets, percent), "tried")
-    left = kept(rest.drop("size", "blocks").join(tried, ["key", "id"], "left_semi"), "left")
+    left = rest.drop("size", "blocks").join(tried, ["key", "id"], "left_semi")
     large = kept(left.join(left.groupBy("key").agg(*sized(BLOCK_SHINGLES, F.col("n"))), "key"), "large")
     few = rest.where(F.col("size") <= FEW).unionByName(large.where(F.col("size") <= FEW))
     one, two = few.alias("p"), few.alias("q")
