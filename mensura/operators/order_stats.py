@@ -39,6 +39,12 @@ def _proposed(a: Column) -> Column:
     return F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double")))
 
 
+def _finite(v: Column) -> Column:
+    """The magnitude of a number, NULL for infinities and NaN: they have no mantissa, and casting them to a long is an error."""
+    a = F.abs(v)
+    return F.when(a < float("inf"), a)
+
+
 def _scaled(a: Column, e: Column) -> Column:
     """The 53 bits of the mantissa, in two steps, as one factor may be out of range; scaling by powers of two is exact."""
     half = F.floor((52 - e) / 2)
@@ -59,7 +65,7 @@ def order_code(v: Column) -> Column:
 
     -0.0 and 0.0 are equal; NaN comes last, as in Spark's order. On tables ``with_order_code`` takes each step once a row.
     """
-    a = F.abs(v)
+    a = _finite(v)
     near = _proposed(a)
     e = _exponent(a, near, F.pow(F.lit(2.0), near))
     return _code_of(v, e, _scaled(a, e))
@@ -69,7 +75,7 @@ def with_order_code(df: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` with the order code of ``value``. Every step is a column of its own: within one expression its
     logarithm and powers would be taken again wherever the step is named, some tens of times a row."""
     v = F.col(value).cast("double")
-    a = F.abs(v)
+    a = _finite(v)
     steps = df.withColumn("_near", _proposed(a)).withColumn("_power", F.pow(F.lit(2.0), F.col("_near")))
     steps = steps.withColumn("_e", _exponent(a, F.col("_near"), F.col("_power")))
     steps = steps.withColumn("_scaled", _scaled(a, F.col("_e")))

@@ -560,6 +560,18 @@ def test_order_code_in_steps(spark):
     assert plan.count("LOG2") == 1 and plan.upper().count("POWER(") <= 3
 
 
+def test_infinite_margins_have_codes(spark):
+    """Infinities and NaN beside numbers, also where the code is a column on its own (a null margin counts as infinite)."""
+    df = kept(spark.createDataFrame([(x,) for x in (float("-inf"), -1.0, 0.0, None, 2.5, float("inf"), float("nan"))], "x double"))
+    codes = [r.c for r in O.with_order_code(df.where("x is not null"), "x", "c").orderBy("x").collect()]
+    assert codes == sorted(codes) and len(set(codes)) == 6
+    rows = [("mean", 1, 3.0), ("mean", 2, None), ("mean", 3, 1.0), ("max", 1, 2.5), ("max", 2, 0.5), ("max", 3, None)]
+    got = whatif.equivalent_threshold(spark.createDataFrame(rows, "variant string, report_id long, llr_margin double"), "mean", 2.0)
+    assert {tuple(r) for r in got.collect()} == {("mean", 2, 3.0, 2), ("max", 2, 3.0, 1)}
+    one = whatif.equivalent_threshold(spark.createDataFrame(rows[1:2], "variant string, report_id long, llr_margin double"), "mean", 2.0)
+    assert [tuple(r) for r in one.collect()] == [("mean", 1, float("inf"), 1)]
+
+
 def test_given_tables_are_dealt_by_rows(spark, sf, monkeypatch):
     """Parts grow with the rows, not with files or cores; shots lie by article while they are narrow."""
     from mensura.catalog import views as V
