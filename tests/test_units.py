@@ -671,6 +671,58 @@ def test_scoring_needs_no_exchange_after_the_band_join(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def _odd_measured(spark, sf):
+    """Measurements, some without a diameter, without an area or far from all articles; none of them twice."""
+    from mensura.catalog import views as V
+    articles, m = V.view(spark, sf, "fx_articles"), V.view(spark, sf, "fx_measured").drop("ts_day")
+    part, r = m.where("report_id % 7 = 0"), F.col("report_id")
+    none = F.lit(None).cast("double")
+    once = part.withColumn("circle_diameter_mm", F.when(r % 35 == 0, none).when(r % 35 == 7, F.lit(9000.0)).otherwise(F.col("circle_diameter_mm")))
+    once = kept(once.withColumn("area_mm2", F.when(r % 35 == 14, none).otherwise(F.col("area_mm2"))))
+    stats = kept(enroll.stats_wide(V.view(spark, sf, "fx_shots").where("article_number > 'ART-000000050'")))
+    return once, articles, stats
+
+
+def _lines(df):
+    return sorted(str(r) for r in df.select(sorted(df.columns)).collect())
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_reports_stay_in_their_bins(spark, sf, nested):
+    """Reports that come once are made without any exchange by report, and are those made by joins on the key."""
+    once, articles, stats = _odd_measured(spark, sf)
+    want = scoring._identify_by_key(once, articles, stats, Params(), nested, False, ["label"], None)
+    got = scoring.identify(once, articles, stats, Params(), nested=nested, keep=["label"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(report_id" not in plan and got.columns == want.columns
+    assert _lines(got) == _lines(want)
+    assert {r.decision for r in got.select("decision").distinct().collect()} == {"accept", "ambiguous", "reject"}
+
+
+def test_repeated_keys_keep_their_meaning(spark, sf):
+    """Keys that come twice (equal rows, other rows) or are null mean what the joins on the key make of them."""
+    once, articles, stats = _odd_measured(spark, sf)
+    twice = once.where("report_id % 77 = 0")
+    moved = once.where("report_id % 119 = 0").withColumn("circle_diameter_mm", F.col("circle_diameter_mm") + 250.0)
+    null = once.where("report_id % 91 = 0").limit(2).withColumn("report_id", F.lit(None).cast("long"))
+    odd = kept(once.unionByName(twice).unionByName(moved).unionByName(null))
+    assert 0 < len(scoring.repeated_parts(odd)) < 4096 and not scoring.repeated_parts(once)
+    want = scoring._identify_by_key(odd, articles, stats, Params(), False, False, ["label"], None)
+    assert _lines(scoring.identify(odd, articles, stats, Params(), nested=False, keep=["label"])) == _lines(want)
+
+
+def test_rounding_is_that_of_spark(spark):
+    """Halves, near halves, large numbers, negative zero: the same double as round, digit by digit."""
+    rng = random.Random(3)
+    xs = [0.0, -0.0, -0.00001, 0.00005, 1.00005, 2.5, 1e15 + 0.5, -1e300, 5e-324, float("inf"), float("nan"), None, 123456.78905, 0.285, 1.005]
+    xs += [k / 20000 for k in range(-3000, 3000, 7)] + [rng.uniform(-1, 1) * 10.0 ** rng.randint(-8, 12) for _ in range(4000)]
+    xs += [math.nextafter(k / 20000, math.inf) for k in range(1, 2001, 2)] + [math.nextafter(k / 20000, 0) for k in range(1, 2001, 2)]
+    df = kept(spark.createDataFrame([(x,) for x in xs], "x double"))
+    for n in (2, 4):
+        both = df.select("x", sizes.rounded(F.col("x"), n).alias("a"), F.round("x", n).alias("b")).collect()
+        assert [r for r in both if str(r.a) != str(r.b)] == []
+
+
 def test_catalogue_does_not_pass_the_driver(spark, sf):
     """Bands and own articles grow with the catalogue; the only broadcast is the single row of its size."""
     from mensura.catalog import views as V
