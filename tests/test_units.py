@@ -711,6 +711,19 @@ def test_repeated_keys_keep_their_meaning(spark, sf):
     assert _lines(scoring.identify(odd, articles, stats, Params(), nested=False, keep=["label"])) == _lines(want)
 
 
+@pytest.mark.parametrize("keep", [["label"], ["area_mm2"]])
+def test_kills_stay_in_their_bins(spark, sf, keep):
+    """Nested reports and their kills are not exchanged; lists and counts are those of the joins on the key."""
+    once, articles, stats = _odd_measured(spark, sf)
+    once = kept(once.withColumn("label", F.when(F.col("report_id") % 3 == 0, "ART-000000007").when(F.col("report_id") % 3 == 1, F.col("label"))))
+    want = scoring._identify_by_key(once, articles, stats, Params(), True, True, keep, None)
+    got = scoring.identify(once, articles, stats, Params(), keep=keep, kills=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(report_id" not in plan and got.columns == want.columns
+    assert _lines(got) == _lines(want)
+    assert got.where("exists(prefiltered, k -> k.over_tolerance_mm > 6)").count() == (0 if keep == ["area_mm2"] else want.where("exists(prefiltered, k -> k.over_tolerance_mm > 6)").count())
+
+
 def test_rounding_is_that_of_spark(spark):
     """Halves, near halves, large numbers, negative zero: the same double as round, digit by digit."""
     rng = random.Random(3)
