@@ -724,6 +724,17 @@ def test_kills_stay_in_their_bins(spark, sf, keep):
     assert got.where("exists(prefiltered, k -> k.over_tolerance_mm > 6)").count() == (0 if keep == ["area_mm2"] else want.where("exists(prefiltered, k -> k.over_tolerance_mm > 6)").count())
 
 
+def test_shifted_measurements_are_not_joined(spark, sf):
+    """Keys that come once take their own shifted diameter without a join; repeated ones have those of all their rows."""
+    from mensura.catalog import identify as I
+    once, _, _ = _odd_measured(spark, sf)
+    plan = I.off_whole(once)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    odd = kept(once.unionByName(once.where("report_id % 77 = 0").withColumn("circle_diameter_mm", F.lit(70.0))))
+    want = odd.drop("circle_diameter_mm").join(I.off(odd).select("report_id", "circle_diameter_mm"), "report_id")
+    assert _lines(I.off_whole(odd)) == _lines(want)
+
+
 def test_rounding_is_that_of_spark(spark):
     """Halves, near halves, large numbers, negative zero: the same double as round, digit by digit."""
     rng = random.Random(3)
